@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliant import constants as K
-from foliant.functions.text import strip, strip_spaces, word_count
+from foliant.functions.text import strip, word_count
 
 
 def _matches(text: Column, pattern: str, weight: float, most: int) -> Column:
@@ -15,9 +15,9 @@ def _matches(text: Column, pattern: str, weight: float, most: int) -> Column:
 
 
 def _distinct_words(text: Column, wanted: list[str], weight: float, most: int) -> Column:
-    found = F.lit(0)
-    for word in wanted:
-        found = found + F.contains(text, F.lit(word)).cast("int")
+    # looking ahead lets words overlap ("deglaze" holds "glaze"); no word starts another
+    anywhere = f"(?=({'|'.join(wanted)}))"
+    found = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(anywhere), 1)))
     return F.least(found, F.lit(most)).cast("double") * F.lit(weight)
 
 
@@ -40,28 +40,20 @@ def pattern_score(text: Column) -> Column:
 
 def page_type(text: Column) -> Column:
     """``blank``, ``front_matter``, ``index``, ``contents``, ``numbers`` or ``content``."""
-    lines = F.filter(
-        F.transform(F.split(text, "\n", -1), strip_spaces), lambda line: line != ""
-    )
-    first = F.lower(F.element_at(lines, 1))
-    marked = F.lit(False)
-    for marker in K.FRONT_MATTER:
-        marked = marked | F.contains(first, F.lit(marker))
-    leaders = F.size(
-        F.filter(
-            lines,
-            lambda line: F.contains(line, F.lit(K.LEADERS[0]))
-            | F.contains(line, F.lit(K.LEADERS[1])),
-        )
-    )
-    digits = F.length(F.regexp_replace(text, r"\P{N}", "")) / F.length(text)
+    first = F.lower(F.regexp_extract(text, r"(?dm)^[ \t]*([^ \t\n][^\n]*?)[ \t]*$", 1))
+    leaders = F.regexp_count(text, F.lit(r"(?dm)^.*(?:\.{4}|\. \. \.).*$"))
+    digits = F.regexp_count(text, F.lit(r"\p{N}")) / F.length(text)
     return (
-        F.when(F.size(lines) == 0, "blank")
-        .when((F.length(first) < K.FRONT_MATTER_CHARS) & marked, "front_matter")
+        F.when(~F.rlike(text, F.lit(r"[^ \t\n]")), "blank")
+        .when(
+            (F.length(first) < K.FRONT_MATTER_CHARS)
+            & F.rlike(first, F.lit("|".join(K.FRONT_MATTER))),
+            "front_matter",
+        )
         .when(F.regexp_count(text, F.lit(K.INDEX_LINE_PATTERN)) >= K.INDEX_LINES, "index")
         .when(leaders >= K.LEADER_LINES, "contents")
         .when(
-            (digits > K.DIGIT_SHARE) & F.contains(F.lower(text), F.lit("see also")), "numbers"
+            F.contains(F.lower(text), F.lit("see also")) & (digits > K.DIGIT_SHARE), "numbers"
         )
         .otherwise("content")
     )

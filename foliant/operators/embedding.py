@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import fit_to_budget, tokens
-from foliant.functions.vectors import normalized
 
 BATCH = 32
 MAX_WORDS = 480
@@ -19,16 +19,21 @@ MAX_WORDS = 480
 def hashed_vectors(chunks: DataFrame, width: int = 64) -> DataFrame:
     """Deterministic stand-in for a model: hashed word counts scaled to length 1.
 
-    Word counts are reduced per (chunk, slot) and put in place as a fixed-width array.
+    Words are hashed in the JVM; only slot numbers reach Python.
     """
     words = tokens(fit_to_budget(F.col("text"), MAX_WORDS))
     slots = F.transform(words, lambda w: F.pmod(F.crc32(F.encode(w, "UTF-8")), F.lit(width)))
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)),
-        lambda i: F.size(F.filter(F.col("_slots"), lambda s: s == i)).cast("double"),
-    )
-    rows = chunks.withColumn("_slots", slots)
-    return rows.withColumn("embedding", normalized(counts).cast("array<float>")).drop("_slots")
+
+    @F.pandas_udf("array<float>")
+    def counted(found: pd.Series) -> pd.Series:
+        return found.map(lambda s: _unit(np.bincount(np.asarray(s, dtype=int), minlength=width)))
+
+    return chunks.withColumn("embedding", counted(slots))
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    length = np.sqrt(float(v @ v))
+    return (v / length if length else v).astype("float32")
 
 
 def model_vectors(

@@ -11,6 +11,7 @@ from foliant.functions.text import strip
 from foliant.operators.catalog import display_title
 from foliant.operators.chunking import chunk_windows
 from foliant.operators.keyword import rank_chunks
+from foliant.operators.matching import keep_where
 from foliant.operators.ordering import top_per_key
 
 
@@ -19,10 +20,13 @@ from foliant.operators.ordering import top_per_key
 
 def build_hints(chunks: DataFrame) -> DataFrame:
     """``chunk_id, score, title`` of chunks that look like a recipe."""
-    scored = chunks.select("chunk_id", "text", pattern_score(F.col("text")).alias("score"))
-    return scored.filter(F.col("score") > K.HINT_STORE).select(
-        "chunk_id", "score", guess_title(F.col("text")).alias("title")
+    scored = keep_where(
+        chunks.select("chunk_id", "text"),
+        "score",
+        pattern_score(F.col("text")),
+        lambda s: s > K.HINT_STORE,
     )
+    return scored.select("chunk_id", "score", guess_title(F.col("text")).alias("title"))
 
 
 def upsert_hints(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -41,6 +45,11 @@ def hint_lookup(candidates: DataFrame, hints: DataFrame) -> DataFrame:
     )
 
 
+def good_text(text: Column) -> Column:
+    """Content that looks enough like a recipe to be shown."""
+    return is_content(text) & (pattern_score(text) >= K.QUALITY_GATE)
+
+
 # --- candidates -----------------------------------------------------------------------------
 
 
@@ -168,9 +177,11 @@ def gated_chunks(
     """
     needed = candidates.select("chunk_id").distinct()
     texts = chunks.select("chunk_id", "chunk_index", "text").join(needed, "chunk_id", "left_semi")
-    judged = hint_lookup(texts, hints).filter(
-        F.col("is_hinted")
-        | (is_content(F.col("text")) & (pattern_score(F.col("text")) >= K.QUALITY_GATE))
+    judged = keep_where(
+        hint_lookup(texts, hints),
+        "_passes",
+        F.col("is_hinted") | good_text(F.col("text")),
+        lambda passes: passes,
     )
     passed = candidates.join(judged.select("chunk_id", "chunk_index", "is_hinted"), "chunk_id")
     valued = keyword_hits.select("query_id", "book_id", keyword_value(mode).alias("_value"))
@@ -268,13 +279,11 @@ def fallback_chunks(
     top = rank_chunks(open_scores, 2 * limit).join(
         texts.select("book_id", "chunk_index", "text"), ["book_id", "chunk_index"]
     )
-    good = top.filter(
-        is_content(F.col("text")) & (pattern_score(F.col("text")) >= K.QUALITY_GATE)
-    )
+    good = keep_where(top, "_passes", good_text(F.col("text")), lambda passes: passes)
     clamped = F.greatest(
         F.lit(K.FALLBACK_LOW), F.least(F.lit(K.FALLBACK_HIGH), F.col("score") / F.lit(10.0))
     )
-    picked = top_per_key(good.drop("rank"), ["query_id"], [F.col("score").desc(), F.col("book_id"), F.col("chunk_index")], limit)
+    picked = top_per_key(good.drop("rank", "_passes"), ["query_id"], [F.col("score").desc(), F.col("book_id"), F.col("chunk_index")], limit)
     return picked.select(
         "query_id", "rank", "book_id", "chunk_index", F.round(clamped, 6).alias("score"),
         F.substr("text", F.lit(1), F.lit(K.SNIPPET_CHARS)).alias("snippet"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 
 from foliant import constants as K
 from foliant.functions.porter import stem
-from foliant.functions.text import strip, tokens
+from foliant.functions.text import contains_folded, strip, tokens
 from foliant.operators.catalog import display_title
-from foliant.operators.matching import match_substrings
+from foliant.operators.matching import INLINE_NEEDLES, match_substrings, small_rows
 from foliant.operators.ordering import top_per_key
 
 # --- query terms ------------------------------------------------------------------------
@@ -116,23 +117,17 @@ def expand_prefixes(terms: DataFrame, postings: DataFrame) -> DataFrame:
     )
 
 
-def bm25(terms: DataFrame, postings: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``query_id, book_id, chunk_index, score`` of every chunk that matches a term.
+def _weigh(hits: DataFrame, lengths: DataFrame) -> DataFrame:
+    """bm25 of ``query_id, prefix, book_id, chunk_index, f, length`` rows.
 
-    Terms are OR-ed prefixes; a prefix counts all words it starts. ``chunks`` needs
-    ``book_id, chunk_index, length``. Scores are rounded to 6 places.
+    ``hits`` is already partitioned by (query, chunk), so the sum needs no shuffle. The count
+    of matching chunks reads the same columns and therefore the same shuffle.
     """
-    place = ["book_id", "chunk_index"]
-    corpus = chunks.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    corpus = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     n_all = corpus.select("n").scalar()
     mean = corpus.select("mean").scalar()
-    hits = (
-        expand_prefixes(terms, postings)
-        .join(postings, "term")
-        .groupBy("query_id", "prefix", *place)
-        .agg(F.sum("tf").alias("f"))
-    )
-    found = hits.groupBy("query_id", "prefix").agg(F.count("*").alias("n"))
+    matched = F.count_if((F.col("f") > 0) & (F.col("length") > 0))
+    found = hits.groupBy("query_id", "prefix").agg(matched.alias("n"))
     idf = F.log((n_all - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf <= 0, F.lit(K.IDF_FLOOR)).otherwise(idf)
     weights = found.select("query_id", "prefix", idf.alias("idf"))
@@ -141,12 +136,81 @@ def bm25(terms: DataFrame, postings: DataFrame, chunks: DataFrame) -> DataFrame:
     part = F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + damp)
     return (
         hits.join(weights, ["query_id", "prefix"])
-        .join(chunks.select(*place, "length"), place)
-        .groupBy("query_id", *place)
+        .groupBy("query_id", "book_id", "chunk_index")
         .agg(F.round(F.sum(part), 6).alias("score"))
     )
 
 
+def bm25_indexed(terms: DataFrame, postings: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``query_id, book_id, chunk_index, score`` from an index.
+
+    Terms are OR-ed prefixes; a prefix counts all words it starts. ``lengths`` is
+    ``book_id, chunk_index, length``. Scores are rounded to 6 places.
+    """
+    place = ["book_id", "chunk_index"]
+    hits = (
+        expand_prefixes(terms, postings)
+        .join(postings, "term")
+        .groupBy("query_id", "prefix", *place)
+        .agg(F.sum("tf").alias("f"))
+        .join(lengths, place)
+        .repartition("query_id", *place)
+    )
+    return _weigh(hits, lengths)
+
+
+def bm25(
+    terms: DataFrame, chunks: DataFrame, inline: int = INLINE_NEEDLES
+) -> DataFrame:
+    """As :func:`bm25_indexed`, straight from ``book_id, chunk_index, text``.
+
+    A short list of prefixes is looked for inside the scan, and only chunks with a hit are
+    shuffled. A longer list goes through postings.
+    """
+    place = ["book_id", "chunk_index"]
+    listed = small_rows(terms.select("query_id", "prefix").distinct(), inline)
+    split = chunks.select(*place, tokens(F.col("text")).alias("_tokens"))
+    if listed is None:
+        return bm25_indexed(terms, build_postings(chunks), chunk_lengths(chunks))
+    by_prefix: dict[str, list[int]] = {}
+    for row in listed:
+        by_prefix.setdefault(row["prefix"], []).append(row["query_id"])
+    owners = F.array(
+        *[
+            F.struct(
+                F.lit(prefix).alias("prefix"),
+                F.array(*[F.lit(q).cast("bigint") for q in ids]).alias("queries"),
+            )
+            for prefix, ids in by_prefix.items()
+        ]
+    )
+    if not by_prefix:
+        owners = F.array().cast("array<struct<prefix:string,queries:array<bigint>>>")
+    any_prefix = "^(?:" + "|".join(re.escape(p) for p in by_prefix) + ")" if by_prefix else r"\z."
+    # both columns come from one split of the text
+    scanned = split.select(
+        *place,
+        F.size("_tokens").alias("length"),
+        F.filter("_tokens", lambda t: F.rlike(t, F.lit(any_prefix))).alias("_words"),
+    )
+    lengths = scanned.select(*place, "length")
+    counted = F.transform(
+        owners,
+        lambda o: F.struct(
+            o["prefix"].alias("prefix"),
+            o["queries"].alias("queries"),
+            F.size(F.filter(F.col("_words"), lambda w: F.startswith(w, o["prefix"]))).alias("f"),
+        ),
+    )
+    hits = (
+        scanned.filter(F.size("_words") > 0)
+        .select(*place, "length", F.inline(F.filter(counted, lambda c: c["f"] > 0)))
+        .select(F.explode("queries").alias("query_id"), "prefix", *place, "f", "length")
+        .repartition("query_id", *place)
+    )
+    return _weigh(hits, lengths)
+
+
 def rank_chunks(scores: DataFrame, k: int) -> DataFrame:
     order = [F.col("score").desc(), F.col("book_id"), F.col("chunk_index")]
     return top_per_key(scores, ["query_id"], order, k)
@@ -165,15 +229,17 @@ def name_tiers(queries: DataFrame, books: DataFrame) -> DataFrame:
     text = F.lower(strip(F.col("text")))
     wanted = queries.select(F.col("query_id").alias("needle_id"), text.alias("needle"))
     wanted = wanted.filter(F.col("needle") != "")
-    fields = [("file_name", K.TIER_FILE), ("title", K.TIER_TITLE), ("author", K.TIER_AUTHOR)]
-    found = None
-    for field, tier in fields:
-        named = books.select("book_id", F.lower(field).alias("_name")).filter("_name is not null")
-        hits = match_substrings(named, ["book_id"], "_name", wanted).withColumn("tier", F.lit(tier))
-        found = hits if found is None else found.unionByName(hits)
-    return found.groupBy(F.col("needle_id").alias("query_id"), "book_id").agg(
-        F.max("tier").alias("tier")
+    names = F.lower(F.concat_ws("\n", "file_name", "title", "author"))
+    fields = ["book_id", "file_name", "title", "author"]
+    named = books.select(*fields, names.alias("_names"))
+    found = match_substrings(named, fields, "_names", wanted)
+    tier = (
+        F.when(contains_folded(F.col("file_name"), F.col("needle")), K.TIER_FILE)
+        .when(contains_folded(F.col("title"), F.col("needle")), K.TIER_TITLE)
+        .when(contains_folded(F.col("author"), F.col("needle")), K.TIER_AUTHOR)
     )
+    tiers = found.select(F.col("needle_id").alias("query_id"), "book_id", tier.alias("tier"))
+    return tiers.filter(F.col("tier").isNotNull())
 
 
 def tiered_search(
@@ -238,7 +304,9 @@ def keyword_chunks(
     ).filter(F.length("needle") >= 2)
     rows = chunks.select("chunk_id", "book_id", "chunk_index", F.lower("text").alias("_low"))
     found = match_substrings(rows, ["chunk_id", "book_id", "chunk_index"], "_low", clean)
-    found = found.withColumnRenamed("needle_id", "query_id")
+    found = found.select(
+        F.col("needle_id").alias("query_id"), "chunk_id", "book_id", "chunk_index"
+    ).distinct()
     if scope is not None:
         found = found.join(scope, ["query_id", "book_id"], "left_semi")
     if limit is None:

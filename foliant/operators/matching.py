@@ -17,6 +17,17 @@ def small_rows(df: DataFrame, most: int) -> list[Row] | None:
     return rows if len(rows) <= most else None
 
 
+def keep_where(df: DataFrame, name: str, value: Column, test) -> DataFrame:
+    """Add ``name`` and keep the rows whose value passes ``test``.
+
+    As a filter inside a generator the value is computed once per row. A plain filter on
+    a computed column would be pushed down and repeat the computation.
+    """
+    made = df.withColumn(name, value)
+    kept = F.explode(F.filter(F.array(name), test)).alias(name)
+    return made.select(*[c for c in made.columns if c != name], kept)
+
+
 def _grams(text: Column) -> Column:
     """Distinct pieces of one, two and three characters."""
 
@@ -36,7 +47,7 @@ def match_substrings(
     needles: DataFrame,
     inline: int = INLINE_NEEDLES,
 ) -> DataFrame:
-    """``keys, needle_id`` for every row whose ``text`` contains a needle.
+    """``keys, needle_id, needle`` for every row whose ``text`` contains a needle.
 
     ``text`` must be lower-cased; ``needles`` is ``needle_id bigint, needle``, lower-cased
     and not empty. A short needle list is tested inside the scan. A longer one meets the
@@ -47,7 +58,7 @@ def match_substrings(
     listed = small_rows(wanted, inline)
     if listed is not None:
         if not listed:
-            return rows.select(*keys, F.lit(0).cast("bigint").alias("needle_id")).filter(F.lit(False))
+            return rows.join(wanted, F.lit(False)).select(*keys, "needle_id", "needle")
         array = F.array(
             *[
                 F.struct(
@@ -58,14 +69,13 @@ def match_substrings(
             ]
         )
         found = F.filter(array, lambda n: F.contains(F.col(text), n["needle"]))
-        ids = F.array_distinct(F.transform(found, lambda n: n["needle_id"]))
-        return rows.select(*keys, F.explode(ids).alias("needle_id"))
+        return rows.select(*keys, F.inline(found))
     grams = rows.select(*keys, F.explode(_grams(F.col(text))).alias("_gram"))
     first = wanted.withColumn("_gram", F.substr("needle", F.lit(1), F.lit(3)))
     candidates = grams.join(first, "_gram").drop("_gram")
     return (
         candidates.join(rows.select(*keys, text), keys)
         .filter(F.contains(F.col(text), F.col("needle")))
-        .select(*keys, "needle_id")
+        .select(*keys, "needle_id", "needle")
         .distinct()
     )

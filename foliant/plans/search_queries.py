@@ -25,8 +25,7 @@ def text_chunks(lib: Library) -> DataFrame:
 
 
 def _scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    terms = keyword.query_terms(queries)
-    return keyword.bm25(terms, keyword.build_postings(chunks), keyword.chunk_lengths(chunks))
+    return keyword.bm25(keyword.query_terms(queries), chunks)
 
 
 def text_scores(lib: Library) -> DataFrame:
@@ -111,12 +110,24 @@ def bm25_search(lib: Library) -> DataFrame:
     return top.join(lib.book.select("book_id", catalog.display_title().alias("title")), "book_id")
 
 
+@query(
+    "query_id bigint, book_id bigint, chunk_index bigint, score double",
+    "SELECT query_id, book_id, chunk_index, score FROM text_score",
+)
+def bm25_index(lib: Library) -> DataFrame:
+    chunks = text_chunks(lib)
+    postings = keyword.build_postings(chunks)
+    terms = keyword.query_terms(lib.query)
+    return keyword.bm25_indexed(terms, postings, keyword.chunk_lengths(chunks))
+
+
 @query("query_id bigint, book_id bigint, chunk_index bigint, score double, rank bigint")
 def bm25_search_stemmed(lib: Library) -> DataFrame:
     chunks = text_chunks(lib)
     postings = keyword.stem_postings(keyword.build_postings(chunks))
     terms = keyword.stem_terms(keyword.query_terms(lib.query))
-    return keyword.rank_chunks(keyword.bm25(terms, postings, keyword.chunk_lengths(chunks)), 20)
+    scores = keyword.bm25_indexed(terms, postings, keyword.chunk_lengths(chunks))
+    return keyword.rank_chunks(scores, 20)
 
 
 _HIT = "query_id bigint, book_id bigint, source string, rank_value double, chunk_index bigint, title string, author string, format string"
