@@ -65,7 +65,8 @@ def build_postings(chunks: DataFrame) -> DataFrame:
 
 
 def chunk_lengths(chunks: DataFrame) -> DataFrame:
-    return chunks.select("book_id", "chunk_index", F.size(tokens(F.col("text"))).alias("length"))
+    words = F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"))
+    return chunks.select("book_id", "chunk_index", words.alias("length"))
 
 
 def stem_postings(postings: DataFrame) -> DataFrame:
@@ -193,7 +194,7 @@ def bm25(
         F.size("_tokens").alias("length"),
         F.filter("_tokens", lambda t: F.rlike(t, F.lit(any_prefix))).alias("_words"),
     )
-    lengths = scanned.select(*place, "length")
+    lengths = chunk_lengths(chunks)
     counted = F.transform(
         owners,
         lambda o: F.struct(
@@ -203,8 +204,7 @@ def bm25(
         ),
     )
     hits = (
-        scanned.filter(F.size("_words") > 0)
-        .select(*place, "length", F.inline(F.filter(counted, lambda c: c["f"] > 0)))
+        scanned.select(*place, "length", F.inline(F.filter(counted, lambda c: c["f"] > 0)))
         .select(F.explode("queries").alias("query_id"), "prefix", *place, "f", "length")
         .repartition("query_id", *place)
     )

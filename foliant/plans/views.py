@@ -8,11 +8,21 @@ from __future__ import annotations
 import re
 from pyspark.sql import DataFrame, SparkSession
 
+from foliant.sources.tables import read_table
+
 RAW = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
+# tables with heavy work per row, and their key
+SPREAD = {
+    "documents": "doc_id",
+    "pages": "page_id",
+    "orders": "o_orderkey",
+    "embeddings": "vec_id",
+}
+
 DIALECTS = {
     "spark": {
         "slices": "LATERAL VIEW explode(sequence(0, CAST(ceil(length(d.text) / 600.0) AS INT) - 1)) s AS i",
@@ -245,7 +255,7 @@ class Library:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._made:
-            df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            df = read_table(self.spark, f"{self.folder}/{name}.parquet", SPREAD.get(name))
             df.createOrReplaceTempView(name)
             self._made[name] = df
         return self._made[name]
