@@ -15,15 +15,13 @@ def _matches(text: Column, pattern: str, weight: float, most: int) -> Column:
 
 
 def _distinct_words(text: Column, wanted: list[str], weight: float, most: int) -> Column:
-    # looking ahead lets words overlap ("deglaze" holds "glaze"); no word starts another
-    anywhere = f"(?=({'|'.join(wanted)}))"
-    found = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(anywhere), 1)))
+    found = F.lit(0)
+    for word in wanted:
+        found = found + F.contains(text, F.lit(word)).cast("int")
     return F.least(found, F.lit(most)).cast("double") * F.lit(weight)
 
 
-def pattern_score(text: Column) -> Column:
-    """How much a text looks like a recipe, 0 to 1 (rounded to 6 places)."""
-    low = F.lower(text)
+def _score_lowered(low: Column) -> Column:
     total = F.lit(0.0)
     for pattern in K.QUANTITY_PATTERNS:
         total = total + _matches(low, pattern, K.QUANTITY_WEIGHT, K.QUANTITY_MAX)
@@ -38,6 +36,15 @@ def pattern_score(text: Column) -> Column:
     return F.round(F.least(total, F.lit(1.0)), 6)
 
 
+def pattern_score(text: Column) -> Column:
+    """How much a text looks like a recipe, 0 to 1 (rounded to 6 places).
+
+    The lower-cased text is bound once as the element of a one-element array; some forty
+    tests then read it without lower-casing it again.
+    """
+    return F.get(F.transform(F.array(F.lower(text)), _score_lowered), F.lit(0))
+
+
 def page_type(text: Column) -> Column:
     """``blank``, ``front_matter``, ``index``, ``contents``, ``numbers`` or ``content``."""
     first = F.lower(F.regexp_extract(text, r"(?dm)^[ \t]*([^ \t\n][^\n]*?)[ \t]*$", 1))

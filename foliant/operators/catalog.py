@@ -158,7 +158,7 @@ def cyclic_neighbors(
 ) -> DataFrame:
     """``key`` with the keys before and after it in ``order``; the ends meet if ``wrap``."""
     placed = with_position(df.select(key), order, "_at")
-    n = placed.agg(F.count("*")).scalar()
+    n = F.lit(placed.count())
     back, ahead = F.col("_at") - 1, F.col("_at") + 1
     if wrap:
         back = F.when(back == 0, n).otherwise(back)

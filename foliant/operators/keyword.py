@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -118,15 +119,26 @@ def expand_prefixes(terms: DataFrame, postings: DataFrame) -> DataFrame:
     )
 
 
-def _weigh(hits: DataFrame, lengths: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Corpus:
+    """The two numbers of a chunk collection that bm25 needs; kept with a stored index."""
+
+    chunks: int
+    mean_length: float
+
+
+def corpus_of(lengths: DataFrame) -> Corpus:
+    row = lengths.agg(F.count("*"), F.coalesce(F.avg("length"), F.lit(0.0))).first()
+    return Corpus(int(row[0]), float(row[1]))
+
+
+def _weigh(hits: DataFrame, corpus: Corpus) -> DataFrame:
     """bm25 of ``query_id, prefix, book_id, chunk_index, f, length`` rows.
 
     ``hits`` is already partitioned by (query, chunk), so the sum needs no shuffle. The count
     of matching chunks reads the same columns and therefore the same shuffle.
     """
-    corpus = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    n_all = corpus.select("n").scalar()
-    mean = corpus.select("mean").scalar()
+    n_all, mean = F.lit(corpus.chunks), F.lit(corpus.mean_length)
     matched = F.count_if((F.col("f") > 0) & (F.col("length") > 0))
     found = hits.groupBy("query_id", "prefix").agg(matched.alias("n"))
     idf = F.log((n_all - F.col("n") + 0.5) / (F.col("n") + 0.5))
@@ -142,7 +154,9 @@ def _weigh(hits: DataFrame, lengths: DataFrame) -> DataFrame:
     )
 
 
-def bm25_indexed(terms: DataFrame, postings: DataFrame, lengths: DataFrame) -> DataFrame:
+def bm25_indexed(
+    terms: DataFrame, postings: DataFrame, lengths: DataFrame, corpus: Corpus | None = None
+) -> DataFrame:
     """``query_id, book_id, chunk_index, score`` from an index.
 
     Terms are OR-ed prefixes; a prefix counts all words it starts. ``lengths`` is
@@ -157,11 +171,14 @@ def bm25_indexed(terms: DataFrame, postings: DataFrame, lengths: DataFrame) -> D
         .join(lengths, place)
         .repartition("query_id", *place)
     )
-    return _weigh(hits, lengths)
+    return _weigh(hits, corpus or corpus_of(lengths))
 
 
 def bm25(
-    terms: DataFrame, chunks: DataFrame, inline: int = INLINE_NEEDLES
+    terms: DataFrame,
+    chunks: DataFrame,
+    corpus: Corpus | None = None,
+    inline: int = INLINE_NEEDLES,
 ) -> DataFrame:
     """As :func:`bm25_indexed`, straight from ``book_id, chunk_index, text``.
 
@@ -194,7 +211,6 @@ def bm25(
         F.size("_tokens").alias("length"),
         F.filter("_tokens", lambda t: F.rlike(t, F.lit(any_prefix))).alias("_words"),
     )
-    lengths = chunk_lengths(chunks)
     counted = F.transform(
         owners,
         lambda o: F.struct(
@@ -208,7 +224,7 @@ def bm25(
         .select(F.explode("queries").alias("query_id"), "prefix", *place, "f", "length")
         .repartition("query_id", *place)
     )
-    return _weigh(hits, lengths)
+    return _weigh(hits, corpus or corpus_of(chunk_lengths(chunks)))
 
 
 def rank_chunks(scores: DataFrame, k: int) -> DataFrame:

@@ -402,7 +402,7 @@ def delete_folder(lib: Library) -> DataFrame:
 def delete_group(lib: Library) -> DataFrame:
     gone = lib.collection_group.filter("group_id in (1, 3)")
     groups, loose = mutations.delete_groups(lib.collection_group, lib.collection, gone)
-    return loose.withColumn("n_groups", groups.agg(F.count("*")).scalar())
+    return loose.withColumn("n_groups", F.lit(groups.count()))
 
 
 @query(

@@ -38,6 +38,7 @@ DIALECTS = {
         "lines": ", LATERAL (SELECT unnest(range(0, len(string_split(d.text, chr(10))))) AS i, "
         "unnest(string_split(d.text, chr(10))) AS line) s",
         "int_div": "//",
+        "n_embeddings": "(SELECT count(*) FROM embeddings)",
         "global": ", 'g'",
         "sitemap": '<OBJECT type="text/sitemap"><param name="Name" value="\\2"><param name="Local" value="\\1"><param name="X" value="y"></OBJECT><object type="text/sitemap"><param name="Local" value="\\1"></object>',
     },
@@ -97,7 +98,7 @@ GROUP BY book_id, collection_id""",
 SELECT c.chunk_id, c.book_id, c.chunk_index, c.text, CASE WHEN c.chunk_id % 9 = 4 THEN NULL ELSE e.embedding END AS embedding
 FROM (SELECT d.doc_id * 100000 + i AS chunk_id, d.doc_id AS book_id, CAST(i AS INT) AS chunk_index,
     substr(d.text, CAST(i AS INT) * 600 + 1, 600) AS text FROM documents d {slices}) c
-  JOIN embeddings e ON e.vec_id = (c.book_id * 31 + c.chunk_index) % (SELECT count(*) FROM embeddings)""",
+  JOIN embeddings e ON e.vec_id = (c.book_id * 31 + c.chunk_index) % {n_embeddings}""",
     # cookbooks of eight chunks each: recipes, contents, index, preface, plain text
     "cook_chunk": """
 SELECT r.chunk_id, r.book_id, r.chunk_index, r.text, CASE WHEN r.chunk_id % 9 = 4 THEN NULL ELSE e.embedding END AS embedding
@@ -112,7 +113,7 @@ FROM (SELECT doc_id AS chunk_id, doc_id {int_div} 8 AS book_id, CAST(doc_id % 8
   WHEN 5 THEN '   '
   WHEN 6 THEN concat('Whisk 2 cups milk', chr(10), 'a . . . b', chr(10), 'c .... d', chr(10), text)
   ELSE text END AS text FROM documents) r
-  JOIN embeddings e ON e.vec_id = r.chunk_id % (SELECT count(*) FROM embeddings)""",
+  JOIN embeddings e ON e.vec_id = r.chunk_id % {n_embeddings}""",
     "query": """
 SELECT q.query_id, q.text, e.embedding AS vector FROM (
   SELECT CAST(0 AS BIGINT) AS query_id, 'find me the thing about nicht' AS text
@@ -274,5 +275,8 @@ class Library:
                     self.table(raw)
             for other in _uses(text, VIEWS):
                 getattr(self, other).createOrReplaceTempView(other)
+            if "{n_embeddings}" in text:
+                # counted from the file footers, so that the plan holds a plain number
+                text = text.replace("{n_embeddings}", str(self.table("embeddings").count()))
             self._made[name] = self.spark.sql(_fill(text, "spark"))
         return self._made[name]
