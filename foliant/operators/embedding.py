@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.functions.text import fit_to_budget, tokens
 
@@ -40,7 +41,9 @@ def model_vectors(
     chunks: DataFrame, make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], width: int
 ) -> DataFrame:
     """Vectors by a model that each Python worker loads once and calls on 32 texts."""
-    predict = predict_batch_udf(make_model, return_type="array<float>", batch_size=BATCH)
+    predict = predict_batch_udf(
+        make_model, return_type=T.ArrayType(T.FloatType()), batch_size=BATCH
+    )
     fitted = fit_to_budget(F.col("text"), MAX_WORDS)
     return chunks.withColumn("embedding", predict(fitted)).filter(F.size("embedding") == width)
 

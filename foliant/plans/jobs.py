@@ -31,9 +31,10 @@ def onboard_cookbooks(
     ready = scoped.filter(F.col("embedding").isNotNull())
     todo = embedding.missing_vectors(scoped.drop("embedding"), ready)
     made = ready.unionByName(embed(todo).select(*ready.columns))
-    replace_in_table(spark, chunk_table, made, scope, row_key="chunk_id")
+    # hints read the old chunk table, so they are written before it is replaced
     hints = hybrid.build_hints(scoped).join(scoped.select("chunk_id", "book_id"), "chunk_id")
     replace_in_table(spark, hint_table, hints, scope, row_key="chunk_id")
+    replace_in_table(spark, chunk_table, made, scope, row_key="chunk_id")
 
 
 def unfinished_books(books: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -7,6 +7,9 @@ from foliant.session import local_session
 def spark():
     session = local_session("4", 4)
     session.sparkContext.setLogLevel("ERROR")
+    # the inputs are tiny: compiling plans would take longer than running them
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield session
     session.stop()
 
