@@ -49,7 +49,15 @@ def _in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(batches)).sort_values(["ts", "event_id"])
 
 
-def throttled(events: DataFrame, key: str, interval_seconds: float) -> DataFrame:
+def _expire(state: GroupState, last: pd.Timestamp) -> None:
+    """Drop the state of a key a day after its last event, in event time."""
+    seen = max(last.value // 1_000_000, state.getCurrentWatermarkMs())
+    state.setTimeoutTimestamp(int(seen) + STATE_LIFE_MS)
+
+
+def throttled(
+    events: DataFrame, key: str, interval_seconds: float, late: str = "10 seconds"
+) -> DataFrame:
     """Events reported at most once per interval and key (``event_id, key, ts``)."""
     step = pd.Timedelta(seconds=interval_seconds)
 
@@ -60,19 +68,21 @@ def throttled(events: DataFrame, key: str, interval_seconds: float) -> DataFrame
             state.remove()
             return
         last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-        kept = []
-        for row in _in_order(batches).itertuples():
+        kept, seen = [], _in_order(batches)
+        for row in seen.itertuples():
             if last is None or row.ts - last > step:
                 kept.append((row.event_id, name[0], row.ts))
                 last = row.ts
         state.update((last.value // 1000,))
-        state.setTimeoutDuration(STATE_LIFE_MS)
+        _expire(state, seen["ts"].iloc[-1])
         yield pd.DataFrame(kept, columns=["event_id", key, "ts"])
 
-    return _stateful(events, key, report, "last_us bigint", ["event_id", key, "ts"])
+    return _stateful(events, key, report, "last_us bigint", ["event_id", key, "ts"], late)
 
 
-def without_repeats(events: DataFrame, key: str, value: str) -> DataFrame:
+def without_repeats(
+    events: DataFrame, key: str, value: str, late: str = "10 seconds"
+) -> DataFrame:
     """Events whose value differs from the previous one of their key."""
 
     def report(
@@ -81,22 +91,24 @@ def without_repeats(events: DataFrame, key: str, value: str) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else None
-        kept = []
-        for row in _in_order(batches).to_dict("records"):
-            if row[value] != last:
+        started, last = state.exists, state.get[0] if state.exists else None
+        kept, seen = [], _in_order(batches)
+        for row in seen.to_dict("records"):
+            if not started or row[value] != last:
                 kept.append((row["event_id"], name[0], row["ts"], row[value]))
-            last = row[value]
+            started, last = True, row[value]
         state.update((last,))
-        state.setTimeoutDuration(STATE_LIFE_MS)
+        _expire(state, seen["ts"].iloc[-1])
         yield pd.DataFrame(kept, columns=["event_id", key, "ts", value])
 
     kind = events.schema[value].dataType.simpleString()
-    return _stateful(events, key, report, f"last {kind}", ["event_id", key, "ts", value])
+    return _stateful(events, key, report, f"last {kind}", ["event_id", key, "ts", value], late)
 
 
-def _stateful(events: DataFrame, key: str, report, state: str, columns: list[str]) -> DataFrame:
+def _stateful(
+    events: DataFrame, key: str, report, state: str, columns: list[str], late: str
+) -> DataFrame:
     out = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in columns)
-    return events.groupBy(key).applyInPandasWithState(
-        report, out, state, "append", GroupStateTimeout.ProcessingTimeTimeout
+    return events.withWatermark("ts", late).groupBy(key).applyInPandasWithState(
+        report, out, state, "append", GroupStateTimeout.EventTimeTimeout
     )

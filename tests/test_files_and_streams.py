@@ -173,7 +173,7 @@ def _run(spark, df, mode, tmp_path, name):
         df.writeStream.format("memory").queryName(name).outputMode(mode)
         .option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
     )
-    query.awaitTermination(120)
+    assert query.awaitTermination(120)
     return spark.table(name)
 
 
