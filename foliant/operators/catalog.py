@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import contains_folded, file_format, parent_folder, strip
+from foliant.operators.matching import INLINE_NEEDLES, small_rows
 from foliant.operators.ordering import top_per_key, with_position
 
 SORT_KEYS = ("title", "author", "date_added", "file_size", "format")
@@ -72,18 +73,7 @@ def scope_books(books: DataFrame, membership: DataFrame, scopes: DataFrame) -> D
     ``kind`` is all, recent, folder or collection. Result: ``scope_id, book_id``.
     """
     slim = books.select("book_id", "file_path", "date_last_opened")
-    # the two library-wide kinds have one row per scope; the scope list is tiny next to it
-    wide = scopes.filter(F.col("kind").isin("all", "recent")).select(
-        "scope_id", F.explode(_kind_keys(F.col("kind"))).alias("_key")
-    )
-    keyed = slim.select(
-        "book_id",
-        F.explode(
-            F.when(F.col("date_last_opened").isNotNull(), F.array(F.lit("any"), F.lit("opened")))
-            .otherwise(F.array(F.lit("any")))
-        ).alias("_key"),
-    )
-    library = keyed.join(wide, "_key").select("scope_id", "book_id")
+    library = _library_wide(slim, scopes.filter(F.col("kind").isin("all", "recent")))
     folders = scopes.filter(F.col("kind") == "folder").select(
         "scope_id", F.regexp_replace("folder", "/+$", "").alias("folder")
     )
@@ -98,8 +88,31 @@ def scope_books(books: DataFrame, membership: DataFrame, scopes: DataFrame) -> D
     return library.unionByName(foldered).unionByName(collected)
 
 
-def _kind_keys(kind: Column) -> Column:
-    return F.array(F.when(kind == "all", F.lit("any")).otherwise(F.lit("opened")))
+def _library_wide(books: DataFrame, scopes: DataFrame) -> DataFrame:
+    """Every book (or every opened one) for each library-wide scope.
+
+    A short scope list is a literal next to each book. A longer one is spread over the
+    books by pairing both with the same few salts.
+    """
+    opened = F.col("date_last_opened").isNotNull()
+    listed = small_rows(scopes.select("scope_id", "kind"), INLINE_NEEDLES)
+    if listed is not None:
+        if not listed:
+            return books.join(scopes.select("scope_id"), F.lit(False)).select("scope_id", "book_id")
+        kinds = F.array(
+            *[F.struct(F.lit(r["scope_id"]).cast("bigint").alias("scope_id"), F.lit(r["kind"]).alias("kind")) for r in listed]
+        )
+        fitting = F.filter(kinds, lambda k: (k["kind"] == "all") | opened)
+        return books.select("book_id", F.explode(fitting).alias("_scope")).select(
+            F.col("_scope")["scope_id"].alias("scope_id"), "book_id"
+        )
+    salts = 1024
+    salted = books.withColumn("_salt", F.pmod(F.xxhash64("book_id"), F.lit(salts)))
+    repeated = scopes.select(
+        "scope_id", "kind", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("_salt")
+    )
+    paired = salted.join(repeated, "_salt")
+    return paired.filter((F.col("kind") == "all") | opened).select("scope_id", "book_id")
 
 
 def scope_fallback(books: DataFrame, membership: DataFrame, scopes: DataFrame) -> DataFrame:
@@ -110,11 +123,8 @@ def scope_fallback(books: DataFrame, membership: DataFrame, scopes: DataFrame) -
     found = scope_books(books, membership, scopes)
     hit = found.select("scope_id").distinct()
     empty = scopes.filter(~F.col("cookbook")).join(hit, "scope_id", "left_anti")
-    everything = empty.select("scope_id", F.lit("any").alias("_key"))
-    rest = (
-        books.select("book_id", F.lit("any").alias("_key"))
-        .join(everything, "_key")
-        .select("scope_id", "book_id")
+    rest = _library_wide(
+        books.select("book_id", "date_last_opened"), empty.select("scope_id", F.lit("all").alias("kind"))
     )
     return found.unionByName(rest)
 

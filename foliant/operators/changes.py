@@ -10,7 +10,8 @@ from foliant.operators.ordering import greedy_groups, neighbor
 
 
 def micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
+    """Microseconds since 1970 of a timestamp without zone, whatever the session zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts)
 
 
 def _time_block(ts: Column, seconds: int) -> Column:
@@ -19,7 +20,7 @@ def _time_block(ts: Column, seconds: int) -> Column:
 
 def coalesce_changes(events: DataFrame, window: str = "2 seconds") -> DataFrame:
     """Distinct paths that changed in each window (``window_start, path``)."""
-    start = F.window(F.col("ts").cast("timestamp"), window)["start"]
+    start = F.window("ts", window)["start"]
     return events.select(start.alias("window_start"), "path").distinct()
 
 

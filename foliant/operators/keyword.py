@@ -132,11 +132,13 @@ def corpus_of(lengths: DataFrame) -> Corpus:
     return Corpus(int(row[0]), float(row[1]))
 
 
-def _weigh(hits: DataFrame, corpus: Corpus) -> DataFrame:
+def _weigh(hits: DataFrame, corpus: Corpus, bounded: bool = False) -> DataFrame:
     """bm25 of ``query_id, prefix, book_id, chunk_index, f, length`` rows.
 
     ``hits`` is already partitioned by (query, chunk), so the sum needs no shuffle. The count
-    of matching chunks reads the same columns and therefore the same shuffle.
+    of matching chunks reads the same columns and therefore the same shuffle. ``bounded``
+    says that the number of (query, prefix) pairs was checked, so their weights may be
+    broadcast and frequent prefixes are not gathered by key.
     """
     n_all, mean = F.lit(corpus.chunks), F.lit(corpus.mean_length)
     matched = F.count_if((F.col("f") > 0) & (F.col("length") > 0))
@@ -144,6 +146,8 @@ def _weigh(hits: DataFrame, corpus: Corpus) -> DataFrame:
     idf = F.log((n_all - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf <= 0, F.lit(K.IDF_FLOOR)).otherwise(idf)
     weights = found.select("query_id", "prefix", idf.alias("idf"))
+    if bounded:
+        weights = F.broadcast(weights)
     k1, b = F.lit(K.BM25_K1), F.lit(K.BM25_B)
     damp = k1 * (F.lit(1.0) - b + b * F.col("length") / mean)
     part = F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + damp)
@@ -224,7 +228,7 @@ def bm25(
         .select(F.explode("queries").alias("query_id"), "prefix", *place, "f", "length")
         .repartition("query_id", *place)
     )
-    return _weigh(hits, corpus or corpus_of(chunk_lengths(chunks)))
+    return _weigh(hits, corpus or corpus_of(chunk_lengths(chunks)), bounded=True)
 
 
 def rank_chunks(scores: DataFrame, k: int) -> DataFrame:

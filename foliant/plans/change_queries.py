@@ -21,7 +21,7 @@ _FORMAT_OK = "regexp_matches(lower(path), '\\.(pdf|epub|chm|mobi|azw3|fb2)$')"
 )
 def coalesce_changes(lib: Library) -> DataFrame:
     rows = changes.coalesce_changes(lib.file_event)
-    return rows.withColumn("window_start", F.unix_micros("window_start"))
+    return rows.withColumn("window_start", changes.micros(F.col("window_start")))
 
 
 @query(
@@ -71,7 +71,7 @@ def drop_repeats(lib: Library) -> DataFrame:
 )
 def latest_position(lib: Library) -> DataFrame:
     rows = changes.latest_position(lib.reading_log)
-    return rows.withColumn("last_opened", F.unix_micros(F.col("last_opened").cast("timestamp")))
+    return rows.withColumn("last_opened", changes.micros(F.col("last_opened")))
 
 
 @query(
