@@ -194,3 +194,17 @@ def test_prompt_without_results(spark, queries):
     got = prompts.build_prompts(queries, empty).filter("query_id = 4").first()
     assert got["n_excerpts"] == 0
     assert got["prompt"].endswith("User question: unicornsteak<end_of_turn>\n<start_of_turn>model\n")
+
+
+def test_combined_summaries_split_long_books(spark):
+    sections = spark.createDataFrame([(1, i, f"s{i}") for i in range(3)], "book_id long, batch long, summary string")
+    got = prompts.combined_summaries(sections, per_row=2)
+    assert rows(got, "segment", "combined") == [(0, "Section 1: s0\n\nSection 2: s1"), (1, "Section 3: s2")]
+
+
+def test_long_scope_lists_take_the_salted_path(spark, monkeypatch):
+    books = spark.createDataFrame([(1, "/a/1.pdf", None), (2, "/a/2.pdf", 5)], "book_id long, file_path string, date_last_opened long")
+    scopes = spark.createDataFrame([(1, "all"), (2, "recent"), (3, "all")], "scope_id long, kind string")
+    plain = rows(catalog._library_wide(books, scopes), "scope_id", "book_id")
+    monkeypatch.setattr(catalog, "INLINE_NEEDLES", 1)
+    assert rows(catalog._library_wide(books, scopes), "scope_id", "book_id") == plain == [(1, 1), (1, 2), (2, 2), (3, 1), (3, 2)]
