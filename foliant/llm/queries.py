@@ -31,3 +31,17 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "score", "kept",
     )
+
+
+@query()
+def op10_pack_windows(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from foliant.llm.packing import pack
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return pack(table(spark, folder, "documents"), path).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+        "sequence_id", "offset",
+    )
