@@ -46,3 +46,40 @@ def words_of(text: Column) -> Column:
     return F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(
         F.split(bare, r"[\x20\x09-\x0D]+")
     )
+
+
+def beside_extreme(
+    df: DataFrame, key: str, value: str, name: str, largest: bool = False, salts: int = 64
+) -> DataFrame:
+    """Add to each row the smallest (or largest) ``value`` among the rows of its ``key``.
+
+    A key may hold a third of all rows: the rows of a key are spread over ``salts`` parts
+    by their value, parts are aggregated first, and the result joins back part by part, so
+    no task gets a whole key. Rows with a null key are left out.
+    """
+    best = F.max if largest else F.min
+    rows = df.where(F.col(key).isNotNull()).withColumn(
+        "_salt", F.pmod(F.xxhash64(value), F.lit(salts))
+    )
+    parts = rows.groupBy(key, "_salt").agg(best(value).alias(name), F.count("*").alias("_n"))
+    tops = parts.groupBy(key).agg(
+        best(name).alias(name), F.sum("_n").alias(f"{name}_rows"), F.collect_list("_salt").alias("_salts")
+    )
+    tops = tops.select(
+        F.col(key).alias("_key"), name, f"{name}_rows", F.explode("_salts").alias("_part")
+    )
+    return rows.join(
+        tops, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_part"))
+    ).drop("_key", "_part", "_salt")
+
+
+def salted_lookup(
+    rows: DataFrame, key: str, spread_by: str, facts: DataFrame, salts: int = 64
+) -> DataFrame:
+    """Join ``facts`` (one row per ``key``) to rows of which one key may hold a third.
+
+    Keys are spread by ``spread_by``; a fact is repeated once per part in which its key stands.
+    """
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
+    parts = rows.select(key, "_salt").distinct().join(facts, key)
+    return rows.join(parts, [key, "_salt"]).drop("_salt")
