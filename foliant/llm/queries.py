@@ -111,3 +111,17 @@ def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     )
     own = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     return chat_digests(format_chats(own.unionByName(extra)))
+
+
+@query()
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from foliant.llm.secret_scan import find_secrets
+
+    found = find_secrets(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex",
+        F.sha2(F.array_join("base", ","), 256).alias("base_sha256"),
+        F.array_join("spans", ",").alias("spans"),
+    )
