@@ -125,3 +125,78 @@ def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("base", ","), 256).alias("base_sha256"),
         F.array_join("spans", ",").alias("spans"),
     )
+
+
+@query(
+    """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top
+    FROM pages)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+    array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0],
+        lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            (((('0x' || substr(sha1(html), (5 * i + 1)::BIGINT, 5))::BIGINT >> s) & 31) + 1)::BIGINT, 1)), '')),
+        '') AS payload_digest,
+    CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM p
+"""
+)
+def op3_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    from foliant.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+@query()
+def op5_prefix_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    from foliant.llm.prefix_hash import fingerprints
+
+    return fingerprints(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query()
+def op4_n_best_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from foliant.llm.pieces import n_best_texts
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return n_best_texts(table(spark, folder, "documents"), path)
+
+
+@query()
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from foliant.llm.pieces import token_counts
+
+    return token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+#: Byte limit of a shard in the registered query.
+SHARD_BYTES = 4 << 20
+
+
+@query(
+    f"""
+WITH d AS (
+    SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS text_bytes,
+        ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h FROM documents),
+node AS (
+    SELECT depth, h >> (60 - depth) AS p, sum(text_bytes)::BIGINT AS n
+    FROM d, range(0, 41) t(depth) GROUP BY ALL HAVING n <= {SHARD_BYTES}),
+own AS (
+    SELECT d.doc_id, text_bytes, h, min(depth) AS depth FROM d
+    JOIN node ON p = h >> (60 - depth) GROUP BY ALL)
+SELECT doc_id, text_bytes, lpad(bin(h >> (60 - own.depth)), own.depth::INT, '0') AS shard,
+    own.depth::INT AS shard_depth, n AS shard_bytes
+FROM own JOIN node ON node.depth = own.depth AND p = h >> (60 - own.depth)
+"""
+)
+def op8_extendible_shards(spark: SparkSession, folder: str) -> DataFrame:
+    from foliant.llm.extendible import shards
+
+    return shards(table(spark, folder, "documents").select("doc_id", "text"), SHARD_BYTES)
