@@ -14,7 +14,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return clean_documents(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES = [("quality rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    from foliant.llm.near_dups import one_per_group
+
+    return one_per_group(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with every secret masked."""
+    from foliant.llm.secret_scan import redact
+
+    return redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the packed sequences with their token ids."""
+    import public_tokenizers
+
+    from foliant.llm.packing import pack
+
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("near duplicates", near_duplicates),
+    ("secrets", secrets),
+    ("packing", packing),
+]
 
 #: SQL can't express the hashed ratio, the network or the tokenizer.
 ORACLE_SQL = None

@@ -63,8 +63,9 @@ class Shingler:
         known = self.words
         if len(known) > self.memory:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = xxhash.xxh3_64_intdigest(w)
+        for w in words:
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = min(self.width, len(h))
         total = np.full(len(h) - n + 1, n, np.uint64)
@@ -76,38 +77,39 @@ class Shingler:
 def super_min_hash(sets: list[np.ndarray], size: int) -> np.ndarray:
     """SuperMinHash signatures (one row of 64-bit values per set); empty sets give the maximum.
 
-    Each element carries one random permutation of the places and one random fraction per
-    rank; place p keeps the least (rank, fraction) of all elements. Ranks are taken in
-    order over all elements of the sets that still need them, and a set stops as soon as
-    no place can improve: its worst value lies below the next rank.
+    Each element carries a random permutation of the places and a random fraction per
+    rank; place p keeps the least (rank, fraction) of all elements. The permutation is
+    start + rank * odd step modulo a power of two, with start and step drawn by element,
+    so at every rank an element falls on every place alike. Ranks are taken in order over
+    all elements of the sets that still need them, and a set stops as soon as no place
+    can improve: its worst value lies below the next rank.
     """
-    counts = np.array([len(s) for s in sets], np.int64)
-    best = np.full((len(sets), size), np.iinfo(np.uint64).max, np.uint64)
-    owner = np.repeat(np.arange(len(sets)), counts)
-    seed = np.concatenate(sets) if len(owner) else np.zeros(0, np.uint64)
-    places = None
+    if size & (size - 1):
+        raise ValueError("the signature size must be a power of two")
+    going = np.flatnonzero([len(s) > 0 for s in sets])
+    out = np.full((len(sets), size), np.iinfo(np.uint64).max, np.uint64)
+    best = out[going]
+    counts = np.array([len(sets[i]) for i in going], np.int64)
+    seed = np.concatenate([sets[i] for i in going]) if len(going) else np.zeros(0, np.uint64)
+    drawn = _mix(seed + np.uint64(0x9E3779B97F4A7C15))
+    mask = np.uint64(size - 1)
+    place, step = drawn & mask, (drawn >> np.uint64(20) & mask) | np.uint64(1)
     for rank in range(size):
-        if not len(owner):
+        if not len(going):
             break
-        seed = _mix(seed + np.uint64(0x9E3779B97F4A7C15))
-        swap = rank + ((seed >> np.uint64(32)) * np.uint64(size - rank) >> np.uint64(32)).astype(np.int64)
-        value = np.uint64(rank) << np.uint64(32) | (_mix(seed) >> np.uint64(32))
-        if places is None:
-            place = swap
-        else:
-            rows = np.arange(len(owner))
-            place = places[rows, swap].astype(np.int64)
-            places[rows, swap] = places[rows, rank]
-        np.minimum.at(best.reshape(-1), owner * size + place, value)
-        going = best.max(axis=1) >= np.uint64(rank + 1) << np.uint64(32)
-        stay = going[owner]
-        if places is None:
-            owner, seed, swap = owner[stay], seed[stay], swap[stay]
-            places = np.tile(np.arange(size, dtype=np.uint16), (len(owner), 1))
-            places[np.arange(len(owner)), swap] = 0  # the first swap, done late
-        elif not stay.all():
-            owner, seed, places = owner[stay], seed[stay], places[stay]
-    return best
+        base = np.repeat(np.arange(len(going), dtype=np.uint64) * np.uint64(size), counts)
+        seed = seed * np.uint64(0xD1342543DE82EF95) + np.uint64(0x9E3779B97F4A7C15)
+        value = np.uint64(rank) << np.uint64(32) | ((seed ^ (seed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32))
+        np.minimum.at(best.reshape(-1), (base + place).astype(np.int64), value)
+        more = best.max(axis=1) >= np.uint64(rank + 1) << np.uint64(32)
+        if not more.all():
+            out[going[~more]] = best[~more]
+            rows = np.repeat(more, counts)
+            going, best, counts = going[more], best[more], counts[more]
+            seed, place, step = seed[rows], place[rows], step[rows]
+        place = (place + step) & mask
+    out[going] = best
+    return out
 
 
 _SKETCH = "doc_id long, n_shingles long, set_key binary, signature binary"
@@ -367,9 +369,15 @@ def near_groups(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame
 def one_per_group(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     """The rows of ``docs`` that are kept, one per group, with their own columns.
 
-    Rows that repeat a kept doc_id with an equal text stay one row.
+    Of rows that repeat a kept doc_id one stays, that with the least text. Rows with a
+    null doc_id all stay.
     """
-    docs = stored(docs, "near-input")
-    kept = near_groups(docs, params).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    ids = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return ids.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").union(docs.where("doc_id IS NULL"))
+    rows = near_groups(docs, params).where("doc_id IS NOT NULL").groupBy("doc_id")
+    kept = rows.agg(F.max("kept").alias("_kept"), (F.count("*") > 1).alias("_again")).where("_kept")
+    kept = stored(kept.select(F.col("doc_id").alias("_id"), "_again"), "kept-ids")
+    named = docs.join(kept, docs["doc_id"] == kept["_id"])
+    once = named.where("NOT _again").select(*[docs[c] for c in docs.columns])
+    several = named.where("_again").groupBy("_id").agg(
+        F.min_by(F.struct(*[docs[c] for c in docs.columns]), whole_text(docs["text"])).alias("_row")
+    )
+    return once.union(several.select("_row.*")).union(docs.where("doc_id IS NULL"))

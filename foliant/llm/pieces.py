@@ -146,8 +146,9 @@ class Remembered:
         if len(self.known) > self.memory:
             self.known.clear()
         known = self.known
-        for s in set(segments) - known.keys():
-            known[s] = self.work(s)
+        for s in segments:
+            if s not in known:
+                known[s] = self.work(s)
         return [known[s] for s in segments]
 
 
