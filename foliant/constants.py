@@ -104,7 +104,6 @@ FRONT_MATTER = [
 FRONT_MATTER_CHARS = 60
 INDEX_LINE_PATTERN = r"(?m)^[A-Za-z][A-Za-z\s,\-']{2,40},\s*\d{1,4}(\s*,\s*\d{1,4})*\s*$"
 INDEX_LINES = 4
-LEADERS = ["....", ". . ."]
 LEADER_LINES = 3
 DIGIT_SHARE = 0.2
 

@@ -46,12 +46,13 @@ def _decode_numbered(text: Column) -> Column:
     """Replace ``&#n;`` by the character with that code."""
 
     def piece(part: Column, at: Column) -> Column:
-        code = F.regexp_extract(part, r"^(\d{1,7});", 1)
+        written = F.regexp_extract(part, r"^(\d+);", 1)
+        code = F.regexp_extract(written, r"^0*(\d{1,7})$", 1)
         number = F.try_to_number(code, F.lit("9999999")).cast("int")
         char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
         usable = (at > 0) & (code != "") & (number > 0) & (number < 0x110000)
         surrogate = number.between(0xD800, 0xDFFF)
-        rest = F.substr(part, F.length(code) + 2)
+        rest = F.substr(part, F.length(written) + 2)
         return F.when(usable & ~surrogate, F.concat(char, rest)).when(
             at > 0, F.concat(F.lit("&#"), part)
         ).otherwise(part)

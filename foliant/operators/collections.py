@@ -121,21 +121,15 @@ def first_ids_of_payloads(payloads: DataFrame) -> DataFrame:
     )
 
 
-def encode_payloads(selected: DataFrame, most: int = 1000) -> DataFrame:
-    """``drop_id, part, payload`` for a selection of ids (``drop_id, id``).
+def encode_payloads(selected: DataFrame) -> DataFrame:
+    """``drop_id, payload`` for a selection of ids (``drop_id, id``).
 
-    One selected id is written alone, more as one sorted list. Selections above ``most``
-    ids become several lists, which the decoder reads back as one drop.
+    One selected id is written alone, more as one sorted list.
     """
     ids = selected.select("drop_id", "id").distinct()
-    sizes = ids.groupBy("drop_id").agg(F.count("*").alias("_n"))
-    parts = F.ceil(F.col("_n") / F.lit(most))
-    placed = ids.join(sizes, "drop_id").withColumn(
-        "part", F.when(parts <= 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), parts)).cast("int")
-    )
     csv = F.expr("listagg(id, ',') WITHIN GROUP (ORDER BY id)")
-    packed = placed.groupBy("drop_id", "part").agg(csv.alias("_csv"), F.max("_n").alias("_n"))
+    packed = ids.groupBy("drop_id").agg(csv.alias("_csv"), F.count("*").alias("_n"))
     payload = F.when(F.col("_n") == 1, F.col("_csv")).otherwise(
         F.concat(F.lit(K.ID_LIST_PREFIX), "_csv")
     )
-    return packed.select("drop_id", "part", payload.alias("payload"))
+    return packed.select("drop_id", payload.alias("payload"))

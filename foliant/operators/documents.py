@@ -18,24 +18,17 @@ from foliant.functions.text import (
 )
 from foliant.operators.ordering import running_total
 
-# parts joined into one text row; a longer book becomes several rows in order
-PARTS_PER_ROW = 512
-
 _LINK = r"(?i)(?:src|href)=[\"']([^\"'#][^\"']*?)[\"']"
 _STYLE = r"(?i)<link[^>]+href=[\"']([^\"']+)[\"'][^>]*>"
 
 
-def assemble(parts: DataFrame, per_row: int = PARTS_PER_ROW) -> DataFrame:
+def assemble(parts: DataFrame) -> DataFrame:
     """Texts of a book in reading order, a newline after each part.
 
-    ``parts`` is ``book_id, part_index, text``; result ``book_id, segment, text``. A book
-    has one segment unless it has more than ``per_row`` parts.
+    ``parts`` is ``book_id, part_index, text``; a book gives one row whatever its length.
     """
-    placed = parts.withColumn("segment", F.floor(F.col("part_index") / per_row))
     joined = F.expr("listagg(text || '\n', '') WITHIN GROUP (ORDER BY part_index)")
-    return placed.groupBy("book_id", "segment").agg(
-        joined.alias("text"), F.count("*").alias("n_parts")
-    )
+    return parts.groupBy("book_id").agg(joined.alias("text"), F.count("*").alias("n_parts"))
 
 
 def page_metadata(pages: DataFrame) -> DataFrame:
@@ -168,19 +161,16 @@ def style_links(chapters: DataFrame) -> DataFrame:
     return rows.select("book_id", target.alias("target")).distinct()
 
 
-def combine_chapters(chapters: DataFrame, per_row: int = PARTS_PER_ROW) -> DataFrame:
-    """Chapters of a book wrapped and joined in spine order (``book_id, segment, html``)."""
+def combine_chapters(chapters: DataFrame) -> DataFrame:
+    """Chapters of a book wrapped and joined in spine order, one row per book."""
     base = chapter_folder(F.col("href"))
     wrapped = F.concat(
-        F.lit('<div class="eb-chapter" data-chapter="'), F.col("spine_index").cast("string"),
+        F.lit('<div class="chapter" data-chapter="'), F.col("spine_index").cast("string"),
         F.lit('" data-base="'), base, F.lit('">'),
         rewrite_links(body_content(F.col("html")), base), F.lit("</div>"),
     )
-    placed = chapters.select(
-        "book_id", "spine_index", wrapped.alias("_part"),
-        F.floor(F.col("spine_index") / per_row).alias("segment"),
-    )
-    return placed.groupBy("book_id", "segment").agg(
+    placed = chapters.select("book_id", "spine_index", wrapped.alias("_part"))
+    return placed.groupBy("book_id").agg(
         F.expr("listagg(_part, '\n') WITHIN GROUP (ORDER BY spine_index)").alias("html"),
         F.count("*").alias("n_chapters"),
     )

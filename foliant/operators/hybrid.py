@@ -10,7 +10,6 @@ from foliant.functions.scoring import guess_title, is_content, pattern_score
 from foliant.functions.text import strip
 from foliant.operators.catalog import display_title
 from foliant.operators.chunking import chunk_windows
-from foliant.operators.keyword import rank_chunks
 from foliant.operators.matching import keep_where
 from foliant.operators.ordering import top_per_key
 
@@ -272,18 +271,18 @@ def fallback_chunks(
 ) -> DataFrame:
     """Keyword chunks for queries that got no chunk-level result.
 
-    ``answered`` is ``query_id``; ``scores`` are bm25 scores over ``texts``. The best
-    ``2 * limit`` chunks are filtered for quality, then cut to ``limit``.
+    ``answered`` is ``query_id``; ``scores`` are bm25 scores over ``texts``. Chunks must pass
+    the quality gate before the best ``limit`` are taken.
     """
     open_scores = scores.join(answered.select("query_id").distinct(), "query_id", "left_anti")
-    top = rank_chunks(open_scores, 2 * limit).join(
+    found = open_scores.join(
         texts.select("book_id", "chunk_index", "text"), ["book_id", "chunk_index"]
     )
-    good = keep_where(top, "_passes", good_text(F.col("text")), lambda passes: passes)
+    good = keep_where(found, "_passes", good_text(F.col("text")), lambda passes: passes)
     clamped = F.greatest(
         F.lit(K.FALLBACK_LOW), F.least(F.lit(K.FALLBACK_HIGH), F.col("score") / F.lit(10.0))
     )
-    picked = top_per_key(good.drop("rank", "_passes"), ["query_id"], [F.col("score").desc(), F.col("book_id"), F.col("chunk_index")], limit)
+    picked = top_per_key(good.drop("_passes"), ["query_id"], [F.col("score").desc(), F.col("book_id"), F.col("chunk_index")], limit)
     return picked.select(
         "query_id", "rank", "book_id", "chunk_index", F.round(clamped, 6).alias("score"),
         F.substr("text", F.lit(1), F.lit(K.SNIPPET_CHARS)).alias("snippet"),

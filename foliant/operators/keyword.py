@@ -193,7 +193,7 @@ def bm25(
     listed = small_rows(terms.select("query_id", "prefix").distinct(), inline)
     split = chunks.select(*place, tokens(F.col("text")).alias("_tokens"))
     if listed is None:
-        return bm25_indexed(terms, build_postings(chunks), chunk_lengths(chunks))
+        return bm25_indexed(terms, build_postings(chunks), chunk_lengths(chunks), corpus)
     by_prefix: dict[str, list[int]] = {}
     for row in listed:
         by_prefix.setdefault(row["prefix"], []).append(row["query_id"])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.operators.catalog import in_folder
+from foliant.operators.ordering import first_per_key
 
 
 def cascade_delete(tables: dict[str, DataFrame], deleted: DataFrame) -> dict[str, DataFrame]:
@@ -84,32 +85,39 @@ def apply_membership(
 
 
 def apply_updates(
-    base: DataFrame, updates: DataFrame, key: str, order: Sequence[str], columns: Sequence[str]
+    base: DataFrame,
+    updates: DataFrame,
+    key: str,
+    order: Sequence[str],
+    columns: Sequence[str],
+    flags: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Base rows with the latest non-null update of each column.
+    """Base rows with the latest update of each column.
 
-    Updates are reduced per key before the join; keys without a base row are ignored.
+    An update sets a column when its value isn't null, or when the boolean column named
+    for it in ``flags`` is true; so a flagged null clears the value. Updates are reduced
+    per key before the join; keys without a base row are ignored.
     """
-    place = F.struct(*order)
+    place, flags = F.struct(*order), flags or {}
+    sets = {c: F.col(flags[c]) if c in flags else F.col(c).isNotNull() for c in columns}
     latest = updates.groupBy(key).agg(
-        *[
-            F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(f"_{c}")
-            for c in columns
-        ]
+        *[F.max_by(F.struct(c), F.when(sets[c], place)).alias(f"_{c}") for c in columns]
     )
     joined = base.join(latest, key, "left")
     return joined.select(
         *[
-            F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c)
+            F.when(F.col(f"_{c}").isNull(), F.col(c)).otherwise(F.col(f"_{c}")[c]).alias(c)
+            if c in columns
+            else F.col(c)
             for c in base.columns
         ]
     )
 
 
-def insert_missing(base: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    return base.unionByName(
-        rows.dropDuplicates([key]).join(base.select(key), key, "left_anti")
-    )
+def insert_missing(base: DataFrame, rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """``base`` with the rows of unknown keys, the first by ``order`` for each key."""
+    fresh = rows.join(base.select(key), key, "left_anti")
+    return base.unionByName(first_per_key(fresh, [key], order))
 
 
 def replace_books(

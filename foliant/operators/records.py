@@ -123,7 +123,7 @@ def parse_blocks(answers: DataFrame, sources: DataFrame) -> DataFrame:
         F.min_by(F.struct(*fields), "excerpt_index").alias("_titled")
     )
     numbered = records.withColumn("_title", F.lower("_from")).withColumn(
-        "_excerpt", F.try_to_number("_excerpt", F.lit("999999999")).cast("string")
+        "_excerpt", F.expr("try_cast(_excerpt AS bigint)").cast("string")
     )
     found = (
         numbered.join(by_number, ["response_id", "_excerpt"], "left")

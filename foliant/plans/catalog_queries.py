@@ -300,8 +300,8 @@ def decode_payloads(lib: Library) -> DataFrame:
 
 
 @query(
-    "drop_id bigint, part bigint, payload string",
-    """SELECT drop_id, 0 AS part, CASE WHEN count(DISTINCT id) = 1 THEN min(id) ELSE 'BOOKS:' || string_agg(DISTINCT id, ',' ORDER BY id) END AS payload
+    "drop_id bigint, payload string",
+    """SELECT drop_id, CASE WHEN count(DISTINCT id) = 1 THEN min(id) ELSE 'BOOKS:' || string_agg(DISTINCT id, ',' ORDER BY id) END AS payload
     FROM selection GROUP BY drop_id""",
 )
 def encode_payloads(lib: Library) -> DataFrame:
@@ -427,9 +427,9 @@ def membership_apply(lib: Library) -> DataFrame:
 
 @query(
     "annotation_id bigint, color string, note string, modified bigint",
-    """SELECT a.annotation_id, coalesce(u.color, a.color) AS color, coalesce(u.note, a.note) AS note, u.modified FROM annotation a LEFT JOIN (
+    """SELECT a.annotation_id, coalesce(u.color, a.color) AS color, CASE WHEN u.note IS NULL THEN a.note ELSE u.note.v END AS note, u.modified FROM annotation a LEFT JOIN (
       SELECT event_id % 3000 AS annotation_id, max(event_id) AS modified,
-        first(event_type ORDER BY event_id DESC) FILTER (WHERE event_id % 4 <> 0) AS color, first(props ORDER BY event_id DESC) FILTER (WHERE event_id % 3 = 0) AS note
+        first(event_type ORDER BY event_id DESC) FILTER (WHERE event_id % 4 <> 0) AS color, first({'v': CASE WHEN event_id % 9 <> 0 THEN props END} ORDER BY event_id DESC) FILTER (WHERE event_id % 3 = 0) AS note
       FROM events GROUP BY event_id % 3000) u ON u.annotation_id = a.annotation_id""",
 )
 def apply_updates(lib: Library) -> DataFrame:
@@ -441,11 +441,49 @@ def apply_updates(lib: Library) -> DataFrame:
         "event_id",
         F.col("event_id").alias("modified"),
         F.when(F.col("event_id") % 4 != 0, F.col("event_type")).alias("color"),
-        F.when(F.col("event_id") % 3 == 0, F.col("props")).alias("note"),
+        # every third event sets the note, every ninth clears it
+        F.when(F.col("event_id") % 9 != 0, F.col("props")).alias("note"),
+        (F.col("event_id") % 3 == 0).alias("sets_note"),
     )
     return mutations.apply_updates(
-        base, updates, "annotation_id", ["event_id"], ["color", "note", "modified"]
-    )
+        base, updates, "annotation_id", ["event_id"], ["color", "note", "modified"],
+        flags={"note": "sets_note"},
+    )
+
+
+@query(
+    "user_id bigint, event_id bigint, event_type string",
+    """SELECT user_id, event_id, event_type FROM events WHERE event_id % 3 = 0 AND event_id = user_id * 3
+    UNION ALL SELECT user_id, min(event_id), first(event_type ORDER BY event_id) FROM events
+    WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_id % 3 = 0 AND event_id = user_id * 3) GROUP BY user_id""",
+)
+def insert_missing(lib: Library) -> DataFrame:
+    rows = lib.events.select("user_id", "event_id", "event_type")
+    base = rows.filter("event_id % 3 = 0 AND event_id = user_id * 3")
+    return mutations.insert_missing(base, rows, "user_id", ["event_id"])
+
+
+@query(
+    "annotation_id bigint, book_id bigint",
+    """SELECT annotation_id, book_id FROM annotation WHERE annotation_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 2)
+    AND book_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)""",
+)
+def delete_annotations(lib: Library) -> DataFrame:
+    ids = lib.lineitem.filter("l_linenumber = 2").select(F.col("l_orderkey").alias("annotation_id"))
+    books = lib.labels.filter("quality = 0").select(F.col("doc_id").alias("book_id"))
+    return mutations.delete_annotations(lib.annotation.select("annotation_id", "book_id"), ids, books)
+
+
+@query(
+    "collection_id bigint, name string, book_id bigint",
+    """SELECT c.collection_id, c.name, m.book_id FROM collection c LEFT JOIN book_collection m ON m.collection_id = c.collection_id
+    WHERE c.collection_type <> 'cookbook'""",
+)
+def delete_collections(lib: Library) -> DataFrame:
+    gone = lib.collection.filter("collection_type = 'cookbook'")
+    left, membership = mutations.delete_collections(lib.collection, lib.book_collection, gone)
+    books = membership.select("collection_id", "book_id")
+    return left.select("collection_id", "name").join(books, "collection_id", "left")
 
 
 @query(

@@ -316,8 +316,8 @@ def hybrid_chunks(lib: Library) -> DataFrame:
     "query_id bigint, rank bigint, book_id bigint, chunk_index bigint, score double, snippet string",
     f"""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY bm DESC, book_id, chunk_index) AS rank, book_id, chunk_index, round(greatest({K.FALLBACK_LOW}, least({K.FALLBACK_HIGH}, bm / 10)), 6) AS score, snippet FROM (
       SELECT s.query_id, s.book_id, s.chunk_index, s.score AS bm, substr(c.text, 1, {K.SNIPPET_CHARS}) AS snippet, {page_kind('c.text')} AS kind, {score('c.text')} AS quality FROM (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, book_id, chunk_index) AS n FROM cook_score WHERE query_id NOT IN (SELECT query_id FROM accepted WHERE query_id % 2 = 0)) s
-      JOIN cook_chunk c ON c.book_id = s.book_id AND c.chunk_index = s.chunk_index WHERE s.n <= {2 * K.CHUNK_RESULTS}) f
+        SELECT * FROM cook_score WHERE query_id NOT IN (SELECT query_id FROM accepted WHERE query_id % 2 = 0)) s
+      JOIN cook_chunk c ON c.book_id = s.book_id AND c.chunk_index = s.chunk_index) f
     WHERE kind = 'content' AND quality >= {K.QUALITY_GATE} QUALIFY rank <= {K.CHUNK_RESULTS}""",
 )
 def fallback_chunks(lib: Library) -> DataFrame:
@@ -369,8 +369,8 @@ _HISTORY = """SELECT conv_id AS query_id, string_agg(CASE role WHEN 'user' THEN
 @query(
     "query_id bigint, n_excerpts bigint, prompt string",
     f"""SELECT q.query_id, coalesce(e.n, 0) AS n_excerpts, '<start_of_turn>user' || chr(10) || '{prompts.GENERAL_RULES.replace("'", "''")}' || chr(10) ||
-      coalesce(chr(10) || 'BEGIN BOOK EXCERPTS (this is the ONLY information you may use to answer):' || chr(10) || chr(10) || e.excerpts || 'END BOOK EXCERPTS' || chr(10),
-        chr(10) || 'No relevant excerpts were found in the user''s book library.' || chr(10)) || coalesce(h.history, '') ||
+      coalesce(chr(10) || '{prompts.EXCERPTS_START}' || chr(10) || chr(10) || e.excerpts || '{prompts.EXCERPTS_STOP}' || chr(10),
+        chr(10) || '{prompts.NO_EXCERPTS}' || chr(10)) || coalesce(h.history, '') ||
       chr(10) || 'User question: ' || q.text || '<end_of_turn>' || chr(10) || '<start_of_turn>model' || chr(10) AS prompt
     FROM query q LEFT JOIN (SELECT query_id, count(*) AS n, string_agg('--- Excerpt [' || rank || '] from "' || replace(title, '"', '\\"') || '" ---' || chr(10) || full_text || chr(10) || chr(10), '' ORDER BY rank) AS excerpts
       FROM book_result WHERE rank <= 10 GROUP BY query_id) e ON e.query_id = q.query_id LEFT JOIN ({_HISTORY}) h ON h.query_id = q.query_id""",
@@ -385,8 +385,8 @@ def build_prompts(lib: Library) -> DataFrame:
 @query(
     "query_id bigint, n_excerpts bigint, prompt string",
     f"""SELECT q.query_id, coalesce(e.n, 0) AS n_excerpts, '<start_of_turn>user' || chr(10) || '{prompts.COOKBOOK_RULES}' || chr(10) ||
-      coalesce(chr(10) || 'BEGIN BOOK EXCERPTS (this is the ONLY information you may use to answer):' || chr(10) || chr(10) || e.excerpts || 'END BOOK EXCERPTS' || chr(10),
-        chr(10) || 'No relevant excerpts were found in the user''s book library.' || chr(10)) ||
+      coalesce(chr(10) || '{prompts.EXCERPTS_START}' || chr(10) || chr(10) || e.excerpts || '{prompts.EXCERPTS_STOP}' || chr(10),
+        chr(10) || '{prompts.NO_EXCERPTS}' || chr(10)) ||
       chr(10) || 'User question: ' || q.text || '<end_of_turn>' || chr(10) || '<start_of_turn>model' || chr(10) AS prompt
     FROM query q LEFT JOIN (SELECT query_id, count(*) AS n, string_agg('[excerpt ' || rank || ' | "' || replace(title, '"', '\\"') || '" | id=' || chunk_id || CASE WHEN is_hinted THEN ' | recipe-hint' ELSE '' END || ']'
         || chr(10) || full_text || chr(10) || chr(10), '' ORDER BY rank) AS excerpts

@@ -40,9 +40,9 @@ def escape_html(lib: Library) -> DataFrame:
 
 
 @query(
-    "book_id bigint, segment bigint, text string, n_parts bigint",
-    """SELECT book_id, page_index // 512 AS segment, string_agg(text || chr(10), '' ORDER BY page_index) AS text, count(*) AS n_parts
-    FROM book_page GROUP BY book_id, page_index // 512""",
+    "book_id bigint, text string, n_parts bigint",
+    """SELECT book_id, string_agg(text || chr(10), '' ORDER BY page_index) AS text, count(*) AS n_parts
+    FROM book_page GROUP BY book_id""",
 )
 def assemble_document(lib: Library) -> DataFrame:
     return documents.assemble(lib.book_page.withColumnRenamed("page_index", "part_index"))
@@ -138,7 +138,7 @@ def distinct_links(lib: Library) -> DataFrame:
 def _combined_sql() -> str:
     link = "regexp_extract(piece, pattern, 2)"
     keep = " OR ".join(f"starts_with({link}, '{x}')" for x in ["http", "data:", "/", "#"])
-    return f"""SELECT book_id, spine_index // 512 AS segment, string_agg('<div class="eb-chapter" data-chapter="' || spine_index || '" data-base="' || base || '">' || body || '</div>', chr(10) ORDER BY spine_index) AS html,
+    return f"""SELECT book_id, string_agg('<div class="chapter" data-chapter="' || spine_index || '" data-base="' || base || '">' || body || '</div>', chr(10) ORDER BY spine_index) AS html,
       count(*) AS n_chapters FROM (
       SELECT book_id, spine_index, base, string_agg(CASE WHEN {link} = '' OR {keep} THEN piece
         ELSE regexp_extract(piece, pattern, 1) || {_JOIN.format(f'concat(base, {link})')} || regexp_extract(piece, pattern, 3) || regexp_extract(piece, pattern, 4) END, '' ORDER BY pos) AS body
@@ -146,10 +146,10 @@ def _combined_sql() -> str:
         SELECT book_id, spine_index, base, pieces, unnest(range(1, len(pieces) + 1)) AS pos FROM (
           SELECT book_id, spine_index, regexp_extract(href, '^(.*/)', 1) AS base,
             string_split(regexp_replace({_body('')}, '(?i)((?:src|href)=["''])', chr(1) || '\\1', 'g'), chr(1)) AS pieces FROM spine_item) a) b) c
-      GROUP BY book_id, spine_index, base) d GROUP BY book_id, spine_index // 512"""
+      GROUP BY book_id, spine_index, base) d GROUP BY book_id"""
 
 
-@query("book_id bigint, segment bigint, html string, n_chapters bigint", _combined_sql())
+@query("book_id bigint, html string, n_chapters bigint", _combined_sql())
 def combine_chapters(lib: Library) -> DataFrame:
     return documents.combine_chapters(lib.spine_item)
 

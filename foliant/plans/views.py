@@ -15,14 +15,6 @@ RAW = [
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
 
-# tables with heavy work per row, and their key
-SPREAD = {
-    "documents": "doc_id",
-    "pages": "page_id",
-    "orders": "o_orderkey",
-    "embeddings": "vec_id",
-}
-
 DIALECTS = {
     "spark": {
         "slices": "LATERAL VIEW explode(sequence(0, CAST(ceil(length(d.text) / 600.0) AS INT) - 1)) s AS i",
@@ -50,7 +42,7 @@ VIEWS = {
 SELECT doc_id AS book_id,
   concat('/library/', source, '/', lang, '/book_', CAST(doc_id AS STRING), '.', fmt) AS file_path,
   concat('book_', CAST(doc_id AS STRING), '.', fmt) AS file_name,
-  CASE WHEN doc_id % 7 = 0 THEN NULL ELSE substr(split_part(text, chr(10), 1), 1, 60) END AS title,
+  CASE WHEN doc_id % 7 = 0 THEN NULL ELSE split_part(text, chr(10), 1) END AS title,
   CASE WHEN doc_id % 11 = 0 THEN NULL ELSE concat('Author ', CAST(doc_id % 37 AS STRING)) END AS author,
   fmt AS format, n_chars AS file_size, CAST(n_chars AS INT) % 500 + 10 AS page_count, lang AS language,
   1704067200 + doc_id * 60 AS date_added,
@@ -97,8 +89,8 @@ GROUP BY book_id, collection_id""",
     "chunk_vec": """
 SELECT c.chunk_id, c.book_id, c.chunk_index, c.text, CASE WHEN c.chunk_id % 9 = 4 THEN NULL ELSE e.embedding END AS embedding
 FROM (SELECT d.doc_id * 100000 + i AS chunk_id, d.doc_id AS book_id, CAST(i AS INT) AS chunk_index,
-    substr(d.text, CAST(i AS INT) * 600 + 1, 600) AS text FROM documents d {slices}) c
-  JOIN embeddings e ON e.vec_id = (c.book_id * 31 + c.chunk_index) % {n_embeddings}""",
+    substr(d.text, CAST(i AS INT) * 600 + 1, 600) AS text, (d.doc_id * 31 + i) % {n_embeddings} AS vec_id FROM documents d {slices}) c
+  JOIN embeddings e ON e.vec_id = c.vec_id""",
     # cookbooks of eight chunks each: recipes, contents, index, preface, plain text
     "cook_chunk": """
 SELECT r.chunk_id, r.book_id, r.chunk_index, r.text, CASE WHEN r.chunk_id % 9 = 4 THEN NULL ELSE e.embedding END AS embedding
@@ -112,8 +104,8 @@ FROM (SELECT doc_id AS chunk_id, doc_id {int_div} 8 AS book_id, CAST(doc_id % 8
   WHEN 4 THEN concat('Simmer for ', CAST(doc_id % 3 + 1 AS STRING), ' hours with 2 tbsp oil', chr(10), text)
   WHEN 5 THEN '   '
   WHEN 6 THEN concat('Whisk 2 cups milk', chr(10), 'a . . . b', chr(10), 'c .... d', chr(10), text)
-  ELSE text END AS text FROM documents) r
-  JOIN embeddings e ON e.vec_id = r.chunk_id % {n_embeddings}""",
+  ELSE text END AS text, doc_id % {n_embeddings} AS vec_id FROM documents) r
+  JOIN embeddings e ON e.vec_id = r.vec_id""",
     "query": """
 SELECT q.query_id, q.text, e.embedding AS vector FROM (
   SELECT CAST(0 AS BIGINT) AS query_id, 'find me the thing about nicht' AS text
@@ -256,7 +248,7 @@ class Library:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._made:
-            df = read_table(self.spark, f"{self.folder}/{name}.parquet", SPREAD.get(name))
+            df = read_table(self.spark, f"{self.folder}/{name}.parquet")
             df.createOrReplaceTempView(name)
             self._made[name] = df
         return self._made[name]

@@ -5,20 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a table that is small for this cluster over all cores.
-
-    A file with one row group is one task however many cores there are. When the size
-    estimate of the scan is below one split per core, a hash shuffle by ``key`` costs little
-    and lets per-row text work run everywhere. Larger tables are left as they are.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < cores * split else df
-
-
-def read_table(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
-    return spread(df, key) if key else df
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table as its files are cut; split sizes are a matter of the session's settings."""
+    return spark.read.parquet(path)

@@ -198,8 +198,8 @@ def test_prompt_without_results(spark, queries):
 
 def test_combined_summaries_split_long_books(spark):
     sections = spark.createDataFrame([(1, i, f"s{i}") for i in range(3)], "book_id long, batch long, summary string")
-    got = prompts.combined_summaries(sections, per_row=2)
-    assert rows(got, "segment", "combined") == [(0, "Section 1: s0\n\nSection 2: s1"), (1, "Section 3: s2")]
+    got = prompts.combined_summaries(sections)
+    assert rows(got, "combined", "n_sections") == [("Section 1: s0\n\nSection 2: s1\n\nSection 3: s2", 3)]
 
 
 def test_long_scope_lists_take_the_salted_path(spark, monkeypatch):
