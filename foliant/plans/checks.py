@@ -178,7 +178,7 @@ SELECT query_id, book_id, chunk_id, similarity, rank FROM (
     "candidate": f"""
 SELECT coalesce(v.query_id, k.query_id) AS query_id, coalesce(v.book_id, k.book_id) AS book_id, coalesce(v.chunk_id, k.chunk_id) AS chunk_id,
   round(CASE WHEN v.similarity IS NULL THEN {K.KEYWORD_BASE} ELSE v.similarity + CASE WHEN k.chunk_id IS NULL THEN 0 ELSE {K.KEYWORD_BOOST} END END, 6) AS score
-FROM vector_hit v FULL JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY book_id, chunk_index) AS n FROM keyword_hit) t WHERE n <= 80) k
+FROM vector_hit v FULL JOIN keyword_hit k
   ON k.query_id = v.query_id AND k.chunk_id = v.chunk_id""",
     "best_candidate": """
 SELECT query_id, book_id, max(score) AS score, first(chunk_id ORDER BY score DESC, chunk_id) AS chunk_id FROM candidate GROUP BY query_id, book_id""",
@@ -202,9 +202,8 @@ SELECT query_id, book_id, chunk_id, similarity, rank FROM (
     SELECT q.query_id, c.book_id, c.chunk_id, round(list_cosine_similarity(CAST(q.vector AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS similarity
     FROM query q, cook_chunk c WHERE c.embedding IS NOT NULL) s) r WHERE rank <= 36""",
     "cook_keyword": """
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY book_id, chunk_index) AS n FROM (
-  SELECT w.query_id, c.book_id, c.chunk_id, c.chunk_index FROM cook_chunk c, keyword_list w
-  WHERE len(list_filter(w.words, lambda k: contains(lower(c.text), k))) > 0) m) t WHERE n <= 48""",
+SELECT w.query_id, c.book_id, c.chunk_id, c.chunk_index FROM cook_chunk c, keyword_list w
+WHERE len(list_filter(w.words, lambda k: contains(lower(c.text), k))) > 0""",
     "cook_candidate": f"""
 SELECT coalesce(v.query_id, k.query_id) AS query_id, coalesce(v.book_id, k.book_id) AS book_id, coalesce(v.chunk_id, k.chunk_id) AS chunk_id,
   round(CASE WHEN v.similarity IS NULL THEN {K.KEYWORD_BASE} ELSE v.similarity + CASE WHEN k.chunk_id IS NULL THEN 0 ELSE {K.KEYWORD_BOOST} END END, 6) AS score

@@ -12,8 +12,6 @@ from foliant.plans.registry import query
 from foliant.plans.text_queries import docs
 from foliant.plans.views import Library
 
-GENERAL_KEYWORDS = 80
-COOKBOOK_KEYWORDS = 48
 COOKBOOK_VECTORS = 36
 
 
@@ -45,7 +43,7 @@ def vector_hits(lib: Library) -> DataFrame:
 
 
 def candidates(lib: Library) -> DataFrame:
-    hits = keyword.keyword_chunks(_keywords(lib), lib.chunk_vec, limit=GENERAL_KEYWORDS)
+    hits = keyword.keyword_chunks(_keywords(lib), lib.chunk_vec)
     return hybrid.merge_candidates(vector_hits(lib), hits)
 
 
@@ -65,7 +63,7 @@ def cook_hits(lib: Library) -> DataFrame:
 
 def cook_candidates(lib: Library) -> DataFrame:
     near = vectors.vector_topk(lib.query, lib.cook_chunk, COOKBOOK_VECTORS)
-    hits = keyword.keyword_chunks(_keywords(lib), lib.cook_chunk, limit=COOKBOOK_KEYWORDS)
+    hits = keyword.keyword_chunks(_keywords(lib), lib.cook_chunk)
     return hybrid.merge_candidates(near, hits)
 
 
