@@ -277,7 +277,9 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                     raise ValueError(f"{path}: {n} records, {wanted} were written")
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return manifest.select("path", "records").repartition("path").mapInArrow(run, RECORDS)
+    # a stated number, since Spark would otherwise join these few small rows into one task
+    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.select("path", "records").repartition(n, "path").mapInArrow(run, RECORDS)
 
 
 def archive_round_trip(pages: DataFrame, params: WarcParams = WarcParams()) -> DataFrame:
