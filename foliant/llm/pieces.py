@@ -48,6 +48,7 @@ class Vocabulary:
                     self.machine.add_word(piece, (len(piece), score, i))
         self.machine.make_automaton()
         self.unknown = min(scores) - 10
+        self.raw = {i: p.encode() for i, p in self.names.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
         self.unknown_id = model.unk_id()
         self.cuts = not joined
 
@@ -85,8 +86,7 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; the leading space goes."""
-        back = {i: bytes([b]) for b, i in self.bytes.items()}
-        raw = b"".join(back.get(i) or self.names.get(i, "").encode() for i in ids.tolist())
+        raw = b"".join([self.raw.get(i, b"") for i in ids.tolist()])
         return raw.decode("utf-8", "replace").replace(SPACE, " ")
 
 
@@ -94,6 +94,11 @@ def count_best(v: Vocabulary, segment: str) -> tuple[float, int, int]:
     """(score, tokens, unknown characters) of the best path, without building it."""
     n = len(segment)
     best, count, strange = [0.0] + [-np.inf] * n, [0] * (n + 1), [0] * (n + 1)
+    if v.single.issuperset(segment):  # every character has a piece: matches come by end, longest first
+        for end, (size, score, _) in v.machine.iter(segment):
+            if (total := best[end + 1 - size] + score) > best[end + 1]:
+                best[end + 1], count[end + 1] = total, count[end + 1 - size] + 1
+        return best[n], count[n], 0
     for end, arcs in enumerate(v.arcs(segment)):
         for size, score, i in arcs:
             start = end - size
@@ -112,34 +117,37 @@ def n_best(v: Vocabulary, segment: str, n: int) -> list[tuple[float, list[tuple[
     search extends paths from the end; a partial path's score plus the forward score of
     its place is exactly what its best completion reaches, so complete paths leave the
     queue in order. Of equal scores the path that has come further goes first, then the
-    one with longer pieces. A place is left at most ``n`` times.
+    one that entered first. A place is left at most ``n`` times.
     """
     arcs, size = v.arcs(segment), len(segment)
     forward = [0.0] + [-np.inf] * size
     for end in range(1, size + 1):
-        for length, score, _ in arcs[end]:
-            forward[end] = max(forward[end], forward[end - length] + score)
-    queue = [(-forward[size], size, (), 0.0)]
-    left, out = [0] * (size + 1), []
+        forward[end] = max([forward[end - length] + score for length, score, _ in arcs[end]])
+    # (less its full score, place, order of entry, path so far as nested tuples, score so far)
+    queue: list[tuple] = [(-forward[size], size, 0, None, 0.0)]
+    left, out, entered = [0] * (size + 1), [], 0
     while queue and len(out) < n:
-        _, place, path, score = heapq.heappop(queue)
+        _, place, _, path, score = heapq.heappop(queue)
         if place == 0:
-            out.append((score, [(start, i) for start, i in reversed(path)]))
+            steps = []
+            while path:
+                *step, path = path
+                steps.append(tuple(step))
+            out.append((score, steps))
             continue
         if left[place] == n:
             continue
         left[place] += 1
         for length, s, i in arcs[place]:
-            start = place - length
-            if forward[start] > -np.inf:
-                heapq.heappush(queue, (-(forward[start] + s + score), start, (*path, (start, i)), s + score))
+            start, entered = place - length, entered + 1
+            heapq.heappush(queue, (-(forward[start] + s + score), start, entered, (start, i, path), s + score))
     return out
 
 
 class Remembered:
     """Results of a function of segments, at most ``memory`` of them."""
 
-    def __init__(self, work: Callable, memory: int = 200_000):
+    def __init__(self, work: Callable, memory: int):
         self.work, self.memory, self.known = work, memory, {}
 
     def __call__(self, segments: list[str]) -> list:
@@ -152,6 +160,17 @@ class Remembered:
         return [known[s] for s in segments]
 
 
+_KEPT: dict[tuple, tuple[Vocabulary, Remembered]] = {}
+
+
+def kept(path: str, make: Callable, n: int, memory: int) -> tuple[Vocabulary, Remembered]:
+    """A vocabulary and what ``make(vocabulary, n)`` remembers; both outlast a task in its worker."""
+    if (path, n) not in _KEPT:
+        v = Vocabulary(path)
+        _KEPT[path, n] = v, Remembered(make(v, n), memory)
+    return _KEPT[path, n]
+
+
 COUNTS = "doc_id long, n_chars long, n_tokens long, n_unknown long, score double"
 
 
@@ -168,8 +187,7 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(model)
-        count = Remembered(lambda s: count_best(v, s))
+        v, count = kept(model, lambda v, _: lambda s: count_best(v, s), 0, 500_000)
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
@@ -195,6 +213,15 @@ class Listed:
     text: str
 
 
+def lister(v: Vocabulary, n: int) -> Callable[[str], Listed]:
+    def make(segment: str) -> Listed:
+        paths = n_best(v, segment, n)
+        ids = [v.ids(segment, p) for _, p in paths]
+        return Listed([s for s, _ in paths], ids, v.decode(ids[0]))
+
+    return make
+
+
 def best_mixes(listed: list[Listed], n: int) -> list[tuple[float, dict[int, int]]]:
     """The ``n`` least losses of a text, each with the segments that leave their best path.
 
@@ -228,14 +255,7 @@ def n_best_texts(docs: DataFrame, model: str, n: int = 4, with_ids: bool = False
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(model)
-
-        def make(segment: str) -> Listed:
-            paths = n_best(v, segment, n)
-            ids = [v.ids(segment, p) for _, p in paths]
-            return Listed([s for s, _ in paths], ids, v.decode(ids[0]))
-
-        lists = Remembered(make, 100_000)
+        v, lists = kept(model, lister, n, 100_000)
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
