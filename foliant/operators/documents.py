@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from foliant import constants as K
 from foliant.functions.text import (
@@ -188,7 +189,7 @@ def toc_order(entries: DataFrame, toc: DataFrame, defaults: DataFrame) -> DataFr
 
     A contents path names the first file (by ``entry_index``) whose name ends with it.
     Each name is expanded into its endings, so the suffix test is an equi-join. The
-    default topic of a book sorts first.
+    default topic of a book sorts first. Books whose contents match no file list all pages.
     """
     ends = F.transform(
         F.sequence(F.lit(1), F.length("name")), lambda i: F.substr(F.col("name"), i)
@@ -200,9 +201,19 @@ def toc_order(entries: DataFrame, toc: DataFrame, defaults: DataFrame) -> DataFr
         .groupBy("book_id", "path")
         .agg(F.min_by("name", "entry_index").alias("name"))
     )
-    rows = toc.join(first, ["book_id", "path"]).join(
-        defaults.select("book_id", "topic"), "book_id", "left"
+    listed = toc.join(first, ["book_id", "path"]).select("book_id", "seq", "name")
+    # books whose contents name no file: all pages, by place where there are contents, else by name
+    pages = entries.filter(F.rlike("name", F.lit(r"(?i)\.html?$")) & ~F.startswith("name", F.lit("/#")))
+    with_toc = toc.select("book_id").distinct().withColumn("_has_toc", F.lit(True))
+    bare = pages.join(listed.select("book_id").distinct(), "book_id", "left_anti").join(
+        with_toc, "book_id", "left"
     )
+    order = [F.when(F.col("_has_toc"), F.col("entry_index")), F.col("name"), F.col("entry_index")]
+    place = F.row_number().over(W.partitionBy("book_id").orderBy(*order)) - 1
+    everything = listed.unionByName(
+        bare.select("book_id", place.cast(toc.schema["seq"].dataType).alias("seq"), "name")
+    )
+    rows = everything.join(defaults.select("book_id", "topic"), "book_id", "left")
     opening = (
         rows.filter(F.endswith("name", F.col("topic")))
         .groupBy("book_id")

@@ -40,12 +40,16 @@ def _unit(v: np.ndarray) -> np.ndarray:
 def model_vectors(
     chunks: DataFrame, make_model: Callable[[], Callable[[np.ndarray], np.ndarray]], width: int
 ) -> DataFrame:
-    """Vectors by a model that each Python worker loads once and calls on 32 texts."""
+    """Vectors by a model that each Python worker loads once and calls on 32 texts.
+
+    A vector of another width becomes NULL, so its chunk stays and counts as not embedded.
+    """
     predict = predict_batch_udf(
         make_model, return_type=T.ArrayType(T.FloatType()), batch_size=BATCH
     )
     fitted = fit_to_budget(F.col("text"), MAX_WORDS)
-    return chunks.withColumn("embedding", predict(fitted)).filter(F.size("embedding") == width)
+    found = chunks.withColumn("embedding", predict(fitted))
+    return found.withColumn("embedding", F.when(F.size("embedding") == width, F.col("embedding")))
 
 
 def missing_vectors(chunks: DataFrame, done: DataFrame) -> DataFrame:

@@ -180,6 +180,12 @@ SELECT coalesce(v.query_id, k.query_id) AS query_id, coalesce(v.book_id, k.book_
   round(CASE WHEN v.similarity IS NULL THEN {K.KEYWORD_BASE} ELSE v.similarity + CASE WHEN k.chunk_id IS NULL THEN 0 ELSE {K.KEYWORD_BOOST} END END, 6) AS score
 FROM vector_hit v FULL JOIN keyword_hit k
   ON k.query_id = v.query_id AND k.chunk_id = v.chunk_id""",
+    "help_listed": """
+SELECT t.book_id, t.seq, first(e.name ORDER BY e.entry_index) AS name FROM help_toc t
+JOIN help_entry e ON e.book_id = t.book_id AND ends_with(e.name, t.path) GROUP BY t.book_id, t.seq""",
+    "help_bare": """
+SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY CASE WHEN book_id IN (SELECT book_id FROM help_toc) THEN entry_index END, name, entry_index) - 1 AS seq, name
+FROM help_entry WHERE book_id NOT IN (SELECT book_id FROM help_listed) AND regexp_matches(name, '(?i)\\.html?$') AND NOT starts_with(name, '/#')""",
     "best_candidate": """
 SELECT query_id, book_id, max(score) AS score, first(chunk_id ORDER BY score DESC, chunk_id) AS chunk_id FROM candidate GROUP BY query_id, book_id""",
     "tier_norm": f"""

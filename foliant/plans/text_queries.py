@@ -164,10 +164,8 @@ def spine_resolve(lib: Library) -> DataFrame:
 
 @query(
     "book_id bigint, is_default boolean, seq bigint, name string",
-    """SELECT r.book_id, coalesce(r.seq = (SELECT min(x.seq) FROM (SELECT t.book_id, t.seq, first(e.name ORDER BY e.entry_index) AS name FROM help_toc t JOIN help_entry e ON e.book_id = t.book_id AND ends_with(e.name, t.path) GROUP BY t.book_id, t.seq) x
-        WHERE x.book_id = r.book_id AND ends_with(x.name, d.topic)), false) AS is_default, r.seq, r.name
-    FROM (SELECT t.book_id, t.seq, first(e.name ORDER BY e.entry_index) AS name FROM help_toc t JOIN help_entry e ON e.book_id = t.book_id AND ends_with(e.name, t.path) GROUP BY t.book_id, t.seq) r
-    LEFT JOIN help_default d ON d.book_id = r.book_id""",
+    """SELECT r.book_id, coalesce(r.seq = (SELECT min(x.seq) FROM (FROM help_listed UNION ALL FROM help_bare) x WHERE x.book_id = r.book_id AND ends_with(x.name, d.topic)), false) AS is_default, r.seq, r.name
+    FROM (FROM help_listed UNION ALL FROM help_bare) r LEFT JOIN help_default d ON d.book_id = r.book_id""",
 )
 def toc_order(lib: Library) -> DataFrame:
     return documents.toc_order(lib.help_entry, lib.help_toc, lib.help_default)

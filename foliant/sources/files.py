@@ -44,13 +44,14 @@ def scan_files(spark: SparkSession, folder: str) -> DataFrame:
     return listed_files(read_files(spark, folder))
 
 
-def verify_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
+def verify_manifest(files: DataFrame, manifest: DataFrame, folder: str) -> DataFrame:
     """``file_name, status``: ready, error (size or checksum differs) or pending (missing).
 
-    ``manifest`` is ``file_name, sha256, expected_bytes``; a NULL checksum is not compared.
+    ``manifest`` is ``file_name, sha256, expected_bytes`` with names relative to ``folder``,
+    so equal names in two folders below it stay apart; a NULL checksum is not compared.
     """
     found = files.select(
-        F.regexp_extract("path", _NAME, 1).alias("file_name"),
+        F.substr(F.col("path"), F.lit(len(folder.rstrip("/")) + 2)).alias("file_name"),
         F.col("length").alias("_bytes"),
         F.sha2("content", 256).alias("_sha"),
     )

@@ -33,7 +33,7 @@ def debounced(
     return (
         events.withWatermark("ts", late)
         .groupBy(key, F.session_window("ts", gap).alias("burst"))
-        .agg(F.max_by(value, "ts").alias(value), F.max("ts").alias("ts"))
+        .agg(F.max_by(value, F.struct("ts", "event_id")).alias(value), F.max("ts").alias("ts"))
     )
 
 

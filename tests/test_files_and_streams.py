@@ -68,16 +68,19 @@ def test_scan_leaves_contents_unread(spark, tmp_path):
 
 
 def test_verify_manifest(spark, tmp_path):
-    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "deep").mkdir(parents=True)
     for name in ("ok", "size", "sum"):
         (tmp_path / "m" / name).write_text("data")
+    (tmp_path / "m" / "deep" / "ok").write_text("other")
     digest = hashlib.sha256(b"data").hexdigest()
     manifest = spark.createDataFrame(
         [("ok", digest.upper(), 4), ("size", None, 5), ("sum", "0" * 64, 4), ("gone", None, 4)],
         "file_name string, sha256 string, expected_bytes long",
     )
-    got = files.verify_manifest(files.read_files(spark, str(tmp_path / "m")), manifest)
-    assert rows(got) == [("gone", "pending"), ("ok", "ready"), ("size", "error"), ("sum", "error")]
+    manifest = manifest.union(spark.createDataFrame([("deep/ok", None, 5)], manifest.schema))
+    got = files.verify_manifest(files.read_files(spark, str(tmp_path / "m")), manifest, str(tmp_path / "m"))
+    want = [("deep/ok", "ready"), ("gone", "pending"), ("ok", "ready"), ("size", "error"), ("sum", "error")]
+    assert rows(got) == want
 
 
 def test_replace_books_in_table(spark, tmp_path):

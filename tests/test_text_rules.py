@@ -208,3 +208,12 @@ def test_toc_tree_and_find(spark):
         (0, "Ch. 1, match 1", "...Aa ..."), (1, "Ch. 1, match 2", "...xaA..."),
         (2, "Ch. 3, match 1", "...aaa..."), (3, "Ch. 3, match 2", "...aaa..."),
     ]
+
+
+def test_help_books_without_contents(spark):
+    files = [(1, 0, "/b.htm"), (1, 1, "/a.html"), (1, 2, "/#x.htm"), (2, 0, "/z.htm"), (2, 1, "/y.htm"), (3, 0, "/c.htm")]
+    entries = spark.createDataFrame(files, "book_id long, entry_index int, name string")
+    toc = spark.createDataFrame([(2, 0, "none.htm"), (3, 5, "c.htm")], "book_id long, seq int, path string")
+    defaults = spark.createDataFrame([(1, "b.htm")], "book_id long, topic string")
+    got = [tuple(r) for r in documents.toc_order(entries, toc, defaults).collect()]
+    assert got == [(1, True, 1, "/b.htm"), (1, False, 0, "/a.html"), (2, False, 0, "/z.htm"), (2, False, 1, "/y.htm"), (3, False, 5, "/c.htm")]
