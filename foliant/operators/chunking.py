@@ -99,30 +99,54 @@ def chunk_pages(pages: DataFrame, limit: int = K.EMBED_CHUNK_WORDS) -> DataFrame
     )
 
 
+#: Formats whose book is one text; pdf runs across pages, the others are cut part by part.
+WHOLE_TEXT = ["mobi", "azw3", "chm"]
+
+
 def position_chunks(parts: DataFrame, limit: int = K.EMBED_CHUNK_WORDS) -> DataFrame:
-    """Word chunks of the parts of a book, numbered over the whole book.
+    """Word chunks of a book with their place, numbered over the whole book.
 
-    ``parts`` is ``book_id, part_index, format, href, text``. Numbering needs only the
-    chunk count of the earlier parts, so chunk texts stay in the row of their part.
-    For mobi and chm a chunk's place is its number in the book; for the other formats
-    it is the part.
+    ``parts`` is ``book_id, part_index, format, href, text``. A pdf chunk runs across pages
+    and lies where its first word does. A mobi or chm book is cut as one text, and a
+    chunk's place is its number; a chm chunk names the section of its number, else the
+    first one. Other formats are cut part by part; their numbering needs only the chunk
+    counts of earlier parts, so texts stay in the row of their part.
     """
-    cut = parts.withColumn("_chunks", word_chunks(F.col("text"), limit)).drop("text")
+    kind = F.col("format")
+    by_part = parts.filter((kind != "pdf") & ~kind.isin(WHOLE_TEXT))
+    cut = by_part.withColumn("_chunks", word_chunks(F.col("text"), limit)).drop("text")
     placed = running_total(cut, ["book_id"], "part_index", F.size("_chunks"), "_start")
-    totals = cut.groupBy("book_id").agg(F.sum(F.size("_chunks")).alias("_total"))
-    rows = placed.join(totals, "book_id").select(
-        "book_id", "part_index", "format", "href", "_start", "_total",
-        F.posexplode("_chunks").alias("_at", "text"),
+    columns = ["book_id", "format", "chunk_index", "place", "total", "href", "text"]
+    nothing = F.lit(None).cast("string").alias("href")
+    single = placed.select(
+        "book_id", "format", "href", "_start", F.col("part_index").alias("place"),
+        F.lit(1).alias("total"), F.posexplode("_chunks").alias("_at", "text"),
+    ).withColumn("chunk_index", F.col("_start") + F.col("_at"))
+
+    pages = parts.filter(kind == "pdf").withColumnRenamed("part_index", "page_index")
+    across = chunk_pages(pages, limit).filter(F.col("text") != "").select(
+        "book_id", F.lit("pdf").alias("format"), "chunk_index", F.col("page_index").alias("place"),
+        F.lit(1).alias("total"), nothing, "text",
+    )
+
+    listed = parts.filter(kind.isin(WHOLE_TEXT))
+    joined = F.expr("listagg(text || '\n', '') WITHIN GROUP (ORDER BY part_index)")
+    books = listed.groupBy("book_id").agg(
+        F.max("format").alias("format"), joined.alias("text"),
+        F.min_by("href", "part_index").alias("_first"),
+    )
+    chunks = books.withColumn("_chunks", word_chunks(F.col("text"), limit)).select(
+        "book_id", "format", "_first", F.size("_chunks").alias("total"),
+        F.posexplode("_chunks").alias("chunk_index", "text"),
     )
-    chunk_index = F.col("_start") + F.col("_at")
-    by_chunk = F.col("format").isin("mobi", "azw3", "chm")
-    place = F.when(by_chunk, chunk_index).otherwise(F.col("part_index"))
-    return rows.select(
-        "book_id",
-        chunk_index.alias("chunk_index"),
-        content_position(F.col("format"), place, F.col("_total"), F.col("href")).alias("position"),
-        "text",
+    sections = listed.select("book_id", F.col("part_index").alias("chunk_index"), "href")
+    whole = chunks.join(sections, ["book_id", "chunk_index"], "left").select(
+        "book_id", "format", "chunk_index", F.col("chunk_index").alias("place"), "total",
+        F.coalesce("href", "_first").alias("href"), "text",
     )
+    rows = single.select(*columns).unionByName(across).unionByName(whole)
+    position = content_position(F.col("format"), F.col("place"), F.col("total"), F.col("href"))
+    return rows.select("book_id", "chunk_index", position.alias("position"), "text")
 
 
 def pack_batches(

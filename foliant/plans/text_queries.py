@@ -212,30 +212,38 @@ def chunk_words(lib: Library) -> DataFrame:
     return chunking.chunk_words(docs(lib), "book_id")
 
 
-@query(
-    "book_id bigint, chunk_index bigint, page_index bigint, text string",
-    f"""SELECT book_id, (n - 1) // {K.EMBED_CHUNK_WORDS} AS chunk_index, min(page_index) AS page_index, trim(string_agg(word, ' ' ORDER BY n), {BLANKS}) AS text FROM (
+_PAGE_CHUNKS = f"""SELECT book_id, (n - 1) // {K.EMBED_CHUNK_WORDS} AS chunk_index, min(page_index) AS page_index, trim(string_agg(word, ' ' ORDER BY n), {BLANKS}) AS text FROM (
       SELECT book_id, page_index, word, row_number() OVER (PARTITION BY book_id ORDER BY page_index, pos) AS n FROM (
         SELECT book_id, page_index, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM (
-          SELECT book_id, page_index, list_filter(string_split(text, ' '), lambda w: w <> '') AS ws FROM book_page) p) w) c GROUP BY book_id, (n - 1) // {K.EMBED_CHUNK_WORDS}""",
-)
+          SELECT book_id, page_index, list_filter(string_split(text, ' '), lambda w: w <> '') AS ws FROM book_page) p) w) c GROUP BY book_id, (n - 1) // {K.EMBED_CHUNK_WORDS}"""
+
+
+@query("book_id bigint, chunk_index bigint, page_index bigint, text string", _PAGE_CHUNKS)
 def chunk_pages(lib: Library) -> DataFrame:
     return chunking.chunk_pages(lib.book_page)
 
 
 _PART_CHUNKS = word_cut_sql(
-    "(SELECT book_id * 100000 + part_index AS part_key, text FROM book_part) p", "part_key", K.EMBED_CHUNK_WORDS
+    "(SELECT book_id * 100000 + part_index AS part_key, text FROM book_part WHERE format IN ('epub', 'fb2')) p", "part_key", K.EMBED_CHUNK_WORDS
 )
+_WHOLE_CHUNKS = word_cut_sql(
+    "(SELECT book_id, string_agg(text || chr(10), '' ORDER BY part_index) AS text FROM book_part WHERE format IN ('mobi', 'azw3', 'chm') GROUP BY book_id) p",
+    "book_id", K.EMBED_CHUNK_WORDS,
+)
 
 
 @query(
     "book_id bigint, chunk_index bigint, text string, kind string, place double, href string",
-    f"""SELECT book_id, pos AS chunk_index, text, CASE WHEN format = 'azw3' THEN 'mobi' ELSE format END AS kind,
-      CASE WHEN format IN ('mobi', 'azw3') THEN round(pos / CAST(total AS DOUBLE), 6) WHEN format = 'chm' THEN pos ELSE part_index END AS place,
-      CASE WHEN format IN ('epub', 'chm') THEN href END AS href FROM (
-      SELECT b.book_id, b.part_index, b.format, b.href, c.text, row_number() OVER (PARTITION BY b.book_id ORDER BY b.part_index, c.chunk_index) - 1 AS pos,
-        count(*) OVER (PARTITION BY b.book_id) AS total
-      FROM ({_PART_CHUNKS}) c JOIN book_part b ON b.book_id = c.part_key // 100000 AND b.part_index = c.part_key % 100000) n""",
+    f"""SELECT b.book_id, row_number() OVER (PARTITION BY b.book_id ORDER BY b.part_index, c.chunk_index) - 1 AS chunk_index, c.text, b.format AS kind, b.part_index AS place,
+      CASE WHEN b.format = 'epub' THEN b.href END AS href
+      FROM ({_PART_CHUNKS}) c JOIN book_part b ON b.book_id = c.part_key // 100000 AND b.part_index = c.part_key % 100000
+    UNION ALL SELECT book_id, chunk_index, text, 'pdf', page_index, NULL FROM ({_PAGE_CHUNKS}) p
+      WHERE text <> '' AND book_id IN (SELECT book_id FROM book_part WHERE format = 'pdf')
+    UNION ALL SELECT c.book_id, c.chunk_index, c.text, CASE WHEN f.format = 'chm' THEN 'chm' ELSE 'mobi' END,
+      CASE WHEN f.format = 'chm' THEN c.chunk_index ELSE round(c.chunk_index / CAST(count(*) OVER (PARTITION BY c.book_id) AS DOUBLE), 6) END,
+      CASE WHEN f.format = 'chm' THEN coalesce(b.href, f.first_href) END
+      FROM ({_WHOLE_CHUNKS}) c JOIN (SELECT book_id, max(format) AS format, first(href ORDER BY part_index) AS first_href FROM book_part GROUP BY book_id) f ON f.book_id = c.book_id
+      LEFT JOIN book_part b ON b.book_id = c.book_id AND b.part_index = c.chunk_index""",
 )
 def chunk_positions(lib: Library) -> DataFrame:
     from foliant.functions.positions import CONTENT_DDL
