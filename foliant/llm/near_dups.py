@@ -27,7 +27,8 @@ class NearParams:
     Two sets of similarity 0.75 share none of 32 bands of four with probability 5e-6.
     ``doubt`` is the estimate below which a proposed pair isn't confirmed on full sets;
     it lies four standard deviations under the threshold. ``block``: most members of a
-    bucket that one task compares at a time.
+    bucket that one task compares at a time. ``pivots``: smallest members that a member is
+    compared with before everything else. ``filter_bits``: size of the filter on texts.
     """
 
     width: int = 5
@@ -36,6 +37,8 @@ class NearParams:
     rows: int = 4
     doubt: float = 0.58
     block: int = 512
+    pivots: int = 3
+    filter_bits: int = 1 << 24
 
     @property
     def size(self) -> int:
@@ -178,10 +181,28 @@ def _matrix(signatures: pa.Array, params: NearParams) -> np.ndarray:
     return np.frombuffer(b"".join(signatures.to_pylist()), "<u4").reshape(-1, params.size)
 
 
+def _among(texts: DataFrame, ids: DataFrame, params: NearParams) -> DataFrame:
+    """``texts`` without most of those that aren't in ``ids`` (a), so that few are shuffled.
+
+    A bitmap over hashed ids, 4 KB per bucket of 32,768 bits and 2 MB in all whatever the
+    number of ids, is broadcast. It lets every wanted text pass; the join after it is exact.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(params.filter_bits)) + 1
+    bits = ids.groupBy(F.bitmap_bucket_number(place("a")).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place("a"))).alias("_bits")
+    )
+    at = F.bitmap_bit_position(place("doc_id"))
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10)
+    found = F.expr("shiftright(cast(_byte AS int), cast(_at & 7 AS int)) & 1") == 1
+    named = texts.where("doc_id IS NOT NULL").withColumn("_bucket", F.bitmap_bucket_number(place("doc_id")))
+    joined = named.join(F.broadcast(bits), "_bucket").withColumns({"_byte": byte, "_at": at})
+    return joined.where(found).select(*texts.columns)
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, params: NearParams) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
-    ids = pairs.select("a").union(pairs.select("b")).distinct()
-    wanted = _ids_texts(docs).join(ids, F.col("doc_id") == F.col("a"), "left_semi")
+    ids = stored(pairs.select("a").union(pairs.select("b")).distinct(), "pair-ids")
+    wanted = _among(_ids_texts(docs), ids, params).join(ids, F.col("doc_id") == F.col("a"), "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(params.width)
@@ -239,16 +260,15 @@ def components(links: DataFrame) -> DataFrame:
     )
 
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Add ``label``, the component by the links so far, to rows with ``rep``."""
-    comps = stored(components(links), "labels")
+def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """Add ``label``, the component so far, to rows with ``rep``."""
     return rows.join(comps, rows["rep"] == comps["node"], "left").select(
         *rows.columns, F.coalesce("component", "rep").alias("label")
     )
 
 
 def _proposals(
-    buckets: DataFrame, reps: DataFrame, links: DataFrame, params: NearParams, best: int | None
+    buckets: DataFrame, reps: DataFrame, comps: DataFrame, params: NearParams, best: int | None
 ) -> DataFrame:
     """Pairs of one bucket with different labels whose estimate isn't in doubt.
 
@@ -257,7 +277,7 @@ def _proposals(
     the others, members outside the pivot's label stand against every block of the bucket,
     ``block`` members at a time, so a task holds two blocks however large the bucket is.
     """
-    rows = stored(_labelled(buckets.where("members > 2"), links), "bucket-labels")
+    rows = stored(_labelled(buckets.where("members > 2"), comps), "bucket-labels")
     mixed = rows.groupBy("bucket").agg(
         F.min("label").alias("lo"),
         F.max("label").alias("hi"),
@@ -336,8 +356,8 @@ def near_groups(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame
     is in no group: its component_id is null and it is kept. Rows that repeat a doc_id
     are judged by their own texts. An empty table gives no rows.
 
-    Pairs are confirmed in three rounds: each bucket's members against its smallest one;
-    then, per bucket and two labels, the two likeliest pairs; then every likely pair whose
+    Pairs are confirmed in three rounds: members against the smallest members of their
+    buckets, and the pairs of buckets of two; then, per bucket and two labels, the two likeliest pairs; then every likely pair whose
     labels still differ. Links within a label can't change a component and are skipped.
     """
     own = stored(sketches(docs, params), "sketches")
@@ -348,14 +368,20 @@ def near_groups(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame
     )
     reps = stored(classes, "classes")
     buckets = stored(_buckets(reps, params), "buckets")
-    stars = buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-    pairs = stored(_likely(stored(stars.distinct(), "stars"), reps, params), "pairs")
+    stars = buckets.where("rep <> pivot")
+    nearest = F.slice(F.array_sort(F.collect_set("pivot")), 1, params.pivots)
+    first = stars.groupBy("rep").agg(nearest.alias("a")).select(F.explode("a").alias("a"), F.col("rep").alias("b"))
+    twos = stars.where("members = 2").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+    pairs = stored(_likely(stored(first.union(twos).distinct(), "stars"), reps, params), "pairs")
     links = stored(_confirmed(pairs, docs, params), "confirmed")
+    comps = stored(components(links), "labels")
     for best in (2, None):
-        pairs = stored(_proposals(buckets, reps, links, params, best), "pairs")
-        if not pairs.isEmpty():
-            links = stored(links.union(_confirmed(pairs, docs, params)), "confirmed")
-    grouped = stored(_labelled(reps.select("set_key", "rep"), links), "class-labels")
+        pairs = stored(_proposals(buckets, reps, comps, params, best), "pairs")
+        if pairs.isEmpty():  # then the unlimited round has nothing to propose either
+            break
+        links = stored(links.union(_confirmed(pairs, docs, params)), "confirmed")
+        comps = stored(components(links), "labels")
+    grouped = stored(_labelled(reps.select("set_key", "rep"), comps), "class-labels")
     named = own.where("set_key IS NOT NULL AND doc_id IS NOT NULL").drop("signature")
     found = salted_lookup(named, "set_key", "doc_id", grouped.select("set_key", "label"))
     alone = own.where("set_key IS NULL OR doc_id IS NULL")
