@@ -208,3 +208,13 @@ def test_long_scope_lists_take_the_salted_path(spark, monkeypatch):
     plain = rows(catalog._library_wide(books, scopes), "scope_id", "book_id")
     monkeypatch.setattr(catalog, "INLINE_NEEDLES", 1)
     assert rows(catalog._library_wide(books, scopes), "scope_id", "book_id") == plain == [(1, 1), (1, 2), (2, 2), (3, 1), (3, 2)]
+
+
+def test_stored_corpus_counts_on_every_path(spark):
+    """A caller's corpus numbers are used however long the list of terms is."""
+    chunks = spark.createDataFrame([(1, 0, "alpha beta beta"), (2, 0, "beta gamma")], "book_id long, chunk_index int, text string")
+    terms = spark.createDataFrame([(1, "beta"), (1, "al")], "query_id long, prefix string")
+    stored = keyword.corpus_of(keyword.chunk_lengths(chunks.union(chunks.withColumn("book_id", F.col("book_id") + 10))))
+    short, long = (keyword.bm25(terms, chunks, stored, inline=n) for n in (512, 0))
+    assert rows(short, "book_id", "score") == rows(long, "book_id", "score")
+    assert rows(short, "score") != rows(keyword.bm25(terms, chunks), "score")
