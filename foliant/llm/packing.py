@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -38,53 +42,85 @@ class PackParams:
     end_id: int = 1
 
 
+#: The tokenizer's own pattern (a fixed value), spelled out for characters below U+0100.
+_LETTERS, _NUMBERS, _BLANKS = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", " \\t-\\r\x85\xa0"
+PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
+
+
 class WordTokenizer:
     """Token ids by words, remembering at most ``memory`` words.
 
     The vocabulary never joins characters across blanks, so a text's ids are those of its
-    words one after another. Each new word goes through the tokenizer once.
+    words one after another, and each new word goes through the tokenizer once. Texts
+    below U+0100 without the marks of special tokens are in normal form already; they are
+    lowered and cut by the tokenizer's own pattern, so that words share their pieces.
     """
 
-    def __init__(self, path: str, memory: int = 400_000):
+    def __init__(self, path: str, memory: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memory = Tokenizer.from_file(path), memory
+        own = json.loads(Path(path).read_text())
+        steps = [(own.get(k) or {}).get("type") for k in ("normalizer", "pre_tokenizer", "model")]
+        self.cuts = steps == ["Sequence", "Sequence", "BPE"] and [
+            x["type"] for x in own["normalizer"]["normalizers"] + own["pre_tokenizer"]["pretokenizers"]
+        ] == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]
+        if self.cuts:
+            bare = own | {"normalizer": None, "added_tokens": []}
+            bare["pre_tokenizer"] = own["pre_tokenizer"]["pretokenizers"][1]
+            self.bare = Tokenizer.from_str(json.dumps(bare))
         self.clear()
 
     def clear(self) -> None:
         self.places: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = [np.zeros(0, "<u4")], [], []
-        self.used = 0
+        self.flat, self.starts = array("I"), array("q", [0])
+
+    def _learn(self, words: list[str], plain: bool) -> None:
+        if plain:
+            encoded = self.bare.encode_batch_fast(words, add_special_tokens=False)
+        else:
+            encoded = self.tokenizer.encode_batch(words, add_special_tokens=False)
+        for w, e in zip(words, encoded, strict=True):
+            self.places[w] = len(self.starts) - 1
+            self.flat.extend(e.ids)
+            self.starts.append(len(self.flat))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words, counts = [], []
-        for text in texts:
-            found = WORD.findall(text)
-            words += found
-            counts.append(len(found))
         if len(self.places) > self.memory:
             self.clear()
-        new = list({w: None for w in words if w not in self.places})
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, "<u4")
-                self.places[w] = len(self.starts)
-                self.starts.append(self.used)
-                self.sizes.append(len(ids))
-                self.flat.append(ids)
-                self.used += len(ids)
-            self.flat = [np.concatenate(self.flat)]
+        lists: list[list[str]] = []
+        for text in texts:
+            plain = self.cuts and "<|" not in text and (text.isascii() or max(text) < "\u0100")
+            # a word of another text is remembered apart from a piece that looks the same
+            found = PIECE.findall(text.lower()) if plain else [f" {w}" for w in WORD.findall(text)]
+            new = list(dict.fromkeys(w for w in found if w not in self.places))
+            if new:
+                self._learn(new, plain)
+            lists.append(found)
+        words = list(chain.from_iterable(lists))
         at = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
-        sizes = np.array(self.sizes, np.int64)[at] if len(at) else at
+        starts = np.array(self.starts, np.int64)
+        begin, sizes = starts[at], starts[at + 1] - starts[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        from_ = np.array(self.starts, np.int64)[at] if len(at) else at
-        ids = self.flat[0][np.repeat(from_ - (ends - sizes), sizes) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
+        flat = np.frombuffer(self.flat, "<u4") if len(self.flat) else np.zeros(0, "<u4")
+        ids = flat[np.repeat(begin - (ends - sizes), sizes) + np.arange(total)]
+        del flat
+        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, lists)])]
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+_KNOWN: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_at(path: str) -> WordTokenizer:
+    """One tokenizer per worker process, so that its words outlast a task."""
+    if path not in _KNOWN:
+        _KNOWN[path] = WordTokenizer(path)
+    return _KNOWN[path]
+
+
 class Packer:
     """A fixed number of open windows; full ones leave through ``done``."""
 
@@ -174,7 +210,7 @@ def pack(docs: DataFrame, tokenizer: str, params: PackParams = PackParams()) ->
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        words, packer = WordTokenizer(tokenizer), Packer(params, _first_id(part, False), part)
+        words, packer = tokenizer_at(tokenizer), Packer(params, _first_id(part, False), part)
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(ids), 256):
