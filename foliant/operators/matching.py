@@ -73,8 +73,11 @@ def match_substrings(
     grams = rows.select(*keys, F.explode(_grams(F.col(text))).alias("_gram"))
     first = wanted.withColumn("_gram", F.substr("needle", F.lit(1), F.lit(3)))
     candidates = grams.join(first, "_gram").drop("_gram")
+    # keys may be NULL, as they may on the short path
+    other = rows.select(*[F.col(k).alias(f"_own_{i}") for i, k in enumerate(keys)], text)
+    same = [F.col(k).eqNullSafe(F.col(f"_own_{i}")) for i, k in enumerate(keys)]
     return (
-        candidates.join(rows.select(*keys, text), keys)
+        candidates.join(other, same)
         .filter(F.contains(F.col(text), F.col("needle")))
         .select(*keys, "needle_id", "needle")
         .distinct()
