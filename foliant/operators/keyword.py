@@ -393,3 +393,24 @@ def snippets(hits: DataFrame, terms: DataFrame, width: int = K.SNIPPET_TOKENS) -
 
     lists = terms.groupBy("query_id").agg(F.collect_set("prefix").alias("_prefixes"))
     return hits.join(lists, "query_id").withColumn("snippet", cut("text", "_prefixes")).drop("_prefixes")
+
+
+def hit_snippets(hits: DataFrame, books: DataFrame, chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """``query_id, book_id, snippet`` of tiered search results.
+
+    A name match says what matched; a content match shows its best chunk's window.
+    """
+    reason = (
+        F.when(F.col("rank_value") == K.TIER_FILE, F.concat(F.lit("Filename: "), "file_name"))
+        .when(F.col("rank_value") == K.TIER_TITLE, F.lit("Title match"))
+        .otherwise(F.concat(F.lit("Author: "), F.coalesce("author", F.lit(""))))
+    )
+    named = (
+        hits.filter("source = 'name'").select("query_id", "book_id", "rank_value")
+        .join(books.select("book_id", "file_name", "author"), "book_id")
+        .select("query_id", "book_id", reason.alias("snippet"))
+    )
+    found = hits.filter("source = 'content'").select("query_id", "book_id", "chunk_index")
+    texts = chunks.select("book_id", "chunk_index", "text")
+    cut = snippets(found.join(texts, ["book_id", "chunk_index"]), terms)
+    return named.unionByName(cut.select("query_id", "book_id", "snippet"))

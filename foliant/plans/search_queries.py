@@ -47,8 +47,18 @@ def candidates(lib: Library) -> DataFrame:
     return hybrid.merge_candidates(vector_hits(lib), hits)
 
 
+def books_with_text(lib: Library, limit: int | None = None) -> DataFrame:
+    """Blended books; those without a candidate chunk get the snippet of their keyword hit."""
+    hits, found = tier_hits(lib), candidates(lib)
+    # with a limit only the books that stay need a snippet
+    top = hybrid.hybrid_books(hits, found, lib.chunk_vec, lib.book, limit=limit)
+    bare = hits.join(top.filter("chunk_id IS NULL"), ["query_id", "book_id"], "left_semi")
+    cut = keyword.hit_snippets(bare, lib.book, text_chunks(lib), keyword.query_terms(lib.query))
+    return hybrid.hybrid_books(hits, found, lib.chunk_vec, lib.book, cut, limit=limit)
+
+
 def book_results(lib: Library) -> DataFrame:
-    rows = hybrid.hybrid_books(tier_hits(lib), candidates(lib), lib.chunk_vec, lib.book)
+    rows = books_with_text(lib, K.PROMPT_EXCERPTS)
     order = [F.col("score").desc(), F.col("book_id")]
     return catalog.top_per_key(rows, ["query_id"], order, K.PROMPT_EXCERPTS)
 
@@ -282,7 +292,7 @@ def adjacent_window(lib: Library) -> DataFrame:
     "SELECT query_id, book_id, chunk_id, score, title, author, format, snippet, full_text FROM book_result",
 )
 def hybrid_books(lib: Library) -> DataFrame:
-    return hybrid.hybrid_books(tier_hits(lib), candidates(lib), lib.chunk_vec, lib.book)
+    return books_with_text(lib)
 
 
 @query(
