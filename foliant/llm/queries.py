@@ -200,3 +200,82 @@ def op8_extendible_shards(spark: SparkSession, folder: str) -> DataFrame:
     from foliant.llm.extendible import shards
 
     return shards(table(spark, folder, "documents").select("doc_id", "text"), SHARD_BYTES)
+
+
+@query()
+def op11_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from foliant.llm.language import identify
+
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return identify(docs).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query(
+    """
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, text FROM documents),
+piece AS (
+    SELECT id, lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM d),
+words AS (SELECT lang, list_filter(string_split_regex(p, '[ \\x09]+'), lambda w: w <> '') AS w FROM piece),
+gram AS (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 6) t(k))),
+f AS (SELECT lang, k AS size, phrase, count(*)::HUGEINT AS f FROM gram GROUP BY ALL HAVING f >= 100),
+n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM words GROUP BY lang),
+cand AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+kept AS (
+    SELECT * FROM cand c WHERE NOT EXISTS (
+        SELECT 1 FROM cand x WHERE x.lang = c.lang AND x.size > c.size AND 100 * x.a >= 100 * c.a
+            AND contains(' ' || x.phrase || ' ', ' ' || c.phrase || ' '))),
+cut AS (
+    SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS p, array_to_string(w[k + 1:], ' ') AS q
+    FROM kept, range(1, 5) t(k) WHERE k < size),
+scored AS (
+    SELECT c.lang, c.phrase, a, x.f AS l, y.f AS r, n, (1000 * a * n) // (x.f * y.f) AS score,
+        row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY (1000 * a * n) // (x.f * y.f), k) AS nr
+    FROM cut c JOIN f x ON x.lang = c.lang AND x.phrase = c.p JOIN f y ON y.lang = c.lang AND y.phrase = c.q
+    JOIN n ON n.lang = c.lang)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+    a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM scored WHERE nr = 1 QUALIFY rank <= 2000
+"""
+)
+def op12_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    from foliant.llm.phrases import collocations
+
+    return collocations(table(spark, folder, "documents").select("doc_id", "lang", "text"))
+
+
+#: Code points that end a term.
+_GAPS = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+
+def _terms_sql(text: str) -> str:
+    low = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"regexp_extract_all({low}, '{_GAPS}')"
+
+
+@query(
+    f"""
+WITH term AS (SELECT doc_id, unnest({_terms_sql("text")}) AS t FROM documents),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM term GROUP BY ALL),
+size AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM size),
+weight AS (
+    SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+    FROM tf, total GROUP BY t, docs),
+m AS (SELECT doc_id, 75 + (25 * n * docs) // terms AS m FROM size, total),
+asked AS (SELECT item_id, unnest({_terms_sql("text")}) AS t FROM benchmark),
+wanted AS (SELECT item_id, t, count(*) AS c FROM asked GROUP BY ALL),
+hit AS (
+    SELECT item_id, doc_id, sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+    FROM wanted JOIN tf USING (t) JOIN weight USING (t) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank,
+    doc_id, score
+FROM hit WHERE score > 0 QUALIFY rank <= 20
+"""
+)
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    from foliant.llm.ranked import ranked_search
+
+    return ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
