@@ -10,6 +10,7 @@ from foliant.functions.scoring import guess_title, is_content, pattern_score
 from foliant.functions.text import strip
 from foliant.operators.catalog import display_title
 from foliant.operators.chunking import chunk_windows
+from foliant.operators.keyword import with_snippets
 from foliant.operators.matching import keep_where
 from foliant.operators.ordering import top_per_key
 
@@ -112,22 +113,20 @@ def minmax_normalize(
 # --- book level -----------------------------------------------------------------------------
 
 
-def hybrid_books(
-    keyword_hits: DataFrame,
-    candidates: DataFrame,
-    chunks: DataFrame,
-    books: DataFrame,
-    snippets: DataFrame | None = None,
-    mode: str = "intended",
-    limit: int | None = None,
+#: What a blended row keeps of its keyword hit.
+HIT_FIELDS = ["source", "rank_value", "chunk_index"]
+
+
+def blend_books(
+    keyword_hits: DataFrame, candidates: DataFrame, mode: str = "intended", limit: int | None = None
 ) -> DataFrame:
-    """One row per (query, book) blended from keyword rank and best chunk.
+    """``query_id, book_id, chunk_id, score`` from keyword rank and best chunk.
 
-    ``keyword_hits`` is the tiered search result, ``candidates`` the merged chunk scores.
-    Books found by vectors only get the vector share. Text comes from the best chunk, else
-    from ``snippets`` (``query_id, book_id, snippet``).
+    Books found by vectors only get the vector share. The keyword hit's own fields, as far as
+    ``keyword_hits`` has them, stay on the row, so that nothing has to look the hit up again.
     """
-    valued = keyword_hits.select("query_id", "book_id", keyword_value(mode).alias("_value"))
+    kept = [c for c in HIT_FIELDS if c in keyword_hits.columns]
+    valued = keyword_hits.select("query_id", "book_id", *kept, keyword_value(mode).alias("_value"))
     normal = minmax_normalize(valued, "query_id", "_value", "_keyword").drop("_value")
     best = best_chunks(candidates).select(
         "query_id", "book_id", F.col("score").alias("_vector"), "chunk_id"
@@ -136,21 +135,45 @@ def hybrid_books(
         1 - K.KEYWORD_WEIGHT
     ) * F.coalesce("_vector", F.lit(0.0))
     rows = normal.join(best, ["query_id", "book_id"], "full").select(
-        "query_id", "book_id", "chunk_id", F.round(blended, 6).alias("score")
+        "query_id", "book_id", "chunk_id", F.round(blended, 6).alias("score"), *kept
     )
     if limit is not None:
         rows = top_per_key(rows, ["query_id"], [F.col("score").desc(), F.col("book_id")], limit)
-    texts = chunks.select("chunk_id", "chunk_index", F.col("text").alias("_text"))
+    return rows
+
+
+def hybrid_books(
+    keyword_hits: DataFrame,
+    candidates: DataFrame,
+    chunks: DataFrame,
+    books: DataFrame,
+    snippets: DataFrame | None = None,
+    mode: str = "intended",
+    limit: int | None = None,
+    texts: DataFrame | None = None,
+    terms: DataFrame | None = None,
+) -> DataFrame:
+    """One row per (query, book), see :func:`blend_books`, with names and text.
+
+    ``keyword_hits`` is the tiered search result, ``candidates`` the merged chunk scores.
+    Text comes from the best chunk, else from the keyword hit: cut here from the searched
+    ``texts`` with the queries' ``terms``, or given as ``snippets`` (``query_id, book_id,
+    snippet``).
+    """
+    rows = blend_books(keyword_hits, candidates, mode, limit)
+    bodies = chunks.select("chunk_id", F.col("text").alias("_text"))
     named = books.select("book_id", display_title().alias("title"), "author", "format")
-    rows = rows.join(named, "book_id").join(texts, "chunk_id", "left")
-    if snippets is not None:
-        rows = rows.join(
-            snippets.select("query_id", "book_id", F.col("snippet").alias("_snippet")),
-            ["query_id", "book_id"],
-            "left",
-        )
+    if texts is not None:
+        # only rows without a chunk look for the text of their hit
+        bare = F.when(F.col("chunk_id").isNull(), F.col("source")).alias("source")
+        rows = rows.select(*[bare if c == "source" else c for c in rows.columns])
+        rows = with_snippets(rows, books, texts, terms, "_snippet")
+    elif snippets is not None:
+        cut = snippets.select("query_id", "book_id", F.col("snippet").alias("_snippet"))
+        rows = rows.join(cut, ["query_id", "book_id"], "left")
     else:
         rows = rows.withColumn("_snippet", F.lit(None).cast("string"))
+    rows = rows.drop(*HIT_FIELDS).join(named, "book_id").join(bodies, "chunk_id", "left")
     short = F.substr("_text", F.lit(1), F.lit(K.SNIPPET_CHARS))
     return (
         rows.withColumn("snippet", F.coalesce(short, "_snippet", F.lit("")))

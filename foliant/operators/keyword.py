@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foliant import constants as K
 from foliant.functions.porter import stem
-from foliant.functions.text import contains_folded, strip, tokens
+from foliant.functions.text import contains_folded, fold, strip, tokens
 from foliant.operators.catalog import display_title
 from foliant.operators.matching import INLINE_NEEDLES, match_substrings, small_rows
 from foliant.operators.ordering import top_per_key
@@ -337,80 +337,127 @@ def keyword_chunks(
 # --- snippets ---------------------------------------------------------------------------
 
 
-def _best_window(text: str, prefixes: list[str], width: int) -> str | None:
-    """The window that covers most distinct prefixes, with hits marked by ``**``."""
-    low = text.lower()
-    table = str.maketrans(K.ACCENTED, K.PLAIN)
-    low = low.translate(table) if len(low) == len(text) else text.lower()
-    spans: list[tuple[int, int]] = []
-    at = 0
-    while at < len(low):
-        if low[at].isalnum():
-            end = at
-            while end < len(low) and low[end].isalnum():
-                end += 1
-            spans.append((at, end))
-            at = end
-        else:
-            at += 1
-    hit = [next((p for p in prefixes if low[s:e].startswith(p)), None) for s, e in spans]
-    starts = [i for i, h in enumerate(hit) if h is not None]
-    if not starts:
-        return None
-    best, most = starts[0], -1
-    counts: dict[str, int] = {}
-    end = 0
-    for i in starts:
-        while end < min(i + width, len(spans)):
-            if hit[end] is not None:
-                counts[hit[end]] = counts.get(hit[end], 0) + 1
-            end += 1
-        if len(counts) > most:
-            best, most = i, len(counts)
-        counts[hit[i]] -= 1
-        if not counts[hit[i]]:
-            del counts[hit[i]]
-    last = min(best + width, len(spans)) - 1
-    out, at = [], spans[best][0]
-    for i in range(best, last + 1):
-        s, e = spans[i]
-        word = f"**{text[s:e]}**" if hit[i] is not None else text[s:e]
-        out.append(text[at:s] + word)
-        at = e
-    left = "..." if best > 0 else ""
-    right = "..." if last < len(spans) - 1 else ""
-    return left + "".join(out) + right
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later steps use several times; a generator keeps them computed once."""
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(made)))
 
 
-def snippets(hits: DataFrame, terms: DataFrame, width: int = K.SNIPPET_TOKENS) -> DataFrame:
-    """Add ``snippet`` to ``query_id, book_id, chunk_index, text`` rows."""
+def _window_start(places: Column, n_prefixes: Column, width: int) -> Column:
+    """First token of the window that covers most distinct prefixes, the earliest on ties.
 
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, prefixes: pd.Series) -> pd.Series:
-        return pd.Series(
-            [_best_window(t, sorted(p), width) for t, p in zip(texts, prefixes)], dtype=object
+    ``places`` lists hit tokens (``at``, ``p``: number of the prefix). One walk from the last
+    to the first knows where each prefix comes next, so a window's prefixes are those that
+    come before its end.
+    """
+    far = 1 << 30
+    start = F.struct(
+        F.array_repeat(F.lit(far), n_prefixes).alias("next"), F.lit(-1).alias("at"), F.lit(0).alias("n")
+    )
+
+    def step(state: Column, place: Column) -> Column:
+        known = F.transform(
+            state["next"], lambda x, j: F.when(j == place["p"], place["at"]).otherwise(x)
+        )
+        covered = F.size(
+            F.filter(
+                state["next"],
+                lambda x, j: (j != place["p"]) & (x < place["at"] + width),
+            )
+        ) + 1
+        better = covered >= state["n"]
+        return F.struct(
+            known.alias("next"),
+            F.when(better, place["at"]).otherwise(state["at"]).alias("at"),
+            F.when(better, covered).otherwise(state["n"]).alias("n"),
         )
 
-    lists = terms.groupBy("query_id").agg(F.collect_set("prefix").alias("_prefixes"))
-    return hits.join(lists, "query_id").withColumn("snippet", cut("text", "_prefixes")).drop("_prefixes")
+    return F.aggregate(F.reverse(places), start, step, lambda state: state["at"])
 
 
-def hit_snippets(hits: DataFrame, books: DataFrame, chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """``query_id, book_id, snippet`` of tiered search results.
+def snippet_windows(df: DataFrame, width: int = K.SNIPPET_TOKENS) -> DataFrame:
+    """Add ``snippet`` to rows with ``text`` and ``_prefixes``; NULL without a hit.
 
-    A name match says what matched; a content match shows its best chunk's window.
+    The snippet is the best window of ``width`` tokens with hits marked by ``**`` and ``...``
+    where the text goes on. A token counts for the first of its prefixes.
     """
-    reason = (
+    word = r"[\p{L}\p{N}]+"
+    own = [c for c in df.columns if c not in ("_prefixes", "snippet")]
+    cut = _once(
+        df,
+        _tokens=F.regexp_extract_all("text", F.lit(word), 0),
+        _gaps=F.split("text", word, -1),
+    )
+    first = lambda t: F.get(F.filter("_prefixes", lambda p: F.startswith(t, p)), F.lit(0))
+    hit = _once(cut, _hits=F.transform(F.transform("_tokens", fold), first))
+    places = F.filter(
+        F.transform(
+            "_hits",
+            lambda h, i: F.struct(
+                i.alias("at"), (F.array_position("_prefixes", h) - 1).cast("int").alias("p")
+            ),
+        ),
+        lambda x: x["p"].isNotNull() & (x["p"] >= 0),
+    )
+    begun = _once(hit, _start=_window_start(places, F.size("_prefixes"), width))
+    n = F.size("_tokens")
+    last = F.least(F.col("_start") + width, n) - 1
+
+    def shown(i: Column) -> Column:
+        gap = F.when(i == F.col("_start"), "").otherwise(F.get("_gaps", i))
+        mark = F.when(F.get("_hits", i).isNotNull(), "**").otherwise("")
+        return F.concat(gap, mark, F.get("_tokens", i), mark)
+
+    snippet = F.concat(
+        F.when(F.col("_start") > 0, "...").otherwise(""),
+        F.array_join(F.transform(F.sequence(F.col("_start"), last), shown), ""),
+        F.when(last < n - 1, "...").otherwise(""),
+    )
+    return begun.select(*own, F.when(F.col("_start") >= 0, snippet).alias("snippet"))
+
+
+def prefix_lists(terms: DataFrame) -> DataFrame:
+    """``query_id, _prefixes``: the sorted prefix terms of each query."""
+    return terms.groupBy("query_id").agg(F.sort_array(F.collect_set("prefix")).alias("_prefixes"))
+
+
+def snippets(hits: DataFrame, terms: DataFrame, width: int = K.SNIPPET_TOKENS) -> DataFrame:
+    """Add ``snippet`` to ``query_id, book_id, chunk_index, text`` rows."""
+    return snippet_windows(hits.join(prefix_lists(terms), "query_id"), width)
+
+
+def name_reason() -> Column:
+    """What a name match says about itself."""
+    return (
         F.when(F.col("rank_value") == K.TIER_FILE, F.concat(F.lit("Filename: "), "file_name"))
         .when(F.col("rank_value") == K.TIER_TITLE, F.lit("Title match"))
         .otherwise(F.concat(F.lit("Author: "), F.coalesce("author", F.lit(""))))
     )
-    named = (
-        hits.filter("source = 'name'").select("query_id", "book_id", "rank_value")
-        .join(books.select("book_id", "file_name", "author"), "book_id")
-        .select("query_id", "book_id", reason.alias("snippet"))
-    )
-    found = hits.filter("source = 'content'").select("query_id", "book_id", "chunk_index")
+
+
+def with_snippets(
+    hits: DataFrame, books: DataFrame, chunks: DataFrame, terms: DataFrame, name: str = "snippet"
+) -> DataFrame:
+    """Add ``name`` to tiered search results (``query_id, book_id, source, rank_value, chunk_index``).
+
+    A name match says what matched; a content match shows its best chunk's window. Rows
+    without a source get NULL.
+    """
     texts = chunks.select("book_id", "chunk_index", "text")
-    cut = snippets(found.join(texts, ["book_id", "chunk_index"]), terms)
-    return named.unionByName(cut.select("query_id", "book_id", "snippet"))
+    content = F.when(F.col("source") == "content", F.col("chunk_index"))
+    rows = hits.withColumn("_at", content).join(
+        texts.select(F.col("book_id").alias("_book"), F.col("chunk_index").alias("_chunk"), "text"),
+        (F.col("book_id") == F.col("_book")) & (F.col("_at") == F.col("_chunk")),
+        "left",
+    ).drop("_book", "_chunk", "_at")
+    cut = snippet_windows(rows.join(prefix_lists(terms), "query_id", "left")).drop("text")
+    fields = books.select("book_id", "file_name", *([] if "author" in hits.columns else ["author"]))
+    reason = F.when(F.col("source") == "name", name_reason())
+    return cut.join(fields, "book_id", "left").select(
+        *hits.columns, F.coalesce("snippet", reason).alias(name)
+    )
+
+
+def hit_snippets(hits: DataFrame, books: DataFrame, chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """``query_id, book_id, snippet`` of tiered search results."""
+    return with_snippets(hits, books, chunks, terms).select("query_id", "book_id", "snippet")

@@ -196,10 +196,38 @@ SELECT query_id, book_id, chunk_id, score, row_number() OVER (PARTITION BY query
   SELECT coalesce(k.query_id, v.query_id) AS query_id, coalesce(k.book_id, v.book_id) AS book_id, v.chunk_id,
     round({K.KEYWORD_WEIGHT} * coalesce(k.keyword, 0) + {1 - K.KEYWORD_WEIGHT} * coalesce(v.score, 0), 6) AS score
   FROM tier_norm k FULL JOIN best_candidate v ON v.query_id = k.query_id AND v.book_id = k.book_id) s""",
+    # windows of the searched chunks: tokens with the text before them, and the first prefix they start with
+    "snippet_token": f"""
+SELECT query_id, book_id, chunk_index, len(toks) AS n, i, gaps[i] AS gap, toks[i] AS tok,
+  list_filter(prefixes, lambda p: starts_with(translate(lower(toks[i]), '{K.ACCENTED}', '{K.PLAIN}'), p))[1] AS hit
+FROM (SELECT *, unnest(range(1, len(toks) + 1)) AS i FROM (
+  SELECT s.query_id, s.book_id, s.chunk_index, a.prefixes, regexp_extract_all(c.text, '[\\p{{L}}\\p{{N}}]+') AS toks,
+    string_split_regex(c.text, '[\\p{{L}}\\p{{N}}]+') AS gaps
+  FROM text_score s JOIN text_chunk c ON c.book_id = s.book_id AND c.chunk_index = s.chunk_index
+  JOIN (SELECT query_id, list_sort(list(prefix)) AS prefixes FROM asked_term GROUP BY query_id) a ON a.query_id = s.query_id) t) u""",
+    "snippet_start": f"""
+SELECT query_id, book_id, chunk_index, i AS start FROM (
+  SELECT a.query_id, a.book_id, a.chunk_index, a.i, count(DISTINCT b.hit) AS covered FROM snippet_token a JOIN snippet_token b
+    ON b.query_id = a.query_id AND b.book_id = a.book_id AND b.chunk_index = a.chunk_index AND b.i >= a.i AND b.i < a.i + {K.SNIPPET_TOKENS}
+  WHERE a.hit IS NOT NULL AND b.hit IS NOT NULL GROUP BY a.query_id, a.book_id, a.chunk_index, a.i) w
+QUALIFY row_number() OVER (PARTITION BY query_id, book_id, chunk_index ORDER BY covered DESC, i) = 1""",
+    "chunk_snippet": f"""
+SELECT t.query_id, t.book_id, t.chunk_index, CASE WHEN s.start > 1 THEN '...' ELSE '' END
+  || string_agg(CASE WHEN t.i = s.start THEN '' ELSE t.gap END || CASE WHEN t.hit IS NULL THEN t.tok ELSE '**' || t.tok || '**' END, '' ORDER BY t.i)
+  || CASE WHEN t.n >= s.start + {K.SNIPPET_TOKENS} THEN '...' ELSE '' END AS snippet
+FROM snippet_token t JOIN snippet_start s ON s.query_id = t.query_id AND s.book_id = t.book_id AND s.chunk_index = t.chunk_index
+WHERE t.i >= s.start AND t.i < s.start + {K.SNIPPET_TOKENS} GROUP BY t.query_id, t.book_id, t.chunk_index, t.n, s.start""",
+    # a name match says what matched, a content match shows its window
+    "tier_snippet": f"""
+SELECT t.*, CASE WHEN t.source = 'content' THEN s.snippet WHEN t.rank_value = {K.TIER_FILE} THEN 'Filename: ' || b.file_name
+  WHEN t.rank_value = {K.TIER_TITLE} THEN 'Title match' ELSE 'Author: ' || coalesce(b.author, '') END AS snippet
+FROM tier_hit t JOIN book b ON b.book_id = t.book_id
+LEFT JOIN chunk_snippet s ON s.query_id = t.query_id AND s.book_id = t.book_id AND s.chunk_index = t.chunk_index""",
     "book_result": f"""
 SELECT h.query_id, h.book_id, h.chunk_id, h.score, h.rank, coalesce(b.title, b.file_name) AS title, b.author, b.format,
-  coalesce(substr(c.text, 1, {K.SNIPPET_CHARS}), '') AS snippet, coalesce(c.text, '') AS full_text
-FROM book_hit h JOIN book b ON b.book_id = h.book_id LEFT JOIN chunk_vec c ON c.chunk_id = h.chunk_id""",
+  coalesce(substr(c.text, 1, {K.SNIPPET_CHARS}), t.snippet) AS snippet, coalesce(c.text, t.snippet) AS full_text
+FROM book_hit h JOIN book b ON b.book_id = h.book_id LEFT JOIN chunk_vec c ON c.chunk_id = h.chunk_id
+LEFT JOIN tier_snippet t ON t.query_id = h.query_id AND t.book_id = h.book_id""",
     "hint": f"""
 SELECT chunk_id, score, title FROM (SELECT chunk_id, {score('text')} AS score, {title_guess('text')} AS title FROM cook_chunk) s WHERE score > {K.HINT_STORE}""",
     "cook_vector": """

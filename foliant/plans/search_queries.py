@@ -49,12 +49,11 @@ def candidates(lib: Library) -> DataFrame:
 
 def books_with_text(lib: Library, limit: int | None = None) -> DataFrame:
     """Blended books; those without a candidate chunk get the snippet of their keyword hit."""
-    hits, found = tier_hits(lib), candidates(lib)
-    # with a limit only the books that stay need a snippet
-    top = hybrid.hybrid_books(hits, found, lib.chunk_vec, lib.book, limit=limit)
-    bare = hits.join(top.filter("chunk_id IS NULL"), ["query_id", "book_id"], "left_semi")
-    cut = keyword.hit_snippets(bare, lib.book, text_chunks(lib), keyword.query_terms(lib.query))
-    return hybrid.hybrid_books(hits, found, lib.chunk_vec, lib.book, cut, limit=limit)
+    terms = keyword.query_terms(lib.query)
+    return hybrid.hybrid_books(
+        tier_hits(lib), candidates(lib), lib.chunk_vec, lib.book,
+        limit=limit, texts=text_chunks(lib), terms=terms,
+    )
 
 
 def book_results(lib: Library) -> DataFrame:
@@ -138,12 +137,13 @@ def bm25_search_stemmed(lib: Library) -> DataFrame:
     return keyword.rank_chunks(scores, 20)
 
 
-_HIT = "query_id bigint, book_id bigint, source string, rank_value double, chunk_index bigint, title string, author string, format string"
-
-
-@query(_HIT, "SELECT query_id, book_id, source, rank_value, chunk_index, title, author, format FROM tier_hit")
+@query(
+    "query_id bigint, book_id bigint, source string, rank_value double, chunk_index bigint, title string, author string, format string, snippet string",
+    "SELECT query_id, book_id, source, rank_value, chunk_index, title, author, format, snippet FROM tier_snippet",
+)
 def tiered_search(lib: Library) -> DataFrame:
-    return tier_hits(lib)
+    terms = keyword.query_terms(lib.query)
+    return keyword.with_snippets(tier_hits(lib), lib.book, text_chunks(lib), terms)
 
 
 @query(
@@ -173,7 +173,12 @@ def chunk_keyword_match(lib: Library) -> DataFrame:
     return keyword.keyword_chunks(_keywords(lib), lib.chunk_vec, scope)
 
 
-@query("query_id bigint, book_id bigint, chunk_index bigint, rank bigint, snippet string")
+@query(
+    "query_id bigint, book_id bigint, chunk_index bigint, rank bigint, snippet string",
+    """SELECT s.query_id, s.book_id, s.chunk_index, s.rank, c.snippet FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, book_id, chunk_index) AS rank FROM text_score) s
+    JOIN chunk_snippet c ON c.query_id = s.query_id AND c.book_id = s.book_id AND c.chunk_index = s.chunk_index WHERE s.rank <= 20""",
+)
 def highlight_snippet(lib: Library) -> DataFrame:
     chunks = text_chunks(lib)
     top = keyword.rank_chunks(text_scores(lib), 20).join(chunks, ["book_id", "chunk_index"])

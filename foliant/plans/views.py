@@ -22,8 +22,6 @@ DIALECTS = {
         "lines": "LATERAL VIEW posexplode(split(d.text, '\\n', -1)) s AS i, line",
         "int_div": "div",
         "global": "",
-        # every event is a log entry; the checking SQL still holds its old filter
-        "log_filter": "",
         "sitemap": '<OBJECT type="text/sitemap"><param name="Name" value="$2"><param name="Local" value="$1"><param name="X" value="y"></OBJECT><object type="text/sitemap"><param name="Local" value="$1"></object>',
     },
     "duckdb": {
@@ -34,7 +32,6 @@ DIALECTS = {
         "int_div": "//",
         "n_embeddings": "(SELECT count(*) FROM embeddings)",
         "global": ", 'g'",
-        "log_filter": " WHERE event_type IN ('view', 'click')",
         "sitemap": '<OBJECT type="text/sitemap"><param name="Name" value="\\2"><param name="Local" value="\\1"><param name="X" value="y"></OBJECT><object type="text/sitemap"><param name="Local" value="\\1"></object>',
     },
 }
@@ -132,7 +129,7 @@ SELECT event_id, user_id, event_id % 200 AS book_id, ts, CASE event_id % 6
   WHEN 0 THEN concat('{"type":"pdf","pageIndex":', CAST(event_id % 97 AS STRING), '}')
   WHEN 1 THEN concat('{"type":"epub","spineIndex":', CAST(event_id % 31 AS STRING), ',"scrollFraction":0.5}')
   WHEN 2 THEN '{"type":"fb2","scrollFraction":0.25}' WHEN 3 THEN '{"type":"web"}'
-  WHEN 4 THEN '{"type":"pdf"}' ELSE '{"type":"mobi","scrollFraction":0.75}' END AS position FROM events{log_filter}""",
+  WHEN 4 THEN '{"type":"pdf"}' ELSE '{"type":"mobi","scrollFraction":0.75}' END AS position FROM events""",
     "file_event": """
 SELECT event_id, ts, concat('/library/src', CAST(event_id % 20 AS STRING), '/en/book_', CAST(event_id % 400 AS STRING), '.',
   CASE (event_id % 400) % 7 WHEN 0 THEN 'pdf' WHEN 1 THEN 'epub' WHEN 2 THEN 'chm' WHEN 3 THEN 'mobi' WHEN 4 THEN 'AZW3' WHEN 5 THEN 'fb2' ELSE 'txt' END) AS path,
