@@ -9,7 +9,7 @@ further passes count what lies behind it, until no failure is left.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,7 +43,7 @@ class PhraseParams:
     one_in: int = 8
     caution: float = 0.5
     filter_bits: int = 27
-    chunk_bytes: int = 4 << 20
+    chunk_bytes: int = 1 << 20
 
 
 # --- inside a task ----------------------------------------------------------------------
@@ -85,14 +85,14 @@ class Words:
         edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
         self.starts, ends = edges[::2], edges[1::2]
         self.piece = np.cumsum(raw == 10, dtype=np.int32)[self.starts]
-        sizes = ends - self.starts
+        sizes = (ends - self.starts).astype(np.int32)
         self.ids, self.hashes = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         self.vocabulary: list[bytes] = []
         if not len(sizes):
             return
         letters = raw[inside]
-        first = np.cumsum(sizes) - sizes
-        place = np.arange(len(letters)) - np.repeat(first, sizes)
+        first = np.cumsum(sizes, dtype=np.int32) - sizes
+        place = np.arange(len(letters), dtype=np.int32) - np.repeat(first, sizes)
         powers = np.multiply.accumulate(np.full(sizes.max(), _STEP))
         self.hashes = mixed(np.add.reduceat((letters + np.uint64(1)) * powers[place], first))
         self.ids, seen = _numbered(self.hashes)
@@ -174,7 +174,7 @@ def _tally(data: bytes, stop: int, lang: str, longest: int, known, fresh) -> Ite
             new[spots] = fresh.holds(own)
 
 
-def _chunks(texts: list[bytes], most: int, longest: int) -> Iterator[tuple[bytes, int]]:
+def _chunks(texts: Iterable[bytes], most: int, longest: int) -> Iterator[tuple[bytes, int]]:
     """Folded texts in runs of about ``most`` bytes, each with the byte where its phrases end.
 
     A longer text is cut between words; the words behind the cut that a phrase may reach
@@ -224,7 +224,7 @@ def count_pass(
             langs = batch.column("lang").dictionary_encode()
             codes = np.asarray(langs.indices)
             for code, lang in enumerate(langs.dictionary.to_pylist()):
-                rows = texts.take(pa.array(np.flatnonzero(codes == code))).to_pylist()
+                rows = (texts[i].as_py() for i in np.flatnonzero(codes == code))
                 for data, stop in _chunks(rows, most, longest):
                     for size, found, hashes, counts in _tally(data, stop, lang, longest, *sets.value):
                         columns = [
