@@ -79,7 +79,7 @@ def drop_repeats(
 
 
 def throttle(
-    events: DataFrame, key: str, interval_seconds: float, span: int = 256
+    events: DataFrame, key: str, interval_seconds: float, span: int = 8
 ) -> DataFrame:
     """Events reported when more than ``interval_seconds`` passed since the last report.
 

@@ -140,39 +140,79 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
+# --- greedy walks -----------------------------------------------------------------------
+#
+# What a walk does to a run of rows is a step function: from the ``lo`` of the row that opened
+# the last group before the run to the same fact behind it, with the number of groups opened.
+# ``reach`` holds the upper ends of the steps (largest ``hi`` of a run of entry rows), ``exit``
+# and ``n`` what a walk through that entry leaves. Where no step is reached nothing changes.
+# Such functions compose associatively, so they are combined in levels and handed back down.
+
+#: Blocks that make a block of the next level.
+FAN = 256
+
+_NUMBERS = T.ArrayType(T.DoubleType())
+_STEPS = T.StructType([T.StructField(name, _NUMBERS) for name in ("reach", "exit", "n")])
+_PLACES = T.StructType([T.StructField(name, _NUMBERS) for name in ("opened", "before")])
+
+
 def _next_rows(lo: np.ndarray, hi: np.ndarray, limit: float) -> np.ndarray:
     """Index of the first later row whose ``hi`` lies more than ``limit`` above ``lo``."""
     found = np.searchsorted(hi, lo + limit, side="right")
     return np.maximum(found, np.arange(len(lo)) + 1)
 
 
-def _block_steps(lo: np.ndarray, hi: np.ndarray, limit: float, width: float) -> dict:
-    """Where a walk through the block leaves it, by where it enters.
+def _merged(reach: np.ndarray, leave: np.ndarray, n: np.ndarray) -> tuple:
+    ends = np.append((leave[1:] != leave[:-1]) | (n[1:] != n[:-1]), True)
+    return reach[ends], leave[ends], n[ends]
 
-    ``reach`` is the largest ``hi`` of a run of entry rows, ``exit`` the ``lo`` of the last
-    row that the walk opens from there.
-    """
-    follow = _next_rows(lo, hi, limit)
-    last = np.arange(len(lo))
-    for i in range(len(lo) - 1, -1, -1):
-        if follow[i] < len(lo):
-            last[i] = last[follow[i]]
-    edge = np.floor(lo[0] / width) * width + limit
-    entries = min(1 + int(np.searchsorted(hi, edge, side="left")), len(lo))
-    leave = lo[last[:entries]]
-    ends = np.append(leave[1:] != leave[:-1], True)
-    return {"reach": hi[:entries][ends], "exit": leave[ends]}
 
-
-def _walk_blocks(reaches, exits, limit: float) -> np.ndarray:
-    """``lo`` of the row that was open when each block of a key begins."""
-    opened, seen = -np.inf, []
-    for reach, leave in zip(reaches, exits):
+def _block_steps(lo: np.ndarray, hi: np.ndarray, limit: float, width: float) -> tuple:
+    """The step function of one block of rows."""
+    size = len(lo)
+    jump = np.append(_next_rows(lo, hi, limit), size)
+    last, n = np.arange(size + 1), np.append(np.ones(size), 0)
+    # pointer doubling: where the walk from each row ends, and after how many rows
+    while (jump[:-1] < size).any():
+        last = np.where(jump < size, last[jump], last)
+        n = n + n[jump]
+        jump = jump[jump]
+    edge = np.floor(lo[0] / width) * width + limit
+    entries = min(1 + int(np.searchsorted(hi, edge, side="left")), size)
+    return _merged(hi[:entries], lo[last[:entries]], n[:entries])
+
+
+def _step(steps: tuple, opened: np.ndarray, limit: float) -> tuple:
+    """Apply a step function to several ``opened`` values: new values and groups opened."""
+    reach, leave, n = steps
+    at = np.searchsorted(reach, opened + limit, side="right")
+    met = at < len(reach)
+    at = np.minimum(at, len(reach) - 1)
+    return np.where(met, leave[at], opened), np.where(met, n[at], 0)
+
+
+def _composed(parts: list[tuple], limit: float) -> tuple:
+    """First ``parts[0]``, then the others, as one step function."""
+    reach, leave, n = parts[0]
+    for part in parts[1:]:
+        moved, more = _step(part, leave, limit)
+        # entries beyond the last step so far fall through to the next part
+        tail = part[0] > reach[-1]
+        reach = np.append(reach, part[0][tail])
+        leave, n = np.append(moved, part[1][tail]), np.append(n + more, part[2][tail])
+        reach, leave, n = _merged(reach, leave, n)
+    return reach, leave, n
+
+
+def _places(parts: list[tuple], opened: float, before: float, limit: float) -> tuple:
+    """What is open, and how many groups there were, when each part begins."""
+    seen, counts = [], []
+    for part in parts:
         seen.append(opened)
-        at = int(np.searchsorted(reach, opened + limit, side="right"))
-        if at < len(reach):
-            opened = leave[at]
-    return np.array(seen)
+        counts.append(before)
+        moved, more = _step(part, np.array([opened]), limit)
+        opened, before = moved[0], before + more[0]
+    return seen, counts
 
 
 def _mark_block(lo: np.ndarray, hi: np.ndarray, opened: float, limit: float) -> np.ndarray:
@@ -185,6 +225,10 @@ def _mark_block(lo: np.ndarray, hi: np.ndarray, opened: float, limit: float) ->
     return flag
 
 
+def _frame(rows: list[tuple], kind: T.StructType) -> pd.DataFrame:
+    return pd.DataFrame([[list(v) for v in row] for row in rows], columns=kind.names)
+
+
 def greedy_groups(
     df: DataFrame,
     keys: Sequence[str],
@@ -195,6 +239,7 @@ def greedy_groups(
     span: int,
     name: str,
     opens: str,
+    fan: int = FAN,
 ) -> DataFrame:
     """Number the groups of a greedy left-to-right walk along each key.
 
@@ -203,73 +248,99 @@ def greedy_groups(
     ``order``, which is unique within the key. Adds ``name`` (0-based group) and ``opens``
     (does the row open it).
 
-    The walk is sequential, so each key is cut into blocks ``limit * span`` wide. A block
-    is summed up as a step function from "where the last group opened" to the same fact
-    at its end; only those few steps are walked per key, then blocks are marked at once.
+    The walk is sequential, so each key is cut into blocks ``limit * span`` wide, each summed
+    up as a step function. ``fan`` neighbouring functions are composed into one, level by level
+    up to one per key; then each level tells the one below what is open where its blocks
+    begin, and the rows of all blocks are marked at once. A task holds one block of rows or
+    ``fan`` functions, however many rows a key has.
     """
     keys = list(keys)
     limit, width = float(limit), float(limit) * span
-    numbers = T.ArrayType(T.DoubleType())
 
-    @F.pandas_udf(T.StructType([T.StructField("reach", numbers), T.StructField("exit", numbers)]))
+    @F.pandas_udf(_STEPS)
     def steps(lows: pd.Series, highs: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(
-            [_block_steps(low, high, limit, width) for low, high in zip(lows, highs)],
-            columns=["reach", "exit"],
-        )
+        return _frame([_block_steps(a, b, limit, width) for a, b in zip(lows, highs)], _STEPS)
+
+    @F.pandas_udf(_STEPS)
+    def compose(reaches: pd.Series, exits: pd.Series, counts: pd.Series) -> pd.DataFrame:
+        rows = zip(reaches, exits, counts)
+        return _frame([_composed(list(zip(*parts)), limit) for parts in rows], _STEPS)
 
-    @F.pandas_udf(numbers)
-    def walk(reaches: pd.Series, exits: pd.Series) -> pd.Series:
-        return pd.Series([_walk_blocks(r, e, limit) for r, e in zip(reaches, exits)])
+    @F.pandas_udf(_PLACES)
+    def walk(
+        reaches: pd.Series, exits: pd.Series, counts: pd.Series, opened: pd.Series, before: pd.Series
+    ) -> pd.DataFrame:
+        rows = zip(reaches, exits, counts, opened, before)
+        found = [_places(list(zip(r, e, n)), at, b, limit) for r, e, n, at, b in rows]
+        return _frame(found, _PLACES)
 
     @F.pandas_udf(T.ArrayType(T.BooleanType()))
     def mark(lows: pd.Series, highs: pd.Series, opened: pd.Series) -> pd.Series:
         rows = zip(lows, highs, opened)
         return pd.Series([_mark_block(low, high, start, limit) for low, high, start in rows])
 
-    blocks = (
-        df.select(
-            *keys,
-            F.floor(F.col(lo) / F.lit(width)).cast("bigint").alias("_block"),
-            F.struct(
-                F.col(order).alias("at"),
-                F.col(lo).cast("double").alias("lo"),
-                F.col(hi).cast("double").alias("hi"),
-            ).alias("_row"),
-        )
+    block = F.floor(F.col(lo) / F.lit(width)).cast("bigint").alias("_block")
+    row = F.struct(
+        F.col(order).alias("at"), F.col(lo).cast("double").alias("lo"), F.col(hi).cast("double").alias("hi")
+    )
+    grouped = (
+        df.select(*keys, block, row.alias("_row"))
         .groupBy(*keys, "_block")
         .agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
-        .select(*keys, "_block", F.col("_rows.at").alias("_at"), F.col("_rows.lo").alias("_lo"), F.col("_rows.hi").alias("_hi"))
-    )
-    summed = blocks.select(*keys, "_block", steps("_lo", "_hi").alias("_steps"))
-    per_key = summed.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("_block", "_steps"))).alias("_blocks")
     )
-    entry = per_key.select(
-        *keys,
-        F.inline(
-            F.arrays_zip(
-                F.col("_blocks._block").alias("_block"),
-                walk(F.col("_blocks._steps.reach"), F.col("_blocks._steps.exit")).alias("_opened"),
+    # written once: the blocks are read for their functions and again for their rows
+    blocks = durable(grouped.withColumn("_steps", steps("_rows.lo", "_rows.hi")))
+    ends = blocks.agg(F.min("_block"), F.max("_block")).first()
+    first, last = (0, 0) if ends[0] is None else ends
+    level = blocks.select(*keys, (F.col("_block") - first).alias("_at"), "_steps")
+    levels, reach = [], last - first
+    while True:
+        upper = (
+            level.groupBy(*keys, F.floor(F.col("_at") / F.lit(fan)).alias("_up"))
+            .agg(F.sort_array(F.collect_list(F.struct("_at", "_steps"))).alias("_parts"))
+        )
+        levels.append(upper)
+        reach //= fan
+        if reach == 0:
+            break
+        parts = "_parts._steps"
+        level = upper.select(
+            *keys, F.col("_up").alias("_at"),
+            compose(f"{parts}.reach", f"{parts}.exit", f"{parts}.n").alias("_steps"),
+        )
+    entry = None
+    for upper in reversed(levels):
+        if entry is None:
+            met = upper.select(
+                "*", F.lit(float("-inf")).alias("_opened"), F.lit(0.0).alias("_before")
             )
-        ),
-    )
+        else:
+            met = upper.join(entry.withColumnRenamed("_at", "_up"), [*keys, "_up"])
+        parts = "_parts._steps"
+        found = walk(f"{parts}.reach", f"{parts}.exit", f"{parts}.n", "_opened", "_before")
+        placed = met.select(*keys, F.col("_parts._at").alias("_ats"), found.alias("_found"))
+        entry = placed.select(
+            *keys,
+            F.inline(
+                F.arrays_zip(
+                    F.col("_ats").alias("_at"), F.col("_found.opened").alias("_opened"),
+                    F.col("_found.before").alias("_before"),
+                )
+            ),
+        )
+    entry = entry.withColumn("_block", F.col("_at") + first).drop("_at")
     marked = blocks.join(entry, [*keys, "_block"]).select(
-        *keys, "_block", "_at", mark("_lo", "_hi", "_opened").alias("_flags")
-    )
-    flagged = marked.withColumn("_n", F.size(F.filter("_flags", lambda f: f)))
-    earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    carried = flagged.select(
-        *keys, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_carried")
-    )
-    # running count of opened groups inside the block, one small array per block
-    rows = flagged.join(carried, [*keys, "_block"]).select(
-        *keys,
-        "_carried",
-        F.inline(F.arrays_zip(F.col("_at").alias(order), F.col("_flags").alias(opens), _running(F.col("_flags")).alias("_local"))),
+        *keys, "_before", F.col("_rows.at").alias("_at"),
+        mark("_rows.lo", "_rows.hi", "_opened").alias("_flags"),
     )
-    numbered = rows.select(*keys, order, opens, (F.col("_carried") + F.col("_local") - 1).alias(name))
-    return df.join(numbered, [*keys, order])
+    rows = marked.select(
+        *keys, "_before",
+        F.inline(F.arrays_zip(
+            F.col("_at").alias(order), F.col("_flags").alias(opens), _running(F.col("_flags")).alias("_local")
+        )),
+    )
+    number = (F.col("_before").cast("bigint") + F.col("_local") - 1).alias(name)
+    return df.join(rows.select(*keys, order, opens, number), [*keys, order])
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from foliant.operators import changes, chunking
+from foliant.operators import changes, chunking, ordering
 from foliant.operators.ordering import (
     first_per_key,
     greedy_groups,
@@ -82,11 +83,32 @@ def test_greedy_groups_match_a_plain_walk(spark):
             want.append((key, i, group, opens))
         data += [(key, i, lo) for i, lo in enumerate(los)]
     df = spark.createDataFrame(data, "k string, at int, lo long")
-    for span in (1, 2, 5, 1000):
-        got = greedy_groups(df, ["k"], "at", "lo", "lo", 10, span, "g", "opens")
+    for span, fan in ((1, 2), (1, 3), (2, 4), (5, 256), (1000, 2)):
+        got = greedy_groups(df, ["k"], "at", "lo", "lo", 10, span, "g", "opens", fan)
         assert rows(got, "k", "at", "g", "opens") == sorted(want, key=repr)
 
 
+def test_composed_steps_equal_one_walk():
+    """Composition is associative, and equal to walking all rows of the parts in one go."""
+    rng = random.Random(9)
+    for _ in range(300):
+        limit, width = 10.0, 10.0 * rng.choice([1, 2, 4])
+        los = np.cumsum([rng.choice([0.0, 1.0, 2.0, 9.0, 40.0]) for _ in range(rng.randrange(1, 60))])
+        his = np.maximum.accumulate(los + [rng.choice([0.0, 0.0, 3.0, 15.0]) for _ in los])
+        blocks = np.floor(los / width)
+        parts = [ordering._block_steps(los[blocks == b], his[blocks == b], limit, width) for b in np.unique(blocks)]
+        cut = rng.randrange(1, len(parts) + 1)
+        halves = [ordering._composed(p, limit) for p in (parts[:cut], parts[cut:]) if p]
+        # what is open lies before the first block
+        start = blocks[0] * width - rng.choice([1.0, 3.0, 9.0, 30.0, np.inf])
+        opened, n = start, 0
+        for lo, hi in zip(los, his):
+            if hi - opened > limit:
+                opened, n = lo, n + 1
+        for whole in (ordering._composed(parts, limit), ordering._composed(halves, limit)):
+            assert [float(v[0]) for v in ordering._step(whole, np.array([start]), limit)] == [opened, n]
+
+
 def test_pack_batches_oversize_chunk_stands_alone(spark):
     sizes = [3, 4, 4, 50, 1, 9, 1, 2, 2, 8, 3]
     data = [("x", i, " ".join(["w"] * n)) for i, n in enumerate(sizes)]
