@@ -178,6 +178,52 @@ def bm25_indexed(
     return _weigh(hits, corpus or corpus_of(lengths))
 
 
+def _owners(listed: list) -> tuple[Column, list[str]]:
+    """Each prefix with the queries that ask for it, as one literal array."""
+    by_prefix: dict[str, list[int]] = {}
+    for row in listed:
+        by_prefix.setdefault(row["prefix"], []).append(row["query_id"])
+    kind = "array<struct<prefix:string,queries:array<bigint>>>"
+    entries = [
+        F.struct(
+            F.lit(prefix).alias("prefix"),
+            F.array(*[F.lit(q).cast("bigint") for q in ids]).alias("queries"),
+        )
+        for prefix, ids in by_prefix.items()
+    ]
+    return (F.array(*entries) if entries else F.array()).cast(kind), list(by_prefix)
+
+
+def bm25_stored(
+    terms: DataFrame, postings: DataFrame, corpus: Corpus, inline: int = INLINE_NEEDLES
+) -> DataFrame:
+    """As :func:`bm25_indexed` from stored postings that carry chunk lengths; reads no text.
+
+    ``postings`` is ``term, book_id, chunk_index, tf, length``, sorted by term in its files. A
+    list of up to ``inline`` prefixes becomes a filter that the scan applies to its term
+    ranges; a longer one is joined to the vocabulary.
+    """
+    place = ["book_id", "chunk_index"]
+    listed = small_rows(terms.select("query_id", "prefix").distinct(), inline)
+    if listed is None:
+        hits = expand_prefixes(terms, postings).join(postings, "term")
+    else:
+        owners, prefixes = _owners(listed)
+        wanted = F.lit(False)
+        for prefix in prefixes:
+            wanted = wanted | F.startswith("term", F.lit(prefix))
+        mine = F.filter(owners, lambda o: F.startswith(F.col("term"), o["prefix"]))
+        hits = (
+            postings.filter(wanted)
+            .select(*place, "tf", "length", F.inline(mine))
+            .select(F.explode("queries").alias("query_id"), "prefix", *place, "tf", "length")
+        )
+    counted = hits.groupBy("query_id", "prefix", *place).agg(
+        F.sum("tf").alias("f"), F.first("length").alias("length")
+    )
+    return _weigh(counted.repartition("query_id", *place), corpus, bounded=listed is not None)
+
+
 def bm25(
     terms: DataFrame,
     chunks: DataFrame,
@@ -194,21 +240,8 @@ def bm25(
     split = chunks.select(*place, tokens(F.col("text")).alias("_tokens"))
     if listed is None:
         return bm25_indexed(terms, build_postings(chunks), chunk_lengths(chunks), corpus)
-    by_prefix: dict[str, list[int]] = {}
-    for row in listed:
-        by_prefix.setdefault(row["prefix"], []).append(row["query_id"])
-    owners = F.array(
-        *[
-            F.struct(
-                F.lit(prefix).alias("prefix"),
-                F.array(*[F.lit(q).cast("bigint") for q in ids]).alias("queries"),
-            )
-            for prefix, ids in by_prefix.items()
-        ]
-    )
-    if not by_prefix:
-        owners = F.array().cast("array<struct<prefix:string,queries:array<bigint>>>")
-    any_prefix = "^(?:" + "|".join(re.escape(p) for p in by_prefix) + ")" if by_prefix else r"\z."
+    owners, prefixes = _owners(listed)
+    any_prefix = "^(?:" + "|".join(re.escape(p) for p in prefixes) + ")" if prefixes else r"\z."
     # both columns come from one split of the text
     scanned = split.select(
         *place,

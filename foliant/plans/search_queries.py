@@ -19,15 +19,13 @@ COOKBOOK_VECTORS = 36
 
 
 def text_chunks(lib: Library) -> DataFrame:
-    return chunking.chunk_chars(docs(lib), "book_id")
-
-
-def _scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    return keyword.bm25(keyword.query_terms(queries), chunks)
+    return lib.text_chunk
 
 
 def text_scores(lib: Library) -> DataFrame:
-    return _scores(lib.query, text_chunks(lib))
+    """bm25 from the stored index; no text is read."""
+    index = lib.index
+    return keyword.bm25_stored(keyword.query_terms(lib.query), index.postings, index.corpus)
 
 
 def tier_hits(lib: Library) -> DataFrame:
@@ -63,7 +61,7 @@ def book_results(lib: Library) -> DataFrame:
 
 
 def cook_scores(lib: Library) -> DataFrame:
-    return _scores(lib.query, lib.cook_chunk)
+    return keyword.bm25(keyword.query_terms(lib.query), lib.cook_chunk)
 
 
 def cook_hits(lib: Library) -> DataFrame:
@@ -101,7 +99,7 @@ def fts_query_terms(lib: Library) -> DataFrame:
     "SELECT term, book_id, chunk_index, tf FROM posting",
 )
 def build_postings(lib: Library) -> DataFrame:
-    return keyword.build_postings(text_chunks(lib))
+    return keyword.build_postings(chunking.chunk_chars(docs(lib), "book_id"))
 
 
 # --- keyword search ----------------------------------------------------------------------------

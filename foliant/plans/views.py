@@ -6,8 +6,14 @@
 from __future__ import annotations
 
 import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from foliant.operators.chunking import chunk_chars
+from foliant.session import checkpoint_dir
+from foliant.sources.keyword_index import KeywordIndex, build_index, open_index
 from foliant.sources.tables import read_table
 
 RAW = [
@@ -239,8 +245,31 @@ def for_duckdb(sql: str, more: dict[str, str] | None = None) -> str:
     return f"WITH {parts} {sql.strip()}" if needed else sql.strip()
 
 
+#: Views that are written once and read by all queries, and the columns that spread their rows.
+KEPT = {
+    "book": ["book_id"],
+    "text_chunk": ["book_id", "chunk_index"],
+    "chunk_vec": ["chunk_id"],
+    "cook_chunk": ["chunk_id"],
+}
+
+#: Folder of each kept table, by application, input files and name.
+_KEPT_PATHS: dict[tuple, str] = {}
+
+
+def input_state(spark: SparkSession, folder: str) -> tuple:
+    """Paths, sizes and times of the input files; a changed input makes new tables."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    rows = listed.select("path", "length", F.unix_micros("modificationTime").alias("at"))
+    return tuple(sorted(map(tuple, rows.collect())))
+
+
 class Library:
-    """The views as DataFrames over one folder of Parquet tables."""
+    """The views as DataFrames over one folder of Parquet tables.
+
+    What most searches start from (catalog, chunks, keyword index) is written once to the shared
+    folder and read from there, with the names and sizes of the input files as its key.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -258,17 +287,54 @@ class Library:
             raise AttributeError(name)
         if name in RAW:
             return self.table(name)
-        if name not in VIEWS:
+        if name == "index":
+            return self._index()
+        if name not in VIEWS and name not in KEPT:
             raise AttributeError(name)
+        if name in KEPT and name not in self._made:
+            self._made[name] = self._kept(name)
         if name not in self._made:
-            text = VIEWS[name]
-            for raw in RAW:
-                if re.search(rf"\b(?:FROM|JOIN)\s+{raw}\b", text):
-                    self.table(raw)
-            for other in _uses(text, VIEWS):
-                getattr(self, other).createOrReplaceTempView(other)
-            if "{n_embeddings}" in text:
-                # counted from the file footers, so that the plan holds a plain number
-                text = text.replace("{n_embeddings}", str(self.table("embeddings").count()))
-            self._made[name] = self.spark.sql(_fill(text, "spark"))
+            self._made[name] = self._view(name)
         return self._made[name]
+
+    def _view(self, name: str) -> DataFrame:
+        text = VIEWS[name]
+        for raw in RAW:
+            if re.search(rf"\b(?:FROM|JOIN)\s+{raw}\b", text):
+                self.table(raw)
+        for other in _uses(text, VIEWS):
+            getattr(self, other).createOrReplaceTempView(other)
+        if "{n_embeddings}" in text:
+            # counted from the file footers, so that the plan holds a plain number
+            text = text.replace("{n_embeddings}", str(self.table("embeddings").count()))
+        return self.spark.sql(_fill(text, "spark"))
+
+    def _key(self, name: str) -> tuple:
+        if not hasattr(self, "state"):
+            self.state = input_state(self.spark, self.folder)
+        return (self.spark.sparkContext.applicationId, self.state, name)
+
+    def _new_path(self, name: str) -> str:
+        return f"{checkpoint_dir(self.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def _kept(self, name: str) -> DataFrame:
+        key = self._key(name)
+        if key not in _KEPT_PATHS:
+            if name == "text_chunk":
+                docs = self.documents.select(F.col("doc_id").alias("book_id"), "text")
+                df = chunk_chars(docs, "book_id")
+            else:
+                df = self._view(name)
+            path = self._new_path(name)
+            df.repartition(*KEPT[name]).write.parquet(path)
+            _KEPT_PATHS[key] = path
+        return read_table(self.spark, _KEPT_PATHS[key])
+
+    def _index(self) -> KeywordIndex:
+        """The keyword index of the documents' chunks."""
+        key = self._key("index")
+        if key not in _KEPT_PATHS:
+            path = self._new_path("keyword-index")
+            build_index(self.spark, path, self.text_chunk)
+            _KEPT_PATHS[key] = path
+        return open_index(self.spark, _KEPT_PATHS[key])
