@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +21,40 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Folder that new tables go to while a :func:`scratch` is open.
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the folder that driver and executors share."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = _SCRATCH.get() or checkpoint_dir(spark).rstrip("/")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are stored inside the block go when it ends.
+
+    The block gets a function that stores what must outlast it; only that may be read later.
+    """
+    path = shared_path(spark, name)
+    outer = _SCRATCH.get()
+
+    def keep(df: DataFrame) -> DataFrame:
+        inner = _SCRATCH.set(outer)
+        try:
+            return stored(df, name)
+        finally:
+            _SCRATCH.reset(inner)
+
+    opened = _SCRATCH.set(path)
+    try:
+        yield keep
+    finally:
+        _SCRATCH.reset(opened)
+        system, inside = fs.FileSystem.from_uri(path)
+        if system.get_file_info(inside).type != fs.FileType.NotFound:
+            system.delete_dir(inside)
 
 
 def stored(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFrame:

@@ -14,10 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.llm.common import beside_extreme, salted_lookup, stored, whole_text
+from foliant.llm.common import beside_extreme, salted_lookup, scratch, stored, whole_text
 
 
 @dataclass(frozen=True)
@@ -27,8 +28,8 @@ class NearParams:
     Two sets of similarity 0.75 share none of 32 bands of four with probability 5e-6.
     ``doubt`` is the estimate below which a proposed pair isn't confirmed on full sets;
     it lies four standard deviations under the threshold. ``block``: most members of a
-    bucket that one task compares at a time. ``pivots``: smallest members that a member is
-    compared with before everything else. ``filter_bits``: size of the filter on texts.
+    bucket that one task compares at a time. ``pivots``: bucket pivots that a member is compared
+    with before everything else. ``filter_bits``: size of the filter on texts.
     """
 
     width: int = 5
@@ -115,7 +116,7 @@ def super_min_hash(sets: list[np.ndarray], size: int) -> np.ndarray:
     return out
 
 
-_SKETCH = "doc_id long, n_shingles long, set_key binary, signature binary"
+_SKETCH = "doc_id long, text_key binary, n_shingles long, set_key binary, signature binary"
 
 
 def sketches(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
@@ -130,27 +131,38 @@ def sketches(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                sets = [shingles(t) for t in part.column(1).to_pylist()]
+                sets = [shingles(t) for t in part.column(2).to_pylist()]
                 full = _mix(super_min_hash(sets, params.size)).astype("<u4")
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 signs = [row.tobytes() if len(s) else None for s, row in zip(sets, full, strict=True)]
                 yield pa.record_batch(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())],
-                    names=["doc_id", "n_shingles", "set_key", "signature"],
+                    [part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.binary())],
+                    names=["doc_id", "text_key", "n_shingles", "set_key", "signature"],
                 )
 
     return _ids_texts(docs).mapInArrow(run, _SKETCH)
 
 
+def text_key() -> Column:
+    """Tells texts apart, so that rows which share a doc_id don't share a name."""
+    return F.unhex(F.md5(whole_text("text")))
+
+
 def _ids_texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text("text").alias("text"))
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"),
+        whole_text("text").alias("text"),
+    )
 
 
 def _buckets(reps: DataFrame, params: NearParams) -> DataFrame:
     """(bucket, rep, pivot, members) for the bands that at least two representatives share.
 
-    Counts and pivots are partial aggregates; the table of shared bands is written, so the
-    join stands between two plain shuffles and Spark can split a bucket of any size.
+    The pivot of a bucket is the member that shares most bands with most others. In a group
+    of copies that is the text they were made from, which is linked even with copies that
+    aren't linked with each other; so stars around pivots leave few members apart. Counts
+    and pivots are partial aggregates; each is written, so the joins stand between two plain
+    shuffles and Spark can split a bucket of any size.
     """
     size = 4 * params.rows
     keys = F.transform(
@@ -158,8 +170,25 @@ def _buckets(reps: DataFrame, params: NearParams) -> DataFrame:
         lambda i: F.xxhash64(i, F.substring("signature", i * size + 1, F.lit(size))),
     )
     rows = reps.select("rep", F.explode(keys).alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count("*").alias("members"))
-    return rows.join(stored(shared.where("members > 1"), "shared-bands"), "bucket")
+    counts = rows.groupBy("bucket").agg(F.count("*").alias("members"))
+    shared = stored(rows.join(stored(counts.where("members > 1"), "shared-bands"), "bucket"), "shared")
+    degrees = shared.groupBy("rep").agg(F.sum("members").alias("degree"))
+    pivots = (
+        shared.join(degrees, "rep").groupBy("bucket")
+        .agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("pivot"))
+    )
+    return shared.join(stored(pivots, "pivots"), "bucket")
+
+
+def _stars(buckets: DataFrame, params: NearParams) -> DataFrame:
+    """Pairs (a, b) of each member with the pivots that it shares most buckets with."""
+    beside = buckets.where("rep <> pivot").groupBy("rep", "pivot").agg(F.count("*").alias("n"))
+    nearest = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "pivot"))), 1, params.pivots)
+    chosen = beside.groupBy("rep").agg(nearest.alias("near"))  # at most one entry per band
+    first = chosen.select(F.explode("near.pivot").alias("x"), F.col("rep").alias("y"))
+    twos = buckets.where("members = 2 AND rep <> pivot").select(F.col("pivot").alias("x"), F.col("rep").alias("y"))
+    both = first.union(twos)
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _likely(pairs: DataFrame, reps: DataFrame, params: NearParams) -> DataFrame:
@@ -182,14 +211,14 @@ def _matrix(signatures: pa.Array, params: NearParams) -> np.ndarray:
 
 
 def _among(texts: DataFrame, ids: DataFrame, params: NearParams) -> DataFrame:
-    """``texts`` without most of those that aren't in ``ids`` (a), so that few are shuffled.
+    """``texts`` without most of those whose doc_id isn't in ``ids``, so that few are shuffled.
 
     A bitmap over hashed ids, 4 KB per bucket of 32,768 bits and 2 MB in all whatever the
     number of ids, is broadcast. It lets every wanted text pass; the join after it is exact.
     """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(params.filter_bits)) + 1
-    bits = ids.groupBy(F.bitmap_bucket_number(place("a")).alias("_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(place("a"))).alias("_bits")
+    bits = ids.groupBy(F.bitmap_bucket_number(place("doc_id")).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place("doc_id"))).alias("_bits")
     )
     at = F.bitmap_bit_position(place("doc_id"))
     byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10)
@@ -199,10 +228,13 @@ def _among(texts: DataFrame, ids: DataFrame, params: NearParams) -> DataFrame:
     return joined.where(found).select(*texts.columns)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, params: NearParams) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold."""
-    ids = stored(pairs.select("a").union(pairs.select("b")).distinct(), "pair-ids")
-    wanted = _among(_ids_texts(docs), ids, params).join(ids, F.col("doc_id") == F.col("a"), "left_semi")
+def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, params: NearParams) -> DataFrame:
+    """The pairs (a, b) of representatives whose full sets reach the threshold."""
+    open_reps = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    ids = stored(reps.select("rep", "at.doc_id", "at.text_key").join(open_reps, "rep"), "pair-ids")
+    # a text that stands in many rows under one id is passed on once by each task
+    wanted = _among(_ids_texts(docs), ids, params).groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
+    named = wanted.join(ids, ["doc_id", "text_key"]).select("rep", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(params.width)
@@ -212,8 +244,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, params: NearParams) -> DataFra
                 found = [shingles(t).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), pa.array(found, pa.binary())], names=["id", "shingles"])
 
-    full = wanted.mapInArrow(sets, "id long, shingles binary")
-    full = stored(full, "sets")
+    full = stored(named.mapInArrow(sets, "id long, shingles binary"), "sets")
     first = pairs.join(full.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = first.join(full.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
 
@@ -272,10 +303,11 @@ def _proposals(
 ) -> DataFrame:
     """Pairs of one bucket with different labels whose estimate isn't in doubt.
 
-    With ``best`` only that many pairs per bucket part and two labels. Buckets of two were
-    settled by their star; a bucket whose members all have one label proposes nothing. In
-    the others, members outside the pivot's label stand against every block of the bucket,
-    ``block`` members at a time, so a task holds two blocks however large the bucket is.
+    With ``best`` only that many, the likeliest, for each member outside its bucket's main
+    label. Buckets of two were settled by their star; a bucket whose members all have one
+    label proposes nothing. In the others, members outside the pivot's label stand against
+    all members, ``block`` by ``block``, so a task holds two blocks however large the bucket
+    is, and rows are repeated once per block of the other side.
     """
     rows = stored(_labelled(buckets.where("members > 2"), comps), "bucket-labels")
     mixed = rows.groupBy("bucket").agg(
@@ -283,37 +315,34 @@ def _proposals(
         F.max("label").alias("hi"),
         F.max(F.when(F.col("rep") == F.col("pivot"), F.col("label"))).alias("main"),
     )
-    blocks = F.ceil(F.col("members") / params.block).cast("int")
-    marked = (
-        rows.join(stored(mixed.where("lo <> hi").drop("lo", "hi"), "mixed"), "bucket")
-        .withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    )
-    marked = stored(marked, "marked")
+    marked = stored(rows.join(stored(mixed.where("lo <> hi").drop("lo", "hi"), "mixed"), "bucket"), "marked")
     outside = marked.where("label <> main")
-    left = outside.select(
-        "bucket", F.col("block").alias("i"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "rep", "label",
+    n_blocks = lambda n: F.ceil(F.col(n) / params.block).cast("int")
+    apart = stored(outside.groupBy("bucket").agg(F.count("*").alias("_n")), "apart")
+    facing = apart.select("bucket", n_blocks("_n").alias("rows_of"))
+    at = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    left = outside.join(facing, "bucket").withColumn("columns_of", n_blocks("members")).select(
+        "bucket", at("rows_of").alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("columns_of") - 1)).alias("j"), "rep", "label",
         F.lit(True).alias("out"),
     )
-    facing = outside.select("bucket", F.col("block").alias("i")).distinct()
-    right = marked.join(facing, "bucket").select(
-        "bucket", "i", F.col("block").alias("j"), "rep", "label", F.lit(False).alias("out")
-    )
+    right = marked.join(facing, "bucket").withColumn("columns_of", n_blocks("members")).select(
+        "bucket", F.explode(F.sequence(F.lit(0), F.col("rows_of") - 1)).alias("i"),
+        at("columns_of").alias("j"), "rep", "label", F.lit(False).alias("out"),
+    )
     signs = reps.select(F.col("rep"), F.col("signature"))
     signed = left.union(right).join(signs, "rep").select("bucket", "i", "j", "rep", "label", "out", "signature")
     keys = ["bucket", "i", "j"]
 
-    def compare(rep, label, out, signs) -> list[tuple[int, int]]:
-        found: dict[tuple[int, int], list] = {}
+    def compare(rep, label, out, signs) -> list[tuple[int, int, float]]:
+        found = []
         y = np.flatnonzero(~out)
         for x in np.flatnonzero(out):
             like = (signs[y] == signs[x]).mean(axis=1)
-            for k in np.flatnonzero((like >= params.doubt) & (label[y] != label[x])):
-                r, t = y[k], tuple(sorted((int(label[x]), int(label[y[k]]))))
-                pair = tuple(sorted((int(rep[x]), int(rep[r]))))
-                found.setdefault(t, []).append((-like[k], *pair))
-        return [p[1:] for pairs in found.values() for p in sorted(set(pairs))[:best]]
+            near = np.flatnonzero((like >= params.doubt) & (label[y] != label[x]))
+            near = near[np.lexsort((rep[y[near]], -like[near]))][:best]
+            found += [(int(rep[x]), int(rep[y[k]]), float(like[k])) for k in near]
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by group; the last group of a batch waits for the next one."""
@@ -335,11 +364,17 @@ def _proposals(
             signs = _matrix(full.column("signature"), params)
             pairs = [p for a, b in zip([0, *ends], ends) for p in compare(rep[a:b], label[a:b], out[a:b], signs[a:b])]
             if pairs:
-                a, b = zip(*pairs, strict=True)
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                x, y, like = zip(*pairs, strict=True)
+                columns = [pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(like, pa.float64())]
+                yield pa.record_batch(columns, names=["x", "y", "like"])
 
     dealt = signed.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    found = dealt.mapInArrow(run, "x long, y long, like double").distinct()
+    if best is not None:
+        # each block named its own likeliest; a member has at most blocks * bands * best of them
+        top = F.row_number().over(W.partitionBy("x").orderBy(F.col("like").desc(), "y"))
+        found = found.withColumn("_top", top).where(F.col("_top") <= best)
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _and_end(batches: Iterator) -> Iterator:
@@ -348,62 +383,87 @@ def _and_end(batches: Iterator) -> Iterator:
     yield None
 
 
-def near_groups(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, others): doc_id, n_shingles, component_id, kept.
-
-    Links join documents whose sets have 100 * intersection >= percent * union. A text
-    without words, or null, has an empty set and stands alone. A row with a null doc_id
-    is in no group: its component_id is null and it is kept. Rows that repeat a doc_id
-    are judged by their own texts. An empty table gives no rows.
+def _grouped(docs: DataFrame, params: NearParams) -> DataFrame:
+    """Per row of ``docs``: doc_id, text_key, n_shingles, and ``top``, the doc_id and text_key of
+    the row that stands for its group; null for rows without words or doc_id.
 
-    Pairs are confirmed in three rounds: members against the smallest members of their
-    buckets, and the pairs of buckets of two; then, per bucket and two labels, the two likeliest pairs; then every likely pair whose
-    labels still differ. Links within a label can't change a component and are skipped.
+    Pairs are confirmed in rounds: members against the pivots of their buckets, and the pairs
+    of buckets of two; then for each member outside the main label of a bucket its likeliest
+    partner of another label, then its four likeliest; then every likely pair whose labels
+    still differ. Links within a label can't change a component and are skipped.
     """
     own = stored(sketches(docs, params), "sketches")
-    classes = (
-        own.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-        .groupBy("set_key")
-        .agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
+    worded = own.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
+    classes = worded.groupBy("set_key").agg(
+        F.min(F.struct("doc_id", "text_key")).alias("at"), F.first("signature").alias("signature")
     )
-    reps = stored(classes, "classes")
+    # numbered once and written: a class keeps its number whatever ids its rows share
+    reps = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     buckets = stored(_buckets(reps, params), "buckets")
-    stars = buckets.where("rep <> pivot")
-    nearest = F.slice(F.array_sort(F.collect_set("pivot")), 1, params.pivots)
-    first = stars.groupBy("rep").agg(nearest.alias("a")).select(F.explode("a").alias("a"), F.col("rep").alias("b"))
-    twos = stars.where("members = 2").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-    pairs = stored(_likely(stored(first.union(twos).distinct(), "stars"), reps, params), "pairs")
-    links = stored(_confirmed(pairs, docs, params), "confirmed")
+    tried = stored(_likely(stored(_stars(buckets, params), "stars"), reps, params), "pairs")
+    links = stored(_confirmed(tried, docs, reps, params), "confirmed")
     comps = stored(components(links), "labels")
-    for best in (2, None):
-        pairs = stored(_proposals(buckets, reps, comps, params, best), "pairs")
-        if pairs.isEmpty():  # then the unlimited round has nothing to propose either
+    for best in (1, 4, None):
+        found = stored(_proposals(buckets, reps, comps, params, best), "proposed")
+        if found.isEmpty():  # then later rounds have nothing to propose either
             break
-        links = stored(links.union(_confirmed(pairs, docs, params)), "confirmed")
+        pairs = stored(found.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.union(pairs)
+        if pairs.isEmpty():
+            continue
+        links = stored(links.union(_confirmed(pairs, docs, reps, params)), "confirmed")
         comps = stored(components(links), "labels")
-    grouped = stored(_labelled(reps.select("set_key", "rep"), comps), "class-labels")
-    named = own.where("set_key IS NOT NULL AND doc_id IS NOT NULL").drop("signature")
-    found = salted_lookup(named, "set_key", "doc_id", grouped.select("set_key", "label"))
+    grouped = stored(_labelled(reps.select("set_key", "rep", "at"), comps), "class-labels")
+    tops = grouped.groupBy("label").agg(F.min("at").alias("top"))
+    named = salted_lookup(grouped.select("set_key", "rep", "label"), "label", "rep", tops)
+    rows = worded.select("doc_id", "text_key", "n_shingles", "set_key")
+    found = salted_lookup(rows, "set_key", "doc_id", named.select("set_key", "top"))
     alone = own.where("set_key IS NULL OR doc_id IS NULL")
-    columns = ["doc_id", "n_shingles"]
-    every = found.select(*columns, F.col("label").alias("component_id")).union(
-        alone.select(*columns, F.col("doc_id").alias("component_id"))
-    )
-    return every.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    columns = ["doc_id", "text_key", "n_shingles"]
+    none = F.lit(None).cast(found.schema["top"].dataType)
+    return found.select(*columns, "top").union(alone.select(*columns, none.alias("top")))
+
+
+def near_groups(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text, others): doc_id, n_shingles, component_id, kept.
+
+    Links join documents whose sets have 100 * intersection >= percent * union. A text
+    without words, or null, has an empty set and stands alone. A row with a null doc_id
+    is in no group: its component_id is null and it is kept. Rows that repeat a doc_id
+    are judged by their own texts: other texts under one id are other members. An empty
+    table gives no rows. Tables made on the way are removed.
+    """
+    with scratch(docs.sparkSession, "near-groups") as keep:
+        component = F.coalesce("top.doc_id", "doc_id")
+        return keep(
+            _grouped(docs, params).select(
+                "doc_id", "n_shingles", component.alias("component_id"),
+                F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+            )
+        )
 
 
 def one_per_group(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     """The rows of ``docs`` that are kept, one per group, with their own columns.
 
-    Of rows that repeat a kept doc_id one stays, that with the least text. Rows with a
-    null doc_id all stay.
+    The row with the least doc_id stands for its group, that with the least hash of the text
+    if several texts share the id; of rows equal in both one stays. Rows without words or
+    with a null doc_id all stay, and so does a text under a repeated id that is near to
+    no other.
     """
-    rows = near_groups(docs, params).where("doc_id IS NOT NULL").groupBy("doc_id")
-    kept = rows.agg(F.max("kept").alias("_kept"), (F.count("*") > 1).alias("_again")).where("_kept")
-    kept = stored(kept.select(F.col("doc_id").alias("_id"), "_again"), "kept-ids")
-    named = docs.join(kept, docs["doc_id"] == kept["_id"])
-    once = named.where("NOT _again").select(*[docs[c] for c in docs.columns])
-    several = named.where("_again").groupBy("_id").agg(
-        F.min_by(F.struct(*[docs[c] for c in docs.columns]), whole_text(docs["text"])).alias("_row")
-    )
-    return once.union(several.select("_row.*")).union(docs.where("doc_id IS NULL"))
+    names = docs.columns
+    with scratch(docs.sparkSession, "one-per-group") as keep:
+        rows = _grouped(docs, params).where("top IS NOT NULL")
+        is_top = (F.col("doc_id") == F.col("top.doc_id")) & (F.col("text_key") == F.col("top.text_key"))
+        marks = rows.groupBy("doc_id", "text_key").agg(
+            F.max(~is_top).alias("gone"), (F.count("*") > 1).alias("again")
+        )
+        marks = keep(marks.where("gone OR again"))
+    mine, packed = F.col("_row.doc_id"), F.struct(*[docs[c] for c in names]).alias("_row")
+    key = docs.select(packed, text_key().alias("_key"))
+    same = (mine == marks["doc_id"]) & (F.col("_key") == marks["text_key"])
+    seen = key.join(marks, same, "left").select("_row", "_key", "gone", "again")
+    left = seen.where(~F.coalesce("gone", F.lit(False)))
+    once = left.where(~F.coalesce("again", F.lit(False))).select("_row.*")
+    several = left.where("again").groupBy(mine, "_key").agg(F.first("_row").alias("_row"))
+    return once.union(several.select("_row.*"))

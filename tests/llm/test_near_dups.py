@@ -83,3 +83,55 @@ def test_signatures_estimate_likeness():
         assert abs(np.mean(found) - c / union) < 0.02
         assert np.std(found) < np.sqrt(c / union * (1 - c / union) / 128) * 1.1
     assert len(Shingler(5)("")) == 0 and len(Shingler(5)("a b c d e f")) == 2
+
+
+def test_a_group_around_one_text_costs_few_pairs(spark, docs, monkeypatch):
+    """Copies that aren't linked with each other, only with the text they were made from."""
+    from foliant.llm import near_dups
+
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(500, " ".join(base))]
+    for i in range(300):
+        text = list(base)
+        for at in r.sample(range(5, 95), 2):
+            text[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(text)))
+    asked = []
+    plain = near_dups._confirmed
+    monkeypatch.setattr(near_dups, "_confirmed", lambda p, *a: asked.append(p.count()) or plain(p, *a))
+    got = near_groups(docs(rows)).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert {tuple(x) for x in got} == brute(rows)
+    assert sum(asked) < 6 * len(rows)
+
+
+def test_repeated_ids_and_clashing_names(spark, docs):
+    from pyspark.sql import functions as F
+
+    text = "a b c d e f g h"
+    rows = [(1, text), (1, "zz other text that is near to nothing"), (3, text), (3, text), (4, "zz other"), (None, text)]
+    table = docs(rows).withColumn("_id", F.lit(1)).withColumn("_again", F.lit("x")).withColumn("gone", F.lit(2)).withColumn("top", F.col("doc_id"))
+    kept = one_per_group(table)
+    assert kept.columns == table.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, text), (1, rows[1][1]), (4, "zz other"), (None, text)], key=repr)
+
+
+def test_links_through_a_repeated_id_stay_apart(spark, docs):
+    one, two = "a b c d e f g h i", "k l m n o p q r s"
+    rows = [(7, one), (7, two), (8, one), (9, two)]
+    got = sorted((r.doc_id, r.component_id) for r in near_groups(docs(rows)).collect())
+    assert got == [(7, 7), (7, 7), (8, 7), (9, 7)]
+    assert one_per_group(docs(rows)).count() == 2
+
+
+def test_tables_on_the_way_are_removed(spark, docs):
+    import os
+
+    from foliant.session import checkpoint_dir
+
+    base = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(base))
+    got = near_groups(docs([(1, "a b c d e f"), (2, "a b c d e f")]))
+    assert len(set(os.listdir(base)) - before) == 1
+    assert got.count() == 2
