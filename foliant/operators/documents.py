@@ -101,25 +101,70 @@ def sitemap_toc(docs: DataFrame) -> DataFrame:
 
 
 def toc_tree(entries: DataFrame) -> DataFrame:
-    """Parent of each entry of a flat outline (``doc_id, seq, level``).
+    """Add ``parent_seq`` to a flat outline (``doc_id, seq, level``, any others).
 
-    The parent is the nearest earlier entry of a lower level. The outline of one
-    document is one array of small numbers, so it is resolved in the row.
+    The parent is the nearest earlier entry of a lower level. Each entry asks, for every lower
+    level of its document, for the last entry there; so the work grows with the entries
+    times the levels in use, and one level of one document is the largest group.
     """
-    outline = entries.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "level"))).alias("_outline")
+    levels = entries.groupBy("doc_id").agg(F.collect_set("level").alias("_levels"))
+    lower = F.explode(F.filter("_levels", lambda x: x < F.col("level")))
+    asked = entries.join(levels, "doc_id").select(
+        "doc_id", lower.alias("level"), "seq", F.lit(None).cast("bigint").alias("_own")
     )
+    placed = entries.select("doc_id", "level", "seq", F.col("seq").cast("bigint").alias("_own"))
+    before = W.partitionBy("doc_id", "level").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    last = F.last("_own", ignorenulls=True).over(before)
+    seen = placed.unionByName(asked).withColumn("_last", last).filter("_own IS NULL")
+    parents = seen.groupBy("doc_id", "seq").agg(F.max("_last").alias("parent_seq"))
+    return entries.join(parents, ["doc_id", "seq"], "left")
 
-    def parent(entry):
-        earlier = F.filter(
-            F.col("_outline"), lambda e: (e["seq"] < entry["seq"]) & (e["level"] < entry["level"])
-        )
-        return F.struct(
-            entry["seq"].alias("seq"), F.try_element_at(earlier, F.lit(-1))["seq"].alias("parent_seq")
-        )
 
-    parents = outline.select("doc_id", F.inline(F.transform("_outline", parent)))
-    return entries.join(parents, ["doc_id", "seq"])
+def nav_tree(docs: DataFrame) -> DataFrame:
+    """Nested contents of a navigation page: ``doc_id, seq, parent_seq, depth, title, href``.
+
+    ``docs`` is ``doc_id, html``. The list is the first ``ol`` of the ``nav`` marked as toc, or
+    of the first ``nav``. Every ``li`` is an entry, below the ``li`` around it; its link
+    stands before any inner list, and an entry without one is ``Untitled``. Depth is the
+    running balance of list tags, so one document costs one sort of its tags.
+    """
+    navs = F.regexp_extract_all("html", F.lit(r"(?is)<nav\b[^>]*>.*?</nav>"), 0)
+    marked = F.filter(
+        "_navs",
+        lambda n: F.rlike(n, F.lit(r"(?is)^<nav\b[^>]*type=[\"']toc[\"']")) & F.rlike(n, F.lit(r"(?i)<ol\b")),
+    )
+    nav = F.coalesce(F.get(marked, F.lit(0)), F.get("_navs", F.lit(0)))
+    tags = F.regexp_extract_all("_nav", F.lit(r"(?is)<ol\b[^>]*>|</ol>|<li\b[^>]*>|<a\b[^>]*>.*?</a>"), 0)
+    opens = lambda t, name: F.startswith(F.lower(t), F.lit(name))
+    listed = F.transform(
+        "_tags",
+        lambda t, i: F.struct(
+            i.alias("at"),
+            F.when(opens(t, "<ol"), 1).when(opens(t, "</ol"), -1).otherwise(0).alias("step"),
+            opens(t, "<li").alias("is_entry"),
+            F.when(opens(F.get("_tags", i + 1), "<a"), F.get("_tags", i + 1)).alias("link"),
+        ),
+    )
+    rows = (
+        docs.select("doc_id", navs.alias("_navs"))
+        .select("doc_id", nav.alias("_nav"))
+        .filter("_nav IS NOT NULL")
+        .select("doc_id", tags.alias("_tags"))
+        .select("doc_id", F.inline(F.filter(listed, lambda x: x["is_entry"] | (x["step"] != 0))))
+    )
+    along = W.partitionBy("doc_id").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    deep = rows.withColumn("depth", F.sum("step").over(along).cast("int"))
+    ended = (F.col("step") < 0) & (F.col("depth") <= 0)
+    deep = deep.withColumn("_ended", F.sum(ended.cast("int")).over(along))
+    kept = deep.filter("is_entry AND depth > 0 AND _ended = 0")
+    number = F.row_number().over(W.partitionBy("doc_id").orderBy("at")) - 1
+    title = strip(F.regexp_replace("link", r"<[^>]+>", ""))
+    entries = kept.select(
+        "doc_id", number.alias("seq"), F.col("depth").alias("level"),
+        F.coalesce(title, F.lit("Untitled")).alias("title"),
+        F.coalesce(F.regexp_extract("link", r"(?i)href=[\"']([^\"']*)[\"']", 1), F.lit("")).alias("href"),
+    )
+    return toc_tree(entries).withColumnRenamed("level", "depth")
 
 
 def extract_bodies(pages: DataFrame) -> DataFrame:

@@ -86,6 +86,25 @@ def nav_links(lib: Library) -> DataFrame:
     return documents.nav_links(lib.pages)
 
 
+_TOC_TAGS = """SELECT doc_id, nr, lower(tags[nr]) AS tag, CASE WHEN starts_with(lower(tags[nr + 1]), '<a') THEN tags[nr + 1] END AS link FROM (
+  SELECT doc_id, tags, unnest(range(1, len(tags) + 1)) AS nr FROM (
+    SELECT doc_id, regexp_extract_all(coalesce(list_filter(navs, lambda n: regexp_matches(n, '(?is)^<nav\\b[^>]*type=["'']toc["'']') AND regexp_matches(n, '(?i)<ol\\b'))[1], navs[1]),
+      '(?is)<ol\\b[^>]*>|</ol>|<li\\b[^>]*>|<a\\b[^>]*>.*?</a>') AS tags FROM (SELECT doc_id, regexp_extract_all(html, '(?is)<nav\\b[^>]*>.*?</nav>') AS navs FROM toc_page) n) t) u"""
+
+
+@query(
+    "doc_id bigint, seq bigint, parent_seq bigint, depth bigint, title string, href string",
+    f"""WITH tag AS ({_TOC_TAGS}),
+    deep AS (SELECT *, sum(CASE WHEN starts_with(tag, '<ol') THEN 1 WHEN tag = '</ol>' THEN -1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY nr) AS depth FROM tag),
+    entry AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY nr) - 1 AS seq, depth, link FROM deep d
+      WHERE starts_with(tag, '<li') AND depth > 0 AND NOT EXISTS (SELECT 1 FROM deep x WHERE x.doc_id = d.doc_id AND x.nr < d.nr AND x.tag = '</ol>' AND x.depth <= 0))
+    SELECT doc_id, seq, (SELECT max(p.seq) FROM entry p WHERE p.doc_id = e.doc_id AND p.seq < e.seq AND p.depth < e.depth) AS parent_seq, depth,
+      coalesce(trim(regexp_replace(link, '<[^>]+>', '', 'g'), {BLANKS}), 'Untitled') AS title, coalesce(regexp_extract(link, '(?i)href=["'']([^"'']*)["'']', 1), '') AS href FROM entry e""",
+)
+def nav_tree(lib: Library) -> DataFrame:
+    return documents.nav_tree(lib.toc_page)
+
+
 @query(
     "doc_id bigint, seq bigint, title string, path string",
     """SELECT doc_id, pos - 1 AS seq, regexp_extract(blocks[pos], '(?i)<param\\s+name="name"\\s+value="([^"]*)"', 1) AS title,

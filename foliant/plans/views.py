@@ -197,6 +197,13 @@ SELECT page_id {int_div} 10 AS book_id, CAST(9 - page_id % 10 AS INT) AS seq,
     # nav links of the pages written as sitemap objects
     "sitemap_page": """
 SELECT page_id AS doc_id, regexp_replace(html, '<li><a href="([^"]*)">([^<]*)</a></li>', '{sitemap}'{global}) AS html FROM pages""",
+    # the same links as nested contents, some with other lists before or behind them
+    "toc_page": """
+SELECT page_id AS doc_id, concat(CASE WHEN page_id % 3 = 0 THEN '<nav type="landmarks"><ol><li><a href="#l">Landmark</a></li></ol></nav>' ELSE '' END,
+  replace(replace(replace(html, '<nav><ul>', CASE WHEN page_id % 2 = 0 THEN '<nav epub:type="toc"><h2>Contents</h2><ol>' ELSE '<nav><OL class="c">' END),
+    '</ul></nav>', '</ol><ol><li><a href="#o">other list</a></li></ol></nav>'),
+    '</a></li><li>', concat('</a>', CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN '<ol><li><a href="#s">Sub</a></li><li>bare<OL><li><a class="k" href="#d">Deep <b>er</b></a></li></OL></li></ol>'
+      WHEN 2 THEN '<ol><li><a href="#e"> </a></li></ol>' ELSE '<ol></ol>' END, '</li><li>'))) AS html FROM pages""",
     "asked": """
 SELECT query_id, text FROM query UNION ALL SELECT 1000 + item_id, text FROM benchmark""",
     "tab": """
