@@ -1,9 +1,10 @@
 """Phrase collocations by Toivonen mining.
 
 A sample proposes phrases. One pass over all texts counts the proposals together with their
-negative border (phrases that aren't proposed although both their parts are), exactly. Border
-phrases that turn out frequent are failures of the sample: each makes the border move, and
-further passes count what lies behind it, until no failure is left.
+negative border (phrases that aren't proposed although both their parts are). That pass adds
+up hashes, which can only count too much; the next one counts what may be frequent by its
+words, exactly, and with it what lies behind border phrases that turned out frequent. Such
+failures of the sample move the border, and further passes count behind it, until none is left.
 """
 
 from __future__ import annotations
@@ -134,25 +135,58 @@ class Members:
         return (self.map[spot >> np.uint64(6)] >> (spot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _tally(data: bytes, stop: int, lang: str, longest: int, known, fresh) -> Iterator[tuple]:
-    """Counts of one chunk: size, phrase texts, hashes and counts.
+@dataclass(frozen=True)
+class Rule:
+    """Which phrases a pass counts; it looks at a phrase's words alone, so counts are whole.
+
+    Counted are phrases whose first and last size - 1 words are ``known``. With ``fresh``, only
+    those of which one part is fresh. With ``settled``, phrases whose parts are both settled
+    only if they are known themselves. ``words``: single words and their total, too.
+    """
+
+    known: Members | None = None
+    fresh: Members | None = None
+    settled: Members | None = None
+    words: bool = False
+
+
+def _by_hash(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    codes, found = pd.factorize(hashes)
+    return found, np.bincount(codes, minlength=len(found))
 
-    Counted are phrases whose first and last size - 1 words are known; with ``fresh``, only
-    those of which one part is fresh. Phrases start before byte ``stop``.
+
+def _tally(data: bytes, stop: int, lang: str, longest: int, rule: Rule, named: bool) -> Iterator[tuple]:
+    """Counts of one chunk: size, phrase texts (None unless ``named``), hashes and counts.
+
+    Phrases start before byte ``stop``. Size 0 is the number of words.
     """
     words = Words(data)
     n = int(np.searchsorted(words.starts, stop))
     seed = mixed(np.frombuffer(lang.encode().ljust(8, b"\0")[:8], np.uint64) + np.uint64(len(lang)))
-    if fresh is None:
-        yield 0, [b""], np.zeros(1, np.uint64), np.array([n])
-        at = np.arange(n)
-        if n:
-            names, first, counts = words.phrases(at, words.hashes, 1)
-            yield 1, names, mixed(words.hashes[first] + seed), counts
-    if known is None or len(words.ids) < 2:
-        return
+    none = np.zeros(0, bool)
+    known, fresh, settled = (
+        (lambda h, m=m: m.holds(h)) if m is not None else (lambda h: none)
+        for m in (rule.known, rule.fresh, rule.settled)
+    )
+
+    def counted(at: np.ndarray, hashes: np.ndarray, size: int) -> tuple:
+        if not named:
+            return size, None, *_by_hash(mixed(hashes[at] + seed))
+        names, first, counts = words.phrases(at, hashes, size)
+        return size, names, mixed(hashes[first] + seed), counts
+
     hashes, own = words.hashes, mixed(words.hashes + seed)
-    inside, new = known.holds(own), fresh.holds(own) if fresh is not None else None
+    inside = known(own)
+    if rule.words:
+        if named:
+            yield 0, [b""], np.zeros(1, np.uint64), np.array([n])
+        # words that can't be frequent need no name
+        at = np.flatnonzero(inside[:n]) if named else np.arange(n)
+        if len(at):
+            yield counted(at, hashes, 1)
+    if rule.known is None or len(words.ids) < 2:
+        return
+    new, done = fresh(own), settled(own)
     for size in range(2, longest + 1):
         last = len(words.ids) - size + 1
         if last <= 0:
@@ -160,18 +194,25 @@ def _tally(data: bytes, stop: int, lang: str, longest: int, known, fresh) -> Ite
         hashes = hashes[:last] * _STEP + words.hashes[size - 1 :]
         border = inside[:last] & inside[1 : last + 1]
         border &= words.piece[:last] == words.piece[size - 1 :]
-        wanted = border if new is None else border & (new[:last] | new[1 : last + 1])
-        at = np.flatnonzero(wanted[:n])
-        if len(at):
-            names, first, counts = words.phrases(at, hashes, size)
-            yield size, names, mixed(hashes[first] + seed), counts
         spots = np.flatnonzero(border)
         own = mixed(hashes[spots] + seed)
-        inside = np.zeros(last, bool)
-        inside[spots] = known.holds(own)
-        if fresh is not None:
-            new = np.zeros(last, bool)
-            new[spots] = fresh.holds(own)
+        member = known(own)
+        wanted = np.ones(len(spots), bool)
+        if rule.fresh is not None:
+            wanted = new[spots] | new[spots + 1]
+        if rule.settled is not None:
+            wanted &= member | ~(done[spots] & done[spots + 1])
+        at = spots[wanted & (spots < n)]
+        if len(at):
+            yield counted(at, hashes, size)
+
+        def spread(values: np.ndarray) -> np.ndarray:
+            full = np.zeros(last, bool)
+            if len(values):
+                full[spots] = values
+            return full
+
+        inside, new, done = spread(member), spread(fresh(own)), spread(settled(own))
 
 
 def _chunks(texts: Iterable[bytes], most: int, longest: int) -> Iterator[tuple[bytes, int]]:
@@ -205,20 +246,14 @@ def _chunks(texts: Iterable[bytes], most: int, longest: int) -> Iterator[tuple[b
 COUNTS = "lang string, size int, phrase string, h long, f long"
 
 
-def count_pass(
-    docs: DataFrame, params: PhraseParams, known: Members | None, fresh: Members | None
-) -> DataFrame:
-    """One pass over ``docs`` (lang, text): ``lang, size, phrase, h, f``.
-
-    Size 0 holds the number of words. Every count is whole, since a phrase is counted or not
-    by its words alone.
-    """
-    sc = docs.sparkSession.sparkContext
-    sets = sc.broadcast((known, fresh))
+def _counts(docs: DataFrame, params: PhraseParams, rule: Rule, named: bool) -> DataFrame:
+    """Counts of every chunk of ``docs`` (lang, text), to be added up."""
+    shared = docs.sparkSession.sparkContext.broadcast(rule)
     longest, most = params.longest, params.chunk_bytes
+    schema = COUNTS if named else "h long, size int, f long"
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "size", "phrase", "h", "f"]
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             langs = batch.column("lang").dictionary_encode()
@@ -226,21 +261,29 @@ def count_pass(
             for code, lang in enumerate(langs.dictionary.to_pylist()):
                 rows = (texts[i].as_py() for i in np.flatnonzero(codes == code))
                 for data, stop in _chunks(rows, most, longest):
-                    for size, found, hashes, counts in _tally(data, stop, lang, longest, *sets.value):
-                        columns = [
-                            pa.array([lang]).take(pa.array(np.zeros(len(found), np.int32))),
-                            pa.array(np.full(len(found), size, np.int32)),
-                            pa.array(found, pa.binary()).cast(pa.string()),
-                            pa.array(hashes.view(np.int64)),
-                            pa.array(counts.astype(np.int64)),
-                        ]
-                        yield pa.RecordBatch.from_arrays(columns, names)
-
-    return (
-        docs.mapInArrow(tally, COUNTS)
-        .groupBy("lang", "size", "phrase")
-        .agg(F.max("h").alias("h"), F.sum("f").alias("f"))
-    )
+                    for size, names, h, f in _tally(data, stop, lang, longest, shared.value, named):
+                        made = {
+                            "size": pa.array(np.full(len(h), size, np.int32)),
+                            "h": pa.array(h.view(np.int64)),
+                            "f": pa.array(f.astype(np.int64)),
+                        }
+                        if named:
+                            made["lang"] = pa.array([lang]).take(pa.array(np.zeros(len(h), np.int32)))
+                            made["phrase"] = pa.array(names, pa.binary()).cast(pa.string())
+                        yield pa.RecordBatch.from_arrays([made[c] for c in columns], columns)
+
+    return docs.mapInArrow(tally, schema)
+
+
+def count_hashes(docs: DataFrame, params: PhraseParams, rule: Rule) -> DataFrame:
+    """``h, size, f`` by phrase hash; phrases of one hash are counted together."""
+    return _counts(docs, params, rule, False).groupBy("h", "size").agg(F.sum("f").alias("f"))
+
+
+def count_phrases(docs: DataFrame, params: PhraseParams, rule: Rule) -> DataFrame:
+    """``lang, size, phrase, h, f`` by words; size 0 holds the number of words."""
+    counts = _counts(docs, params, rule, True)
+    return counts.groupBy("lang", "size", "phrase").agg(F.max("h").alias("h"), F.sum("f").alias("f"))
 
 
 def members(phrases: DataFrame, params: PhraseParams) -> Members:
@@ -256,36 +299,16 @@ def members(phrases: DataFrame, params: PhraseParams) -> Members:
     return Members(bits, table)
 
 
-def _closed(
-    docs: DataFrame, least: int, params: PhraseParams, known: DataFrame | None
-) -> tuple[DataFrame, list[int]]:
-    """All phrases of ``docs`` with ``least`` occurrences, and the failures of each pass.
-
-    ``known`` are proposals; without any, each pass proposes the next length.
-    """
-    frequent = lambda counts: stored(
-        counts.where((F.col("f") >= least) | (F.col("size") == 0)), "phrases"
-    )
-    found = frequent(count_pass(docs, params, known and members(known, params), None))
-    words = found.where("size > 0")
-    missed = words if known is None else words.join(known, ["lang", "phrase"], "left_anti")
-    proposed = missed if known is None else known.select("h").union(missed.select("h"))
-    failures = []
-    while True:
-        # a phrase of full length has nothing behind it
-        open_ends = missed.where(F.col("size") < params.longest)
-        failures.append(open_ends.count())
-        if not failures[-1]:
-            return found, failures
-        counts = count_pass(docs, params, members(proposed, params), members(open_ends, params))
-        # a shared bit may make a pass count a phrase again, to the same number
-        missed = stored(
-            counts.where(F.col("f") >= least).join(found, ["lang", "phrase"], "left_anti")
-            .select(*found.columns),
-            "phrases",
-        )
-        found = found.unionByName(missed)
-        proposed = proposed.select("h").union(missed.select("h"))
+def proposals(sample: DataFrame, least: int, params: PhraseParams) -> DataFrame:
+    """Hashes (h) of the phrases that stand in ``sample`` at least ``least`` times, by length."""
+    rule, found = Rule(words=True), None
+    for size in range(1, params.longest + 1):
+        counts = count_hashes(sample, params, rule).where((F.col("f") >= least) & (F.col("size") == size))
+        new = stored(counts.select("h"), "proposals")
+        found = new if found is None else found.union(new)
+        if size == params.longest or new.isEmpty():
+            return found
+        rule = Rule(members(found, params), members(new, params))
 
 
 def frequent_phrases(
@@ -293,7 +316,7 @@ def frequent_phrases(
 ) -> tuple[DataFrame, list[int]]:
     """``lang, size, phrase, h, f`` of every phrase with ``least`` occurrences; size 0: all words.
 
-    Also the number of border failures after each full pass (the last is 0).
+    Also the number of border failures that each further pass starts from (the last is 0).
     """
     rows = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"),
@@ -301,10 +324,28 @@ def frequent_phrases(
         (F.pmod(F.xxhash64("doc_id"), F.lit(params.one_in)) == 0).alias("_drawn"),
     ).where("text IS NOT NULL")
     drawn = stored(rows.where("_drawn").drop("_drawn"), "phrase-sample")
-    expected = params.least / params.one_in
-    lower = max(2, int(np.ceil(params.caution * expected)))
-    proposals, _ = _closed(drawn, lower, params, None)
-    return _closed(rows.drop("_drawn"), params.least, params, proposals.where("size > 0"))
+    lower = max(2, int(np.ceil(params.caution * params.least / params.one_in)))
+    sampled = members(proposals(drawn, lower, params), params)
+    rows, frequent = rows.drop("_drawn"), F.col("f") >= params.least
+    counts = count_hashes(rows, params, Rule(sampled, words=True))
+    likely = stored(counts.where(frequent).select("h"), "likely")
+    rule = Rule(members(likely, params), settled=sampled, words=True)
+    counts = count_phrases(rows, params, rule)
+    found = stored(counts.where(frequent | (F.col("size") == 0)), "phrases")
+    missed = found.where("size > 0").join(likely, "h", "left_anti")
+    known, failures = likely, []
+    while True:
+        # a phrase of full length has nothing behind it
+        open_ends = missed.where(F.col("size") < params.longest)
+        failures.append(open_ends.count())
+        if not failures[-1]:
+            return found, failures
+        known = known.union(missed.select("h"))
+        rule = Rule(members(known, params), members(open_ends, params))
+        # a shared bit may make a pass count a phrase again, to the same number
+        again = count_phrases(rows, params, rule).where(frequent).join(found, ["lang", "phrase"], "left_anti")
+        missed = stored(again.select(*found.columns), "phrases")
+        found = found.unionByName(missed)
 
 
 # --- scores -----------------------------------------------------------------------------
