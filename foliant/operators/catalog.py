@@ -115,6 +115,25 @@ def _library_wide(books: DataFrame, scopes: DataFrame) -> DataFrame:
     return paired.filter((F.col("kind") == "all") | opened).select("scope_id", "book_id")
 
 
+def lazy_scope(
+    books: DataFrame, membership: DataFrame, scopes: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Scopes as searches take them: ``scope_id, book_id`` rows, and ``scope_id`` of whole libraries.
+
+    A scope of all books stays a flag, so no row per book and scope is made for it.
+    """
+    some = scopes.filter("kind <> 'all'")
+    return scope_books(books, membership, some), scopes.filter("kind = 'all'").select("scope_id")
+
+
+def in_scope(rows: DataFrame, scope: DataFrame, everywhere: DataFrame) -> DataFrame:
+    """Rows (``query_id, book_id``, others) of the books that their query may see."""
+    seen = scope.select("query_id", "book_id").distinct().withColumn("_seen", F.lit(True))
+    free = everywhere.select("query_id").distinct().withColumn("_free", F.lit(True))
+    marked = rows.join(seen, ["query_id", "book_id"], "left").join(free, "query_id", "left")
+    return marked.filter("_seen OR _free").select(*rows.columns)
+
+
 def scope_fallback(books: DataFrame, membership: DataFrame, scopes: DataFrame) -> DataFrame:
     """As :func:`scope_books`, but an empty scope means all books.
 

@@ -13,6 +13,7 @@ from foliant.operators.chunking import chunk_windows
 from foliant.operators.keyword import with_snippets
 from foliant.operators.matching import keep_where
 from foliant.operators.ordering import top_per_key
+from foliant.session import durable
 
 
 # --- hints --------------------------------------------------------------------------------
@@ -101,8 +102,9 @@ def minmax_normalize(
     """Scale ``value`` to 0..1 within ``key``; ranges under ``floor`` count as ``floor``.
 
     Bounds are a partial aggregate joined back, so a key with most rows is never sorted
-    or held in one task.
+    or held in one task. The rows are written once, as both sides of that join read them.
     """
+    rows = durable(rows)
     bounds = rows.groupBy(key).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
     scaled = (F.col(value) - F.col("_low")) / F.greatest(
         F.col("_high") - F.col("_low"), F.lit(floor)
@@ -197,6 +199,7 @@ def gated_chunks(
     Hinted chunks pass at once; others must be content and reach the pattern gate. The
     gate depends on the chunk alone, so it is evaluated on distinct chunks.
     """
+    candidates = durable(candidates)
     needed = candidates.select("chunk_id").distinct()
     texts = chunks.select("chunk_id", "chunk_index", "text").join(needed, "chunk_id", "left_semi")
     judged = keep_where(
@@ -266,7 +269,8 @@ def hybrid_chunks(
     """Best chunks per query with neighbouring text, near-duplicates by place removed."""
     gated = gated_chunks(candidates, keyword_hits, chunks, hints, mode)
     order = [F.col("score").desc(), F.col("chunk_id")]
-    top = suppress_adjacent(top_per_key(gated, ["query_id"], order, limit), radius)
+    # a few rows per query, read for their neighbours, texts and names
+    top = durable(suppress_adjacent(top_per_key(gated, ["query_id"], order, limit), radius))
     hits = top.withColumn("hit_id", F.struct("query_id", "chunk_id"))
     wide = chunk_windows(hits, chunks, radius).select(
         F.col("hit_id")["query_id"].alias("query_id"),

@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.operators.matching import small_rows
 from foliant.operators.ordering import top_per_key
 
 # a query list up to this number is sent to every task as one matrix
@@ -61,6 +60,7 @@ def vector_topk(
     chunks: DataFrame,
     k: int,
     scope: DataFrame | None = None,
+    everywhere: DataFrame | None = None,
     inline: int = INLINE_QUERIES,
 ) -> DataFrame:
     """``query_id, book_id, chunk_id, similarity, rank`` of the nearest chunks per query.
@@ -68,16 +68,28 @@ def vector_topk(
     ``queries`` is ``query_id, vector``; ``chunks`` is ``chunk_id, book_id, embedding``.
     Chunks without a vector are left out. Every Arrow batch of chunks is multiplied with
     the query matrix and passes on at most ``k`` rows per query, so the shuffle carries
-    top lists only. Query lists that are too long for one matrix are cut into blocks.
+    top lists only. A query list that is too long for one matrix takes several passes.
+
+    With ``scope`` (``query_id, book_id``) a query sees the books of its scope only, and
+    nothing if there are none; the queries of ``everywhere`` (``query_id``) see all books.
+    Each book then carries one bit per query that may see it, which meets its chunks by
+    book and masks the product.
     """
-    embedded = chunks.filter(F.col("embedding").isNotNull())
-    if scope is not None:
-        return _scoped_topk(queries, embedded, k, scope)
-    listed = small_rows(queries.select("query_id", "vector"), inline)
-    if listed is not None:
-        partial = _multiply(embedded, listed, k)
-    else:
-        partial = _blocked(queries, embedded, k)
+    embedded = chunks.filter(F.col("embedding").isNotNull()).select("chunk_id", "book_id", "embedding")
+    listed = queries.select("query_id", "vector")
+    passes = -(-listed.count() // inline)
+    partial = None
+    for number in range(max(passes, 1)):
+        mine = F.pmod(F.xxhash64("query_id"), F.lit(max(passes, 1))) == number
+        block = sorted(listed.filter(mine).collect(), key=lambda r: r["query_id"])
+        if scope is None:
+            found = _multiply(embedded, block, k)
+        else:
+            open_ids = set()
+            if everywhere is not None:
+                open_ids = {r["query_id"] for r in everywhere.select("query_id").filter(mine).distinct().collect()}
+            found = _multiply(_with_masks(embedded, scope, block, bool(open_ids)), block, k, open_ids)
+        partial = found if partial is None else partial.unionByName(found)
     order = [F.col("similarity").desc(), F.col("chunk_id")]
     return top_per_key(partial, ["query_id"], order, k)
 
@@ -85,11 +97,43 @@ def vector_topk(
 _TOP_DDL = "query_id bigint, book_id bigint, chunk_id bigint, similarity double"
 
 
-def _score_batch(ids, books, matrix, query_ids, query_matrix, k) -> pd.DataFrame:
+def _with_masks(embedded: DataFrame, scope: DataFrame, block: list, keep_all: bool) -> DataFrame:
+    """Add ``mask``: 64 queries to a number, one bit for each query that may see the book."""
+    spark = embedded.sparkSession
+    numbers = spark.createDataFrame(
+        [(r["query_id"], i) for i, r in enumerate(block)], "query_id long, _at int"
+    )
+    seen = scope.select("query_id", "book_id").join(F.broadcast(numbers), "query_id")
+    bit = F.expr("shiftleft(1L, _at % 64)")
+    words = [
+        F.coalesce(F.bit_or(F.when(F.floor(F.col("_at") / 64) == w, bit)), F.lit(0)).cast("long").alias(f"_w{w}")
+        for w in range(max(1, -(-len(block) // 64)))
+    ]
+    masks = seen.groupBy("book_id").agg(*words)
+    masks = masks.select("book_id", F.array(*[c for c in masks.columns if c != "book_id"]).alias("mask"))
+    # a book that only the open queries see has no mask
+    return embedded.join(masks, "book_id", "left" if keep_all else "inner")
+
+
+def _seen(batch: pa.RecordBatch, query_ids: list, places: list[int], open_ids: set) -> np.ndarray:
+    """Which rows of a batch each query may see."""
+    rows = batch.column("mask").to_pylist()
+    width = max((len(m) for m in rows if m is not None), default=-(-(max(places) + 1) // 64))
+    flat = np.array([m if m is not None else [0] * width for m in rows], np.int64).reshape(-1, width)
+    bits = np.unpackbits(flat.view(np.uint8).reshape(len(rows), -1), axis=1, bitorder="little")
+    every = np.array([q in open_ids for q in query_ids])
+    return bits[:, places].astype(bool) | every
+
+
+def _score_batch(ids, books, matrix, query_ids, query_matrix, k, seen=None) -> pd.DataFrame:
     scores = np.round(matrix @ query_matrix.T, 6) + 0.0
     parts = []
     for j, query_id in enumerate(query_ids):
-        best = _best_rows(scores[:, j], ids, k)
+        if seen is None:
+            best = _best_rows(scores[:, j], ids, k)
+        else:
+            mine = np.flatnonzero(seen[:, j])
+            best = mine[_best_rows(scores[mine, j], ids[mine], k)]
         parts.append(
             pd.DataFrame(
                 {
@@ -103,14 +147,17 @@ def _score_batch(ids, books, matrix, query_ids, query_matrix, k) -> pd.DataFrame
     return pd.concat(parts) if parts else pd.DataFrame()
 
 
-def _multiply(embedded: DataFrame, listed: list, k: int) -> DataFrame:
+def _multiply(embedded: DataFrame, listed: list, k: int, open_ids: set | None = None) -> DataFrame:
     by_width: dict[int, list] = {}
-    for row in listed:
-        by_width.setdefault(len(row["vector"]), []).append(row)
+    for place, row in enumerate(listed):
+        by_width.setdefault(len(row["vector"]), []).append((place, row))
     blocks = [
-        ([r["query_id"] for r in rows], _matrix([r["vector"] for r in rows], width), width)
+        (
+            [r["query_id"] for _, r in rows], [at for at, _ in rows],
+            _matrix([r["vector"] for _, r in rows], width), width,
+        )
         for width, rows in by_width.items()
-    ]
+    ]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,15 +165,16 @@ def _multiply(embedded: DataFrame, listed: list, k: int) -> DataFrame:
                 continue
             ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
             books = batch.column("book_id").to_numpy(zero_copy_only=False)
-            for query_ids, query_matrix, width in blocks:
+            for query_ids, places, query_matrix, width in blocks:
+                seen = None if open_ids is None else _seen(batch, query_ids, places, open_ids)
                 matrix = _batch_matrix(batch.column("embedding"), width)
-                best = _score_batch(ids, books, matrix, query_ids, query_matrix, k)
+                best = _score_batch(ids, books, matrix, query_ids, query_matrix, k, seen)
                 yield pa.RecordBatch.from_pandas(
-                    best.astype({"query_id": "int64"}), schema=_TOP_SCHEMA, preserve_index=False
-                )
+                    best.astype({"query_id": "int64", "book_id": "int64", "chunk_id": "int64"}),
+                    schema=_TOP_SCHEMA, preserve_index=False,
+                )
 
-    slim = embedded.select("chunk_id", "book_id", "embedding")
-    return slim.mapInArrow(score, _TOP_DDL)
+    return embedded.mapInArrow(score, _TOP_DDL)
 
 
 _TOP_SCHEMA = pa.schema(
@@ -137,60 +185,3 @@ _TOP_SCHEMA = pa.schema(
         ("similarity", pa.float64()),
     ]
 )
-
-
-def _blocked(queries: DataFrame, embedded: DataFrame, k: int, size: int = 2048) -> DataFrame:
-    """Query blocks as rows, each paired with every slice of chunks.
-
-    Brute force needs every block to see every chunk. Chunks are repeated once per block
-    and spread over slices of about 50,000, so a group stays small at any table size.
-    """
-    n_blocks = max(1, int(np.ceil(queries.count() / size)))
-    slices = max(1, int(np.ceil(embedded.count() / 50_000)))
-    blocks = (
-        queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int"))
-        .select(
-            "_block",
-            F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice"),
-            "query_id",
-            "vector",
-        )
-        .groupBy("_block", "_slice")
-    )
-    spread = (
-        embedded.select(
-            "chunk_id",
-            "book_id",
-            "embedding",
-            F.pmod(F.xxhash64("chunk_id"), F.lit(slices)).cast("int").alias("_slice"),
-            F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_block"),
-        )
-        .groupBy("_block", "_slice")
-    )
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame(columns=["query_id", "book_id", "chunk_id", "similarity"])
-        if left.empty or right.empty:
-            return empty
-        parts = [empty]
-        ids, books = right["chunk_id"].to_numpy(), right["book_id"].to_numpy()
-        for width, rows in left.groupby(left["vector"].map(len)):
-            query_matrix = _matrix(list(rows["vector"]), width)
-            matrix = _matrix(list(right["embedding"]), width)
-            parts.append(_score_batch(ids, books, matrix, list(rows["query_id"]), query_matrix, k))
-        return pd.concat(parts)
-
-    return blocks.cogroup(spread).applyInPandas(score, _TOP_DDL)
-
-
-def _scoped_topk(queries: DataFrame, embedded: DataFrame, k: int, scope: DataFrame) -> DataFrame:
-    """As :func:`vector_topk` where every query sees only the books of its scope."""
-    from foliant.functions.vectors import cosine
-
-    wanted = scope.join(queries.select("query_id", "vector"), "query_id")
-    pairs = embedded.join(wanted, "book_id")
-    scored = pairs.select(
-        "query_id", "book_id", "chunk_id",
-        F.round(cosine(F.col("vector"), F.col("embedding")), 6).alias("similarity"),
-    )
-    return top_per_key(scored, ["query_id"], [F.col("similarity").desc(), F.col("chunk_id")], k)

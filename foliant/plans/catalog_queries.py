@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant import constants as K
 from foliant.operators import catalog, collections, hybrid, mutations, ordering
-from foliant.plans.checks import BLANKS, n_words, quoted
+from foliant.plans.checks import BLANKS, n_words, quoted, SCOPED
 from foliant.plans.registry import query
 from foliant.plans.views import Library
 
@@ -131,20 +131,15 @@ def catalog_search(lib: Library) -> DataFrame:
     return catalog.search(lib.book, "OR 3")
 
 
-_SCOPED = """SELECT s.scope_id, b.book_id FROM scope s, book b WHERE s.kind = 'all' OR s.kind = 'recent' AND b.date_last_opened IS NOT NULL
-    OR s.kind = 'folder' AND starts_with(b.file_path, regexp_replace(s.folder, '/+$', '') || '/')
-    OR s.kind = 'collection' AND EXISTS (SELECT 1 FROM book_collection m WHERE m.book_id = b.book_id AND m.collection_id = s.collection_id)"""
-
-
-@query("scope_id bigint, book_id bigint", _SCOPED)
+@query("scope_id bigint, book_id bigint", SCOPED)
 def scope_books(lib: Library) -> DataFrame:
     return catalog.scope_books(lib.book, lib.book_collection, lib.scope)
 
 
 @query(
     "scope_id bigint, book_id bigint",
-    f"""{_SCOPED} UNION ALL SELECT s.scope_id, b.book_id FROM scope s, book b
-    WHERE NOT s.cookbook AND s.scope_id NOT IN (SELECT scope_id FROM ({_SCOPED}) x)""",
+    f"""{SCOPED} UNION ALL SELECT s.scope_id, b.book_id FROM scope s, book b
+    WHERE NOT s.cookbook AND s.scope_id NOT IN (SELECT scope_id FROM ({SCOPED}) x)""",
 )
 def scope_fallback(lib: Library) -> DataFrame:
     return catalog.scope_fallback(lib.book, lib.book_collection, lib.scope)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from foliant import constants as K
 
 
@@ -263,3 +265,28 @@ WITH RECURSIVE walk AS (
 final AS (SELECT query_id, unnest(taken) AS hit FROM (SELECT query_id, taken, row_number() OVER (PARTITION BY query_id ORDER BY pos DESC) AS n FROM walk) w WHERE n = 1)
 SELECT g.* FROM final f JOIN gated g ON g.query_id = f.query_id AND g.chunk_id = f.hit.chunk_id""",
 }
+
+#: Books of each scope, written out.
+SCOPED = """SELECT s.scope_id, b.book_id FROM scope s, book b WHERE s.kind = 'all' OR s.kind = 'recent' AND b.date_last_opened IS NOT NULL
+      OR s.kind = 'folder' AND starts_with(b.file_path, regexp_replace(s.folder, '/+$', '') || '/')
+      OR s.kind = 'collection' AND EXISTS (SELECT 1 FROM book_collection m WHERE m.book_id = b.book_id AND m.collection_id = s.collection_id)"""
+
+# the searches again, each query over the books of its scope
+_BY_BOOK = ["keyword_hit", "tier_hit", "cook_keyword", "cook_hit", "cook_score"]
+_NEAREST = {"vector_hit": ("chunk_vec", 50), "cook_vector": ("cook_chunk", 36)}
+_BLENDED = ["candidate", "best_candidate", "tier_norm", "book_hit", "cook_candidate", "cook_norm", "gated", "accepted"]
+_NAMES = re.compile(rf"\b({'|'.join([*_BY_BOOK, *_NEAREST, *_BLENDED])})\b")
+
+CHECK_VIEWS["seen_book"] = f"""
+SELECT q.query_id, s.book_id FROM query_scope q JOIN ({SCOPED}) s ON s.scope_id = q.scope_id"""
+for _name in _BY_BOOK:
+    CHECK_VIEWS[f"in_{_name}"] = f"""
+SELECT x.* FROM {_name} x JOIN seen_book i ON i.query_id = x.query_id AND i.book_id = x.book_id"""
+for _name, (_chunks, _most) in _NEAREST.items():
+    CHECK_VIEWS[f"in_{_name}"] = f"""
+SELECT query_id, book_id, chunk_id, similarity, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM (
+    SELECT q.query_id, c.book_id, c.chunk_id, round(list_cosine_similarity(CAST(q.vector AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS similarity
+    FROM query q JOIN seen_book i ON i.query_id = q.query_id JOIN {_chunks} c ON c.book_id = i.book_id WHERE c.embedding IS NOT NULL) s) r WHERE rank <= {_most}"""
+for _name in _BLENDED:
+    CHECK_VIEWS[f"in_{_name}"] = _NAMES.sub(r"in_\1", CHECK_VIEWS[_name])

@@ -11,6 +11,7 @@ from foliant.plans.checks import page_kind, score
 from foliant.plans.registry import query
 from foliant.plans.text_queries import docs
 from foliant.plans.views import Library
+from foliant.session import durable
 
 COOKBOOK_VECTORS = 36
 
@@ -337,6 +338,69 @@ def fallback_chunks(lib: Library) -> DataFrame:
     return hybrid.fallback_chunks(answered, cook_scores(lib), lib.cook_chunk)
 
 
+def _scope(lib: Library) -> tuple[DataFrame, DataFrame]:
+    """``query_id, book_id`` of the queries' scopes, and the queries that see all books."""
+    rows, whole = catalog.lazy_scope(lib.book, lib.book_collection, lib.scope)
+    named = lib.query_scope
+    return (
+        durable(rows.join(named, "scope_id").select("query_id", "book_id")),
+        whole.join(named, "scope_id").select("query_id"),
+    )
+
+
+def _scoped_cooking(lib: Library, scope: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Chunk candidates and keyword hits of each query's scope."""
+    near = vectors.vector_topk(lib.query, lib.cook_chunk, COOKBOOK_VECTORS, *scope)
+    hits = catalog.in_scope(keyword.keyword_chunks(_keywords(lib), lib.cook_chunk), *scope)
+    return hybrid.merge_candidates(near, hits), catalog.in_scope(cook_hits(lib), *scope)
+
+
+@query(
+    "query_id bigint, book_id bigint, chunk_id bigint, score double, title string, snippet string, full_text string",
+    f"""SELECT h.query_id, h.book_id, h.chunk_id, h.score, coalesce(b.title, b.file_name) AS title,
+      coalesce(substr(c.text, 1, {K.SNIPPET_CHARS}), t.snippet) AS snippet, coalesce(c.text, t.snippet) AS full_text
+    FROM in_book_hit h JOIN book b ON b.book_id = h.book_id LEFT JOIN chunk_vec c ON c.chunk_id = h.chunk_id
+    LEFT JOIN tier_snippet t ON t.query_id = h.query_id AND t.book_id = h.book_id""",
+)
+def hybrid_books_scoped(lib: Library) -> DataFrame:
+    scope = _scope(lib)
+    near = vectors.vector_topk(lib.query, lib.chunk_vec, K.VECTOR_TOP_BOOKS, *scope)
+    found = catalog.in_scope(keyword.keyword_chunks(_keywords(lib), lib.chunk_vec), *scope)
+    return hybrid.hybrid_books(
+        catalog.in_scope(tier_hits(lib), *scope), hybrid.merge_candidates(near, found),
+        lib.chunk_vec, lib.book, texts=text_chunks(lib), terms=keyword.query_terms(lib.query),
+    )
+
+
+@query(
+    "query_id bigint, rank bigint, book_id bigint, chunk_id bigint, chunk_index bigint, score double, is_hinted boolean, full_text string",
+    """SELECT a.query_id, a.rank, a.book_id, a.chunk_id, a.chunk_index, a.score, a.is_hinted,
+      (SELECT string_agg(x.text, chr(10) || chr(10) ORDER BY x.chunk_index) FROM cook_chunk x WHERE x.book_id = a.book_id AND abs(x.chunk_index - a.chunk_index) <= 1) AS full_text
+    FROM in_accepted a JOIN book b ON b.book_id = a.book_id""",
+)
+def hybrid_chunks_scoped(lib: Library) -> DataFrame:
+    found, hits = _scoped_cooking(lib, _scope(lib))
+    hints = hybrid.build_hints(lib.cook_chunk)
+    return hybrid.hybrid_chunks(found, hits, lib.cook_chunk, hints, lib.book)
+
+
+@query(
+    "query_id bigint, rank bigint, book_id bigint, chunk_index bigint, score double, snippet string",
+    f"""SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY bm DESC, book_id, chunk_index) AS rank, book_id, chunk_index, round(greatest({K.FALLBACK_LOW}, least({K.FALLBACK_HIGH}, bm / 10)), 6) AS score, snippet FROM (
+      SELECT s.query_id, s.book_id, s.chunk_index, s.score AS bm, substr(c.text, 1, {K.SNIPPET_CHARS}) AS snippet, {page_kind('c.text')} AS kind, {score('c.text')} AS quality FROM (
+        SELECT * FROM in_cook_score WHERE query_id NOT IN (SELECT query_id FROM in_accepted WHERE query_id % 2 = 0)) s
+      JOIN cook_chunk c ON c.book_id = s.book_id AND c.chunk_index = s.chunk_index) f
+    WHERE kind = 'content' AND quality >= {K.QUALITY_GATE} QUALIFY rank <= {K.CHUNK_RESULTS}""",
+)
+def fallback_chunks_scoped(lib: Library) -> DataFrame:
+    scope = _scope(lib)
+    found, hits = _scoped_cooking(lib, scope)
+    hints = hybrid.build_hints(lib.cook_chunk)
+    answered = hybrid.hybrid_chunks(found, hits, lib.cook_chunk, hints, lib.book).filter("query_id % 2 = 0")
+    scores = catalog.in_scope(cook_scores(lib), *scope)
+    return hybrid.fallback_chunks(answered, scores, lib.cook_chunk)
+
+
 @query(
     "query_id bigint, book_id bigint, score double",
     "SELECT h.query_id, h.book_id, h.score FROM book_hit h JOIN query q ON q.query_id = h.query_id WHERE trim(q.text) <> ''",

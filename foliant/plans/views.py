@@ -154,6 +154,9 @@ UNION ALL SELECT 1, 'recent', NULL, NULL, false
 UNION ALL SELECT 100 + n_nationkey, 'collection', n_nationkey, NULL, n_nationkey % 5 = 0 FROM nation
 UNION ALL SELECT 200 + CAST(substr(source, 4) AS BIGINT), 'folder', NULL, concat('/library/', source, '/'), false FROM (SELECT DISTINCT source FROM documents) s
 UNION ALL SELECT 900, 'folder', NULL, '/library/src', false UNION ALL SELECT 901, 'collection', 24, NULL, true""",
+    # what each query searches: all books, a collection, a folder, what was opened, or nothing
+    "query_scope": """
+SELECT query_id, CASE query_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 100 + query_id WHEN 2 THEN 200 + query_id WHEN 3 THEN 1 ELSE 901 END AS scope_id FROM query""",
     # answers with up to three records each
     "response": """
 SELECT o_orderkey AS response_id, concat(' I found recipes.', chr(10), 'From: nowhere', chr(10), chr(10),
