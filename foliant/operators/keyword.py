@@ -277,7 +277,7 @@ def best_per_book(scores: DataFrame) -> DataFrame:
     )
 
 
-def name_tiers(queries: DataFrame, books: DataFrame, inline: int = INLINE_NEEDLES) -> DataFrame:
+def name_tiers(queries: DataFrame, books: DataFrame, **options: int) -> DataFrame:
     """Books whose file name, title or author contains the whole query text."""
     text = F.lower(strip(F.col("text")))
     wanted = queries.select(F.col("query_id").alias("needle_id"), text.alias("needle"))
@@ -285,7 +285,7 @@ def name_tiers(queries: DataFrame, books: DataFrame, inline: int = INLINE_NEEDLE
     names = F.lower(F.concat_ws("\n", "file_name", "title", "author"))
     fields = ["book_id", "file_name", "title", "author"]
     named = books.select(*fields, names.alias("_names"))
-    found = match_substrings(named, fields, "_names", wanted, inline)
+    found = match_substrings(named, fields, "_names", wanted, **options)
     tier = (
         F.when(contains_folded(F.col("file_name"), F.col("needle")), K.TIER_FILE)
         .when(contains_folded(F.col("title"), F.col("needle")), K.TIER_TITLE)

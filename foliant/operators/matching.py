@@ -28,16 +28,35 @@ def keep_where(df: DataFrame, name: str, value: Column, test) -> DataFrame:
     return made.select(*[c for c in made.columns if c != name], kept)
 
 
-def _grams(text: Column) -> Column:
-    """Distinct pieces of one, two and three characters."""
+#: Needles that one pass looks for; their pieces are broadcast.
+NEEDLES_A_PASS = 100_000
+#: One text in so many tells which pieces are rare.
+SAMPLED_TEXTS = 64
 
-    def cut(n: int) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.length(text)), lambda i: F.substr(text, i, F.lit(n))
-        )
 
-    pieces = F.array_distinct(F.concat(cut(1), cut(2), cut(3)))
-    return F.when(F.length(text) > 0, pieces).otherwise(F.array().cast("array<string>"))
+def _pieces(text: Column, size: int) -> Column:
+    """Distinct pieces of ``size`` characters."""
+    starts = F.sequence(F.lit(1), F.length(text) - (size - 1))
+    cut = F.transform(starts, lambda i: F.substr(text, i, F.lit(size)))
+    return F.when(F.length(text) >= size, F.array_distinct(cut))
+
+
+def _picked(needles: DataFrame, rows: DataFrame, text: str) -> DataFrame:
+    """Add ``_piece`` to each needle: its piece that stands in fewest texts, by a sample of them.
+
+    Needles of one or two characters are their own piece. The sample decides how many texts
+    are looked at in vain, never what is found.
+    """
+    parts = F.when(F.length("needle") < 3, F.array("needle")).otherwise(_pieces(F.col("needle"), 3))
+    pieces = needles.select("needle_id", "needle", F.explode(parts).alias("_piece"))
+    drawn = rows.filter(F.pmod(F.xxhash64(text), F.lit(SAMPLED_TEXTS)) == 0)
+    seen = drawn.select(F.explode(_pieces(F.col(text), 3)).alias("_piece"))
+    common = seen.join(F.broadcast(pieces.select("_piece").distinct()), "_piece", "left_semi")
+    counts = common.groupBy("_piece").agg(F.count("*").alias("_n"))
+    weighed = pieces.join(counts, "_piece", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    return weighed.groupBy("needle_id", "needle").agg(
+        F.min_by("_piece", F.struct("_n", "_piece")).alias("_piece")
+    )
 
 
 def match_substrings(
@@ -45,40 +64,29 @@ def match_substrings(
     keys: Sequence[str],
     text: str,
     needles: DataFrame,
-    inline: int = INLINE_NEEDLES,
+    per_pass: int = NEEDLES_A_PASS,
 ) -> DataFrame:
     """``keys, needle_id, needle`` for every row whose ``text`` contains a needle.
 
     ``text`` must be lower-cased; ``needles`` is ``needle_id bigint, needle``, lower-cased
-    and not empty. A short needle list is tested inside the scan. A longer one meets the
-    texts on the needle's first three characters, so no pair is built that shares none.
+    and not empty. Each needle waits at its rarest piece. A text's pieces meet the waiting
+    needles where the text is read; only hits leave the task. A list of more than ``per_pass``
+    needles takes several passes.
     """
     keys = list(keys)
     wanted = needles.select(F.col("needle_id").cast("bigint"), "needle").distinct()
-    listed = small_rows(wanted, inline)
-    if listed is not None:
-        if not listed:
-            return rows.join(wanted, F.lit(False)).select(*keys, "needle_id", "needle")
-        array = F.array(
-            *[
-                F.struct(
-                    F.lit(r["needle_id"]).cast("bigint").alias("needle_id"),
-                    F.lit(r["needle"]).alias("needle"),
-                )
-                for r in listed
-            ]
-        )
-        found = F.filter(array, lambda n: F.contains(F.col(text), n["needle"]))
-        return rows.select(*keys, F.inline(found))
-    grams = rows.select(*keys, F.explode(_grams(F.col(text))).alias("_gram"))
-    first = wanted.withColumn("_gram", F.substr("needle", F.lit(1), F.lit(3)))
-    candidates = grams.join(first, "_gram").drop("_gram")
-    # keys may be NULL, as they may on the short path
-    other = rows.select(*[F.col(k).alias(f"_own_{i}") for i, k in enumerate(keys)], text)
-    same = [F.col(k).eqNullSafe(F.col(f"_own_{i}")) for i, k in enumerate(keys)]
-    return (
-        candidates.join(other, same)
-        .filter(F.contains(F.col(text), F.col("needle")))
-        .select(*keys, "needle_id", "needle")
-        .distinct()
-    )
+    sizes = wanted.groupBy(F.least(F.length("needle"), F.lit(3)).alias("n")).agg(F.count("*").alias("m"))
+    by_size = {r["n"]: r["m"] for r in sizes.collect()}  # at most three lines
+    if not by_size:
+        return rows.join(wanted, F.lit(False)).select(*keys, "needle_id", "needle")
+    passes = -(-sum(by_size.values()) // per_pass)
+    pieces = [F.coalesce(_pieces(F.col(text), n), F.array().cast("array<string>")) for n in sorted(by_size)]
+    cut = rows.select(*keys, text, F.explode(F.concat(*pieces)).alias("_piece"))
+    found = None
+    for number in range(passes):
+        mine = wanted.filter(F.pmod(F.xxhash64("needle_id", "needle"), F.lit(passes)) == number)
+        waiting = F.broadcast(_picked(mine, rows, text))
+        hits = cut.join(waiting, "_piece").filter(F.contains(F.col(text), F.col("needle")))
+        part = hits.select(*keys, "needle_id", "needle")
+        found = part if found is None else found.unionByName(part)
+    return found

@@ -78,11 +78,25 @@ def test_substring_paths_agree(spark, chunks):
         key=repr,
     )
     assert rows(match_substrings(low, ["chunk_id"], "t", needles), "chunk_id", "needle_id") == want
-    assert rows(match_substrings(low, ["chunk_id"], "t", needles, inline=2), "chunk_id", "needle_id") == want
+    assert rows(match_substrings(low, ["chunk_id"], "t", needles, per_pass=2), "chunk_id", "needle_id") == want
     none = needles.filter("needle_id > 99")
     assert match_substrings(low, ["chunk_id"], "t", none).count() == 0
 
 
+def test_many_needles_leave_the_scan_as_hits(spark):
+    """Thousands of needles take the plan of a few, and only hits leave the task that read a text."""
+    texts = spark.range(50).select("id", F.concat(F.lit("qzx tail "), F.hex("id"), F.lit(" end")).alias("t"))
+    many = spark.range(3000).select(F.col("id").alias("needle_id"), F.concat(F.lit("zzz"), F.hex("id")).alias("needle"))
+    hit = spark.createDataFrame([(9001, "tail 1"), (9002, "x"), (9003, "zx")], "needle_id long, needle string")
+    got = match_substrings(texts, ["id"], "t", many.union(hit))
+    assert rows(got.groupBy("needle_id").count()) == [(9001, 17), (9002, 50), (9003, 50)]
+    shape = lambda df: [x.strip(" +-:*()0123456789").split(" ")[0] for x in df._jdf.queryExecution().sparkPlan().toString().splitlines()]
+    # both are unions' parts of one shape
+    assert shape(got).count("BroadcastHashJoin") == shape(match_substrings(texts, ["id"], "t", hit)).count("BroadcastHashJoin")
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and "CartesianProduct" not in plan
+
+
 def test_keyword_chunks_stay_in_scope(spark, chunks):
     words = spark.createDataFrame([(1, "venison"), (1, "beef"), (2, "unicornsteak"), (3, "x")], "query_id long, keyword string")
     scope = spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "query_id long, book_id long")
