@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -33,7 +33,7 @@ def assemble(parts: DataFrame) -> DataFrame:
 
 
 def page_metadata(pages: DataFrame) -> DataFrame:
-    """Title, language, description and author of HTML pages; blank becomes NULL."""
+    """Title, language, description, author, publisher and isbn of HTML pages; blank becomes NULL."""
 
     def meta(name: str):
         pattern = rf"(?is)<meta[^>]+name=[\"']{name}[\"'][^>]+content=[\"']([^\"']*)[\"']"
@@ -45,6 +45,8 @@ def page_metadata(pages: DataFrame) -> DataFrame:
         null_if_blank(F.regexp_extract("html", r"(?is)<html[^>]*\slang=[\"']([^\"']*)[\"']", 1)).alias("language"),
         meta("description").alias("description"),
         meta("author").alias("author"),
+        meta("publisher").alias("publisher"),
+        meta("isbn").alias("isbn"),
     )
 
 
@@ -293,8 +295,11 @@ def find_in_book(chapters: DataFrame, query: str, context: int = K.FIND_CONTEXT)
 
     ``chapters`` is ``book_id, chapter_index, text``. Chapters without a hit never leave
     the JVM. Hits are found inside the chapter row; only hit counts cross chapters, so
-    the book-wide number needs no shuffle of hits or texts.
+    the book-wide number needs no shuffle of hits or texts. ``reader_label`` is what a reader
+    of the book's ``format`` (if ``chapters`` has it) shows beside a hit.
     """
+    kind = F.col("format") if "format" in chapters.columns else F.lit(None).cast("string")
+    chapters = chapters.select("book_id", "chapter_index", kind.alias("format"), "text")
     needle = query.lower()
 
     @F.pandas_udf("array<struct<start:int,context:string>>")
@@ -302,11 +307,11 @@ def find_in_book(chapters: DataFrame, query: str, context: int = K.FIND_CONTEXT)
         return _hits(texts, needle, context)
 
     found = chapters.filter(F.contains(F.lower("text"), F.lit(needle))).select(
-        "book_id", "chapter_index", hits("text").alias("_hits")
+        "book_id", "chapter_index", "format", hits("text").alias("_hits")
     )
     placed = running_total(found, ["book_id"], "chapter_index", F.size("_hits"), "_earlier")
     rows = placed.select(
-        "book_id", "chapter_index", "_earlier", F.posexplode("_hits").alias("_at", "_hit")
+        "book_id", "chapter_index", "format", "_earlier", F.posexplode("_hits").alias("_at", "_hit")
     )
     number = (F.col("_at") + 1).cast("string")
     return rows.select(
@@ -318,6 +323,19 @@ def find_in_book(chapters: DataFrame, query: str, context: int = K.FIND_CONTEXT)
         F.concat(
             F.lit("Ch. "), (F.col("chapter_index") + 1).cast("string"), F.lit(", match "), number
         ).alias("label"),
+        reader_label(F.col("format"), F.col("chapter_index"), number, F.col("_earlier") + F.col("_at")).alias(
+            "reader_label"
+        ),
+    )
+
+
+def reader_label(fmt: Column, chapter: Column, number: Column, whole: Column) -> Column:
+    """Page of a paged book, chapter and hit of one read by chapters, else the hit in the document."""
+    place = (chapter + 1).cast("string")
+    return (
+        F.when(fmt == "pdf", F.concat(F.lit("Page "), place))
+        .when(fmt == "epub", F.concat(F.lit("Chapter "), place, F.lit(", match "), number))
+        .otherwise(F.concat(F.lit("Document, match "), (whole + 1).cast("string")))
     )
 
 

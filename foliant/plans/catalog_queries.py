@@ -341,6 +341,15 @@ def corpus_status(lib: Library) -> DataFrame:
 # --- mutations ----------------------------------------------------------------------------------
 
 
+def _indexed(lib: Library) -> dict[str, DataFrame]:
+    """The tables, and what the keyword index holds of each book."""
+    return {
+        **_tables(lib),
+        "text_rows": lib.text_chunk.select("book_id", "chunk_index"),
+        "postings": lib.index.postings.select("book_id", "chunk_index", "term"),
+    }
+
+
 def _tables(lib: Library) -> dict[str, DataFrame]:
     return {
         "books": lib.book.select("book_id", "file_path"),
@@ -359,6 +368,8 @@ def _listed(tables: dict[str, DataFrame]) -> DataFrame:
         "annotations": F.col("annotation_id").cast("string"),
         "chunks": F.col("chunk_id").cast("string"),
         "hints": F.col("chunk_id").cast("string"),
+        "text_rows": F.concat_ws("-", "book_id", "chunk_index"),
+        "postings": F.concat_ws("-", "book_id", "chunk_index", "term"),
     }
     out = None
     for name, table in tables.items():
@@ -375,10 +386,17 @@ def _kept_sql(gone: str) -> str:
     UNION ALL SELECT 'hints', CAST(h.chunk_id AS VARCHAR) FROM hint h JOIN cook_chunk c ON c.chunk_id = h.chunk_id WHERE c.book_id NOT IN ({gone})"""
 
 
-@query("table_name string, row_key string", _kept_sql("SELECT doc_id FROM labels WHERE toxic = 1 OR quality = 0"))
+_UNWANTED = "SELECT doc_id FROM labels WHERE toxic = 1 OR quality = 0"
+
+
+@query(
+    "table_name string, row_key string",
+    f"""{_kept_sql(_UNWANTED)} UNION ALL SELECT 'text_rows', book_id || '-' || chunk_index FROM text_chunk WHERE book_id NOT IN ({_UNWANTED})
+    UNION ALL SELECT 'postings', book_id || '-' || chunk_index || '-' || term FROM posting WHERE book_id NOT IN ({_UNWANTED})""",
+)
 def cascade_delete(lib: Library) -> DataFrame:
     gone = lib.labels.filter("toxic = 1 or quality = 0").select(F.col("doc_id").alias("book_id"))
-    return _listed(mutations.cascade_delete(_tables(lib), gone))
+    return _listed(mutations.cascade_delete(_indexed(lib), gone))
 
 
 @query(

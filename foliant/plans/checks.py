@@ -125,6 +125,10 @@ SELECT book_id, chunk_index, len({toks('text')}) AS length FROM text_chunk""",
 SELECT DISTINCT query_id, unnest(flatten(list_transform(CASE WHEN len(kept) > 0 THEN kept ELSE raw END, lambda w: {toks('w')}))) AS prefix FROM (
   SELECT query_id, raw, list_filter(raw, lambda w: NOT list_contains({value_list(K.MATCH_STOP_WORDS)}, w) AND length(w) > 1 AND NOT regexp_matches(w, '^\\p{{N}}+$')) AS kept
   FROM (SELECT query_id, {_MATCH_WORDS} AS raw FROM query) r) k""",
+    "any_asked_term": f"""
+SELECT DISTINCT query_id, unnest(flatten(list_transform(CASE WHEN len(kept) > 0 THEN kept ELSE raw END, lambda w: {toks('w')}))) AS prefix FROM (
+  SELECT query_id, raw, list_filter(raw, lambda w: NOT list_contains({value_list(K.MATCH_STOP_WORDS)}, w) AND length(w) > 1 AND NOT regexp_matches(w, '^\\p{{N}}+$')) AS kept
+  FROM (SELECT query_id, {_MATCH_WORDS} AS raw FROM asked) r) k""",
     "text_score": f"""
 SELECT h.query_id, h.book_id, h.chunk_index, round(sum(w.idf * h.f * {K.BM25_K1 + 1} / (h.f + {K.BM25_K1} * (1 - {K.BM25_B} + {K.BM25_B} * l.length / s.mean))), 6) AS score
 FROM (SELECT t.query_id, t.prefix, p.book_id, p.chunk_index, CAST(sum(p.tf) AS DOUBLE) AS f FROM asked_term t JOIN posting p ON starts_with(p.term, t.prefix) GROUP BY ALL) h
@@ -275,18 +279,22 @@ SCOPED = """SELECT s.scope_id, b.book_id FROM scope s, book b WHERE s.kind = 'al
 _BY_BOOK = ["keyword_hit", "tier_hit", "cook_keyword", "cook_hit", "cook_score"]
 _NEAREST = {"vector_hit": ("chunk_vec", 50), "cook_vector": ("cook_chunk", 36)}
 _BLENDED = ["candidate", "best_candidate", "tier_norm", "book_hit", "cook_candidate", "cook_norm", "gated", "accepted"]
+_SCOPES = {
+    "in": """SELECT q.query_id, s.book_id FROM query_scope q JOIN ({0}) s ON s.scope_id = q.scope_id""".format(SCOPED),
+    "open": "SELECT query_id, book_id FROM open_book",
+}
 _NAMES = re.compile(rf"\b({'|'.join([*_BY_BOOK, *_NEAREST, *_BLENDED])})\b")
 
-CHECK_VIEWS["seen_book"] = f"""
-SELECT q.query_id, s.book_id FROM query_scope q JOIN ({SCOPED}) s ON s.scope_id = q.scope_id"""
-for _name in _BY_BOOK:
-    CHECK_VIEWS[f"in_{_name}"] = f"""
-SELECT x.* FROM {_name} x JOIN seen_book i ON i.query_id = x.query_id AND i.book_id = x.book_id"""
-for _name, (_chunks, _most) in _NEAREST.items():
-    CHECK_VIEWS[f"in_{_name}"] = f"""
+for _mark, _seen in _SCOPES.items():
+    CHECK_VIEWS[f"{_mark}_seen"] = _seen
+    for _name in _BY_BOOK:
+        CHECK_VIEWS[f"{_mark}_{_name}"] = f"""
+SELECT x.* FROM {_name} x JOIN {_mark}_seen i ON i.query_id = x.query_id AND i.book_id = x.book_id"""
+    for _name, (_chunks, _most) in _NEAREST.items():
+        CHECK_VIEWS[f"{_mark}_{_name}"] = f"""
 SELECT query_id, book_id, chunk_id, similarity, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS rank FROM (
     SELECT q.query_id, c.book_id, c.chunk_id, round(list_cosine_similarity(CAST(q.vector AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 6) AS similarity
-    FROM query q JOIN seen_book i ON i.query_id = q.query_id JOIN {_chunks} c ON c.book_id = i.book_id WHERE c.embedding IS NOT NULL) s) r WHERE rank <= {_most}"""
-for _name in _BLENDED:
-    CHECK_VIEWS[f"in_{_name}"] = _NAMES.sub(r"in_\1", CHECK_VIEWS[_name])
+    FROM query q JOIN {_mark}_seen i ON i.query_id = q.query_id JOIN {_chunks} c ON c.book_id = i.book_id WHERE c.embedding IS NOT NULL) s) r WHERE rank <= {_most}"""
+    for _name in _BLENDED:
+        CHECK_VIEWS[f"{_mark}_{_name}"] = _NAMES.sub(rf"{_mark}_\1", CHECK_VIEWS[_name])

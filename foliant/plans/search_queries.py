@@ -90,9 +90,9 @@ def extract_keywords(lib: Library) -> DataFrame:
     return keyword.keywords(lib.asked)
 
 
-@query("query_id bigint, prefix string", "SELECT query_id, prefix FROM asked_term")
+@query("query_id bigint, prefix string", "SELECT query_id, prefix FROM any_asked_term")
 def fts_query_terms(lib: Library) -> DataFrame:
-    return keyword.query_terms(lib.query)
+    return keyword.query_terms(lib.asked)
 
 
 @query(
@@ -348,6 +348,13 @@ def _scope(lib: Library) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def _scoped_books(lib: Library, scope: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Keyword hits and chunk candidates of each query's scope."""
+    near = vectors.vector_topk(lib.query, lib.chunk_vec, K.VECTOR_TOP_BOOKS, *scope)
+    found = catalog.in_scope(keyword.keyword_chunks(_keywords(lib), lib.chunk_vec), *scope)
+    return catalog.in_scope(tier_hits(lib), *scope), hybrid.merge_candidates(near, found)
+
+
 def _scoped_cooking(lib: Library, scope: tuple[DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Chunk candidates and keyword hits of each query's scope."""
     near = vectors.vector_topk(lib.query, lib.cook_chunk, COOKBOOK_VECTORS, *scope)
@@ -363,15 +370,31 @@ def _scoped_cooking(lib: Library, scope: tuple[DataFrame, DataFrame]) -> tuple[D
     LEFT JOIN tier_snippet t ON t.query_id = h.query_id AND t.book_id = h.book_id""",
 )
 def hybrid_books_scoped(lib: Library) -> DataFrame:
-    scope = _scope(lib)
-    near = vectors.vector_topk(lib.query, lib.chunk_vec, K.VECTOR_TOP_BOOKS, *scope)
-    found = catalog.in_scope(keyword.keyword_chunks(_keywords(lib), lib.chunk_vec), *scope)
+    hits, found = _scoped_books(lib, _scope(lib))
     return hybrid.hybrid_books(
-        catalog.in_scope(tier_hits(lib), *scope), hybrid.merge_candidates(near, found),
-        lib.chunk_vec, lib.book, texts=text_chunks(lib), terms=keyword.query_terms(lib.query),
+        hits, found, lib.chunk_vec, lib.book,
+        texts=text_chunks(lib), terms=keyword.query_terms(lib.query),
     )
 
 
+@query(
+    "query_id bigint, book_id bigint, score double, is_extra boolean",
+    """SELECT query_id, book_id, score, false AS is_extra FROM in_book_hit
+    UNION ALL SELECT query_id, book_id, score, true FROM open_book_hit o
+      WHERE (SELECT count(*) FROM in_book_hit h WHERE h.query_id = o.query_id) < 3
+      AND NOT EXISTS (SELECT 1 FROM in_book_hit h WHERE h.query_id = o.query_id AND h.book_id = o.book_id)""",
+)
+def open_book_top_up(lib: Library) -> DataFrame:
+    """Queries whose scope gave fewer than three books also search the book that is open."""
+    results = durable(hybrid.blend_books(*_scoped_books(lib, _scope(lib))))
+    counts = results.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= K.TOP_UP_BELOW)
+    short = lib.query.join(counts, "query_id", "left_anti")
+    opened = lib.open_book.join(short.select("query_id"), "query_id", "left_semi")
+    none = lib.query.select("query_id").limit(0)
+    extra = hybrid.blend_books(*_scoped_books(lib, (durable(opened), none)))
+    return hybrid.top_up(results, extra, lib.query)
+
+
 @query(
     "query_id bigint, rank bigint, book_id bigint, chunk_id bigint, chunk_index bigint, score double, is_hinted boolean, full_text string",
     """SELECT a.query_id, a.rank, a.book_id, a.chunk_id, a.chunk_index, a.score, a.is_hinted,

@@ -49,14 +49,16 @@ def assemble_document(lib: Library) -> DataFrame:
 
 
 @query(
-    "page_id bigint, title string, language string, description string, author string",
+    "page_id bigint, title string, language string, description string, author string, publisher string, isbn string",
     f"""SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), {BLANKS}), '') AS title,
     nullif(trim(regexp_extract(html, '(?is)<html[^>]*\\slang=["'']([^"'']*)["'']', 1), {BLANKS}), '') AS language,
     nullif(trim(regexp_extract(html, '(?is)<meta[^>]+name=["'']description["''][^>]+content=["'']([^"'']*)["'']', 1), {BLANKS}), '') AS description,
-    nullif(trim(regexp_extract(html, '(?is)<meta[^>]+name=["'']author["''][^>]+content=["'']([^"'']*)["'']', 1), {BLANKS}), '') AS author FROM pages""",
+    nullif(trim(regexp_extract(html, '(?is)<meta[^>]+name=["'']author["''][^>]+content=["'']([^"'']*)["'']', 1), {BLANKS}), '') AS author,
+    nullif(trim(regexp_extract(html, '(?is)<meta[^>]+name=["'']publisher["''][^>]+content=["'']([^"'']*)["'']', 1), {BLANKS}), '') AS publisher,
+    nullif(trim(regexp_extract(html, '(?is)<meta[^>]+name=["'']isbn["''][^>]+content=["'']([^"'']*)["'']', 1), {BLANKS}), '') AS isbn FROM meta_page""",
 )
 def page_metadata(lib: Library) -> DataFrame:
-    return documents.page_metadata(lib.pages)
+    return documents.page_metadata(lib.meta_page)
 
 
 def _titles(level: int) -> str:
@@ -342,17 +344,17 @@ def marker_spans(lib: Library) -> DataFrame:
 
 
 @query(
-    "book_id bigint, chapter_index bigint, match_in_chapter bigint, match_index bigint, start bigint, context string, label string",
-    f"""SELECT book_id, page_index AS chapter_index, pos AS match_in_chapter, row_number() OVER (PARTITION BY book_id ORDER BY page_index, pos) - 1 AS match_index, start,
+    "book_id bigint, chapter_index bigint, match_in_chapter bigint, match_index bigint, start bigint, context string, label string, reader_label string",
+    f"""SELECT *, CASE book_id % 6 WHEN 0 THEN 'Page ' || (chapter_index + 1) WHEN 1 THEN 'Chapter ' || (chapter_index + 1) || ', match ' || match_in_chapter
+      ELSE 'Document, match ' || (match_index + 1) END AS reader_label FROM (SELECT book_id, page_index AS chapter_index, pos AS match_in_chapter, row_number() OVER (PARTITION BY book_id ORDER BY page_index, pos) - 1 AS match_index, start,
       '...' || substr(text, greatest(start - {K.FIND_CONTEXT}, 0) + 1, start - greatest(start - {K.FIND_CONTEXT}, 0) + 5 + {K.FIND_CONTEXT}) || '...' AS context,
       'Ch. ' || (page_index + 1) || ', match ' || pos AS label FROM (
       SELECT book_id, page_index, text, pos, CAST(list_sum(list_transform(pieces[1:pos], lambda p: length(p))) + (pos - 1) * 5 AS BIGINT) AS start FROM (
-        SELECT book_id, page_index, text, pieces, unnest(range(1, len(pieces))) AS pos FROM (SELECT book_id, page_index, text, string_split(lower(text), 'thing') AS pieces FROM book_page) a) b) c""",
+        SELECT book_id, page_index, text, pieces, unnest(range(1, len(pieces))) AS pos FROM (SELECT book_id, page_index, text, string_split(lower(text), 'thing') AS pieces FROM book_page) a) b) c) d""",
 )
 def find_in_book(lib: Library) -> DataFrame:
-    return documents.find_in_book(
-        lib.book_page.withColumnRenamed("page_index", "chapter_index"), "Thing"
-    )
+    pages = lib.book_part.withColumnRenamed("part_index", "chapter_index")
+    return documents.find_in_book(pages, "Thing")
 
 
 # --- scores ----------------------------------------------------------------------------------

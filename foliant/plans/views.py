@@ -80,6 +80,10 @@ SELECT page_id, CASE page_id % 4
   WHEN 2 THEN concat('<h2> </h2><h3>One <b>', CAST(page_id AS STRING), '</b></h3><h3>Two</h3>', replace(replace(html, '<h1>', '<p>'), '</h1>', '</p>'))
   ELSE concat(html, '<h1 class="x">', chr(10), 'Last ', CAST(page_id AS STRING), '</h1><h2>no</h2>') END AS html
 FROM pages""",
+    # some pages name a publisher and a number
+    "meta_page": """
+SELECT page_id, CASE page_id % 3 WHEN 0 THEN html ELSE replace(html, '<head>', concat('<head><meta name="publisher" content="House ', CAST(page_id % 7 AS STRING), ' "><META class="n" name="isbn" content="978-',
+  CAST(page_id AS STRING), CASE page_id % 3 WHEN 1 THEN '' ELSE '-X' END, '">')) END AS html FROM pages""",
     "collection_group": """
 SELECT r_regionkey AS group_id, r_name AS name, r_regionkey * 10 AS sort_order FROM region""",
     "collection": """
@@ -157,6 +161,9 @@ UNION ALL SELECT 900, 'folder', NULL, '/library/src', false UNION ALL SELECT 901
     # what each query searches: all books, a collection, a folder, what was opened, or nothing
     "query_scope": """
 SELECT query_id, CASE query_id % 5 WHEN 0 THEN 0 WHEN 1 THEN 100 + query_id WHEN 2 THEN 200 + query_id WHEN 3 THEN 1 ELSE 901 END AS scope_id FROM query""",
+    # the book that is open while a query is asked
+    "open_book": """
+SELECT query_id, query_id * 13 + 2 AS book_id FROM query WHERE query_id <> 6""",
     # answers with up to three records each
     "response": """
 SELECT o_orderkey AS response_id, concat(' I found recipes.', chr(10), 'From: nowhere', chr(10), chr(10),
