@@ -263,13 +263,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, params: NearP
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of ``links`` (a, b).
 
-    Alternates the large-star and small-star contractions until nothing changes. Each
-    step is a salted minimum per node, written to the shared folder.
+    Alternates the large-star and small-star contractions until only stars are left: every
+    node stands below one other, which stands below none. Each step is a salted minimum per
+    node, written to the shared folder.
     """
     node = lambda x, y: [F.col(x).alias("u"), F.col(y).alias("v")]
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    seen = None
-    while True:
+    while not _only_stars(edges):
         both = edges.union(edges.select(*node("v", "u")))
         large = beside_extreme(both, "u", "v", "m").where("v > u").select(
             F.col("v").alias("u"), F.least("m", "u").alias("v")
@@ -282,15 +282,19 @@ def components(links: DataFrame) -> DataFrame:
             .distinct(),
             "small-star",
         )
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     )
 
 
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether each ``u`` has one ``v`` and no ``v`` is a ``u``; edges go from larger to smaller."""
+    below = edges.groupBy("u").agg(F.count("*").alias("n"))
+    tops = edges.select("v").distinct()
+    odd = below.join(tops, below["u"] == tops["v"], "left").where("n > 1 OR v IS NOT NULL")
+    return odd.isEmpty()
+
+
 def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
     """Add ``label``, the component so far, to rows with ``rep``."""
     return rows.join(comps, rows["rep"] == comps["node"], "left").select(
@@ -388,9 +392,8 @@ def _grouped(docs: DataFrame, params: NearParams) -> DataFrame:
     the row that stands for its group; null for rows without words or doc_id.
 
     Pairs are confirmed in rounds: members against the pivots of their buckets, and the pairs
-    of buckets of two; then for each member outside the main label of a bucket its likeliest
-    partner of another label, then its four likeliest; then every likely pair whose labels
-    still differ. Links within a label can't change a component and are skipped.
+    of buckets of two; then for each member outside the main label of a bucket its two
+    likeliest partners of other labels; then every likely pair whose labels still differ. Links within a label can't change a component and are skipped.
     """
     own = stored(sketches(docs, params), "sketches")
     worded = own.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
@@ -401,18 +404,19 @@ def _grouped(docs: DataFrame, params: NearParams) -> DataFrame:
     reps = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     buckets = stored(_buckets(reps, params), "buckets")
     tried = stored(_likely(stored(_stars(buckets, params), "stars"), reps, params), "pairs")
-    links = stored(_confirmed(tried, docs, reps, params), "confirmed")
-    comps = stored(components(links), "labels")
-    for best in (1, 4, None):
+    comps = stored(components(_confirmed(tried, docs, reps, params)), "labels")
+    for best in (2, None):
         found = stored(_proposals(buckets, reps, comps, params, best), "proposed")
-        if found.isEmpty():  # then later rounds have nothing to propose either
+        if found.isEmpty():  # then the unlimited round has nothing to propose either
             break
         pairs = stored(found.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.union(pairs)
         if pairs.isEmpty():
             continue
-        links = stored(links.union(_confirmed(pairs, docs, reps, params)), "confirmed")
-        comps = stored(components(links), "labels")
+        tried = tried.union(pairs)
+        new = stored(_confirmed(pairs, docs, reps, params), "confirmed")
+        if not new.isEmpty():
+            old = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            comps = stored(components(old.union(new)), "labels")
     grouped = stored(_labelled(reps.select("set_key", "rep", "at"), comps), "class-labels")
     tops = grouped.groupBy("label").agg(F.min("at").alias("top"))
     named = salted_lookup(grouped.select("set_key", "rep", "label"), "label", "rep", tops)
