@@ -14,7 +14,7 @@ from foliant import constants as K
 from foliant.functions.porter import stem
 from foliant.functions.text import contains_folded, fold, strip, tokens
 from foliant.operators.catalog import display_title
-from foliant.operators.matching import INLINE_NEEDLES, match_substrings, small_rows
+from foliant.operators.matching import INLINE_NEEDLES, match_substrings, once, small_rows
 from foliant.operators.ordering import top_per_key
 
 # --- query terms ------------------------------------------------------------------------
@@ -370,12 +370,6 @@ def keyword_chunks(
 # --- snippets ---------------------------------------------------------------------------
 
 
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that later steps use several times; a generator keeps them computed once."""
-    made = F.struct(*[c.alias(name) for name, c in columns.items()])
-    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(made)))
-
-
 def _window_start(places: Column, n_prefixes: Column, width: int) -> Column:
     """First token of the window that covers most distinct prefixes, the earliest on ties.
 
@@ -416,13 +410,13 @@ def snippet_windows(df: DataFrame, width: int = K.SNIPPET_TOKENS) -> DataFrame:
     """
     word = r"[\p{L}\p{N}]+"
     own = [c for c in df.columns if c not in ("_prefixes", "snippet")]
-    cut = _once(
+    cut = once(
         df,
         _tokens=F.regexp_extract_all("text", F.lit(word), 0),
         _gaps=F.split("text", word, -1),
     )
     first = lambda t: F.get(F.filter("_prefixes", lambda p: F.startswith(t, p)), F.lit(0))
-    hit = _once(cut, _hits=F.transform(F.transform("_tokens", fold), first))
+    hit = once(cut, _hits=F.transform(F.transform("_tokens", fold), first))
     places = F.filter(
         F.transform(
             "_hits",
@@ -432,7 +426,7 @@ def snippet_windows(df: DataFrame, width: int = K.SNIPPET_TOKENS) -> DataFrame:
         ),
         lambda x: x["p"].isNotNull() & (x["p"] >= 0),
     )
-    begun = _once(hit, _start=_window_start(places, F.size("_prefixes"), width))
+    begun = once(hit, _start=_window_start(places, F.size("_prefixes"), width))
     n = F.size("_tokens")
     last = F.least(F.col("_start") + width, n) - 1
 

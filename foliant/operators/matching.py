@@ -28,6 +28,12 @@ def keep_where(df: DataFrame, name: str, value: Column, test) -> DataFrame:
     return made.select(*[c for c in made.columns if c != name], kept)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later steps use several times; a generator keeps them computed once."""
+    made = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(made)))
+
+
 #: Needles that one pass looks for; their pieces are broadcast.
 NEEDLES_A_PASS = 100_000
 #: One text in so many tells which pieces are rare.

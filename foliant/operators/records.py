@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant import constants as K
 from foliant.functions.text import strip, strip_spaces
+from foliant.operators.matching import once
 
 _SPLIT = r"(?im)(?=^\s*recipe\s+\d+\s*[:.\-—])"
 
@@ -24,8 +24,8 @@ def _without_bullet(line: Column) -> Column:
     return strip_spaces(F.regexp_replace(line, rf"^(?:[{marks}]|\p{{N}}{{0,3}}[.)])", ""))
 
 
-def answer_lines(answers: DataFrame) -> DataFrame:
-    """``response_id, block, line_no, line`` of every record block of an answer.
+def answer_blocks(answers: DataFrame) -> DataFrame:
+    """``response_id, block, lines`` of every record block of an answer, lines trimmed.
 
     Text before the first ``Recipe <n>:`` header is dropped.
     """
@@ -36,9 +36,8 @@ def answer_lines(answers: DataFrame) -> DataFrame:
         strip,
     )
     rows = answers.select("response_id", F.posexplode(blocks).alias("block", "_block"))
-    return rows.select(
-        "response_id", "block", F.posexplode(F.split("_block", "\n", -1)).alias("line_no", "_line")
-    ).select("response_id", "block", "line_no", strip_spaces(F.col("_line")).alias("line"))
+    lines = F.transform(F.split("_block", "\n", -1), strip_spaces)
+    return rows.select("response_id", "block", lines.alias("lines"))
 
 
 def _kind(line: Column, line_no: Column) -> Column:
@@ -63,10 +62,72 @@ def _kind(line: Column, line_no: Column) -> Column:
     )
 
 
-def _joined(keep: Column, separator: str) -> Column:
-    """Kept lines of a block in order, as text."""
-    lines = F.array_sort(F.collect_list(F.when(keep, F.struct("line_no", "_value"))))
-    return F.array_join(F.transform(lines, lambda x: x["_value"]), separator)
+def _last(kind: str, value) -> Column:
+    """Value of the last line of a kind."""
+    found = F.filter("_marked", lambda x: x["kind"] == kind)
+    return value(F.try_element_at(found, F.lit(-1))["line"])
+
+
+def _section(kind: str, of_header=None) -> Column:
+    """Lines between each header of a kind and the next header of any, as marked entries.
+
+    With ``of_header`` the header comes first, holding that value of its line.
+    """
+
+    def part(header: Column, j: Column) -> Column:
+        end = F.coalesce(F.get("_headers", j + 1)["at"], F.size("_marked"))
+        inside = F.slice("_marked", header["at"] + 2, F.greatest(end - header["at"] - 1, F.lit(0)))
+        if of_header is not None:
+            line = of_header(header["line"])
+            own = F.struct(header["at"].alias("at"), line.alias("line"), F.lit("body").alias("kind"))
+            inside = F.concat(F.array(own), inside)
+        return F.when(header["kind"] == kind, inside).otherwise(F.slice("_marked", 1, 0))
+
+    return F.flatten(F.transform("_headers", part))
+
+
+def _lines(entries: Column, *kinds: str) -> Column:
+    return F.transform(F.filter(entries, lambda x: x["kind"].isin(*kinds)), lambda x: x["line"])
+
+
+def _filled(values: Column) -> Column:
+    return F.filter(values, lambda v: v.isNotNull() & (v != ""))
+
+
+def records_of(answers: DataFrame) -> DataFrame:
+    """Fields of every record block; each block is one row throughout.
+
+    A header (ingredients, instructions, notes) opens a section up to the next one, so
+    sections are slices of the block's line array.
+    """
+    blocks = answer_blocks(answers)
+    marked = F.transform(
+        "lines", lambda x, i: F.struct(i.alias("at"), x.alias("line"), _kind(x, i).alias("kind"))
+    )
+    headers = F.filter("_marked", lambda x: x["kind"].isin("ingredients", "instructions", "notes"))
+    rows = once(once(blocks, _marked=marked).drop("lines"), _headers=headers)
+    first = F.coalesce(F.get("_headers", F.lit(0))["at"], F.size("_marked"))
+    number = lambda line: F.nullif(F.regexp_extract(line, K.EXCERPT_PATTERN, 1), F.lit(""))
+    numbers = F.filter(
+        F.transform(_lines(F.col("_marked"), "excerpt"), number), lambda n: n.isNotNull()
+    )
+    ingredients = F.transform(_lines(_section("ingredients"), "body"), _without_bullet)
+    fields = once(
+        rows,
+        title=_after_colon(F.get("_marked", F.lit(0))["line"]),
+        _from=_last("from", _after_colon),
+        _excerpt=F.try_element_at(numbers, F.lit(-1)),
+        completeness=_last("completeness", _after_colon),
+        preamble=F.array_join(_lines(F.slice("_marked", 1, first), "body"), " "),
+        _ingredients=_filled(ingredients),
+        instructions=strip(F.array_join(_lines(_section("instructions"), "body", "blank"), "\n")),
+        notes=F.array_join(_filled(_lines(_section("notes", _after_colon), "body")), " "),
+    )
+    return fields.select(
+        "response_id", "block", "title", "_from", "_excerpt", "completeness", "preamble",
+        F.array_join("_ingredients", "\n").alias("ingredients"),
+        F.size("_ingredients").alias("n_ingredients"), "instructions", "notes",
+    )
 
 
 def parse_blocks(answers: DataFrame, sources: DataFrame) -> DataFrame:
@@ -74,43 +135,9 @@ def parse_blocks(answers: DataFrame, sources: DataFrame) -> DataFrame:
 
     ``sources`` is ``response_id, excerpt_index, book_id, book_title, author``. A record
     needs a title, a source (by excerpt number, else by title) and at least one ingredient
-    or instruction. Windows and groups span one block of one answer.
+    or instruction. Only the join with the sources shuffles.
     """
-    line, kind, section = F.col("line"), F.col("_kind"), F.col("_section")
-    lines = answer_lines(answers).withColumn("_kind", _kind(line, F.col("line_no")))
-    opened = F.when(kind.isin("ingredients", "instructions", "notes"), kind)
-    so_far = W.partitionBy("response_id", "block").orderBy("line_no")
-    lines = lines.withColumn(
-        "_section", F.coalesce(F.last(opened, ignorenulls=True).over(so_far), F.lit("preamble"))
-    )
-    number = F.regexp_extract(line, K.EXCERPT_PATTERN, 1)
-    value = (
-        F.when(kind.isin("title", "from", "notes", "completeness"), _after_colon(line))
-        .when(kind == "excerpt", F.nullif(number, F.lit("")))
-        .when((kind == "body") & (section == "ingredients"), _without_bullet(line))
-        .otherwise(line)
-    )
-    lines = lines.withColumn("_value", value)
-    body, filled = kind == "body", F.col("_value") != ""
-
-    def last_value(of: str, keep: Column = F.lit(True)) -> Column:
-        return F.max_by(
-            F.struct("_value"), F.when((kind == of) & keep, F.col("line_no"))
-        )["_value"]
-
-    records = lines.groupBy("response_id", "block").agg(
-        last_value("title").alias("title"),
-        last_value("from").alias("_from"),
-        last_value("excerpt", F.col("_value").isNotNull()).alias("_excerpt"),
-        last_value("completeness").alias("completeness"),
-        _joined(body & (section == "preamble"), " ").alias("preamble"),
-        _joined(body & (section == "ingredients") & filled, "\n").alias("ingredients"),
-        F.count_if(body & (section == "ingredients") & filled).alias("n_ingredients"),
-        strip(
-            _joined((section == "instructions") & kind.isin("body", "blank"), "\n")
-        ).alias("instructions"),
-        _joined(((kind == "notes") | (body & (section == "notes"))) & filled, " ").alias("notes"),
-    )
+    records = records_of(answers)
     records = records.filter(F.col("title") != "").filter(
         (F.col("n_ingredients") > 0) | (F.col("instructions") != "")
     )

@@ -294,9 +294,7 @@ class Library:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._made:
-            df = read_table(self.spark, f"{self.folder}/{name}.parquet")
-            df.createOrReplaceTempView(name)
-            self._made[name] = df
+            self._made[name] = read_table(self.spark, f"{self.folder}/{name}.parquet")
         return self._made[name]
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -318,7 +316,8 @@ class Library:
         text = VIEWS[name]
         for raw in RAW:
             if re.search(rf"\b(?:FROM|JOIN)\s+{raw}\b", text):
-                self.table(raw)
+                # names are the session's, so a library of another folder may have taken them
+                self.table(raw).createOrReplaceTempView(raw)
         for other in _uses(text, VIEWS):
             getattr(self, other).createOrReplaceTempView(other)
         if "{n_embeddings}" in text:

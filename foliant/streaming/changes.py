@@ -1,6 +1,6 @@
 """Streaming forms of the event operators.
 
-All of them set a watermark; rows later than it are dropped.
+All but the latest positions set a watermark; rows later than it are dropped.
 """
 
 from __future__ import annotations

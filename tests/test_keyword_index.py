@@ -102,3 +102,14 @@ def test_kept_tables_follow_their_input(spark, tmp_path):
     assert Library(spark, str(tmp_path)).text_chunk.inputFiles() == first.text_chunk.inputFiles()
     write(["three"])
     assert rows(Library(spark, str(tmp_path)).text_chunk, "text") == [("three",)]
+
+
+def test_libraries_of_two_folders_stay_apart(spark, tmp_path):
+    for name in "ab":
+        spark.createDataFrame([("1", name)], "region string, r_name string").selectExpr(
+            "CAST(1 AS INT) AS r_regionkey", "r_name"
+        ).write.parquet(f"{tmp_path}/{name}/region.parquet")
+    one, two = Library(spark, f"{tmp_path}/a"), Library(spark, f"{tmp_path}/b")
+    assert rows(one.region, "r_name") == [("a",)]
+    assert rows(two.collection_group, "name") == [("b",)]
+    assert rows(one.collection_group, "name") == [("a",)]
