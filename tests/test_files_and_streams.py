@@ -99,6 +99,39 @@ def test_replace_books_in_table(spark, tmp_path):
     assert rows(sinks.read_books(spark, path), "book_id", "text") == [(3, "new3")]
 
 
+def test_a_growing_table_splits_its_buckets(spark, tmp_path):
+    path = str(tmp_path / "t")
+
+    def part(first, n):
+        return spark.range(first, first + n).selectExpr("id AS book_id", "id * 10 AS chunk_id", "repeat(hex(id), 40) AS text")
+
+    def files():
+        found = spark.read.parquet(path).select("bucket", F.input_file_name().alias("f")).distinct().collect()
+        return {b: {r["f"] for r in found if r["bucket"] == b} for b in {r["bucket"] for r in found}}
+
+    sinks.write_by_book(part(0, 40), path, buckets=2, row_key="chunk_id")
+    size = sinks.table_bytes(spark, path) // 2
+    assert sinks.grow_table(spark, path, size, buckets=2) == 3
+    before = files()
+    assert sinks.table_buckets(spark, path) == 3 and sorted(before) == [0, 1, 2]
+    sinks.replace_in_table(spark, path, part(40, 4000), part(40, 4000), row_key="chunk_id")
+    n = sinks.grow_table(spark, path, size * 8)
+    assert n > 4 and sinks.table_buckets(spark, path) == n
+    assert sorted(rows(sinks.read_books(spark, path), "book_id")) == [(i,) for i in range(4040)]
+    # one book is one bucket's work, and the other buckets keep their files
+    before = files()
+    sinks.replace_in_table(spark, path, part(7, 1).withColumn("text", F.lit("new")), part(7, 1))
+    after = files()
+    assert sum(before[b] != after[b] for b in before) == 1
+    assert rows(sinks.read_books(spark, path, part(7, 1)), "text") == [("new",)]
+    # a step that stopped before its number was stored changes nothing, and can run again
+    stray = part(0, 5).withColumn("bucket", F.lit(n))
+    stray.write.mode("append").partitionBy("bucket").parquet(path)
+    assert sinks.read_books(spark, path).count() == 4040
+    assert sinks.grow_table(spark, path, size * 4) > n
+    assert sorted(rows(sinks.read_books(spark, path), "book_id")) == [(i,) for i in range(4040)]
+
+
 def test_cookbook_onboarding(spark, tmp_path):
     recipe = "Apple Tart\nIngredients:\n- 2 cups flour\nInstructions:\nPreheat, stir and bake for 20 minutes at 200 c"
     chunks = spark.createDataFrame(
