@@ -25,19 +25,20 @@ def _without_bullet(line: Column) -> Column:
 
 
 def answer_blocks(answers: DataFrame) -> DataFrame:
-    """``response_id, block, lines`` of every record block of an answer, lines trimmed.
+    """``block, lines`` of every record block of an answer, lines trimmed, beside its other columns.
 
     Text before the first ``Recipe <n>:`` header is dropped.
     """
+    rest = [c for c in answers.columns if c != "text"]
     blocks = F.transform(
         F.filter(
             F.split("text", _SPLIT, -1), lambda b: F.rlike(b, F.lit(K.RECORD_HEADER_PATTERN))
         ),
         strip,
     )
-    rows = answers.select("response_id", F.posexplode(blocks).alias("block", "_block"))
+    rows = answers.select(*rest, F.posexplode(blocks).alias("block", "_block"))
     lines = F.transform(F.split("_block", "\n", -1), strip_spaces)
-    return rows.select("response_id", "block", lines.alias("lines"))
+    return rows.select(*rest, "block", lines.alias("lines"))
 
 
 def _kind(line: Column, line_no: Column) -> Column:
@@ -95,7 +96,7 @@ def _filled(values: Column) -> Column:
 
 
 def records_of(answers: DataFrame) -> DataFrame:
-    """Fields of every record block; each block is one row throughout.
+    """Fields of every record block, beside the answer's other columns; a block is one row throughout.
 
     A header (ingredients, instructions, notes) opens a section up to the next one, so
     sections are slices of the block's line array.
@@ -124,7 +125,7 @@ def records_of(answers: DataFrame) -> DataFrame:
         notes=F.array_join(_filled(_lines(_section("notes", _after_colon), "body")), " "),
     )
     return fields.select(
-        "response_id", "block", "title", "_from", "_excerpt", "completeness", "preamble",
+        *[c for c in answers.columns if c != "text"], "block", "title", "_from", "_excerpt", "completeness", "preamble",
         F.array_join("_ingredients", "\n").alias("ingredients"),
         F.size("_ingredients").alias("n_ingredients"), "instructions", "notes",
     )
@@ -135,29 +136,22 @@ def parse_blocks(answers: DataFrame, sources: DataFrame) -> DataFrame:
 
     ``sources`` is ``response_id, excerpt_index, book_id, book_title, author``. A record
     needs a title, a source (by excerpt number, else by title) and at least one ingredient
-    or instruction. Only the join with the sources shuffles.
+    or instruction. An answer meets the list of its sources first; that join is the only
+    shuffle, and all else happens inside the answer's row.
     """
-    records = records_of(answers)
-    records = records.filter(F.col("title") != "").filter(
-        (F.col("n_ingredients") > 0) | (F.col("instructions") != "")
-    )
     fields = ["book_id", "book_title", "author"]
-    by_number = sources.select(
-        "response_id", F.col("excerpt_index").cast("string").alias("_excerpt"),
-        F.struct(*fields).alias("_numbered"),
-    )
-    by_title = sources.groupBy("response_id", F.lower("book_title").alias("_title")).agg(
-        F.min_by(F.struct(*fields), "excerpt_index").alias("_titled")
+    listed = sources.groupBy("response_id").agg(
+        F.array_sort(F.collect_list(F.struct("excerpt_index", *fields))).alias("_sources")
     )
-    numbered = records.withColumn("_title", F.lower("_from")).withColumn(
-        "_excerpt", F.expr("try_cast(_excerpt AS bigint)").cast("string")
-    )
-    found = (
-        numbered.join(by_number, ["response_id", "_excerpt"], "left")
-        .join(by_title, ["response_id", "_title"], "left")
-        .withColumn("_source", F.coalesce("_numbered", "_titled"))
-        .filter(F.col("_source").isNotNull())
+    records = records_of(answers.select("response_id", "text").join(listed, "response_id"))
+    records = records.filter(F.col("title") != "").filter(
+        (F.col("n_ingredients") > 0) | (F.col("instructions") != "")
     )
+    number = F.expr("try_cast(_excerpt AS bigint)")
+    by_number = F.filter("_sources", lambda s: s["excerpt_index"] == number)
+    by_title = F.filter("_sources", lambda s: F.lower(s["book_title"]) == F.lower("_from"))
+    first = lambda found: F.get(found, F.lit(0))
+    found = once(records, _source=F.coalesce(first(by_number), first(by_title))).filter("_source IS NOT NULL")
     return found.select(
         "response_id", "block", "title",
         F.nullif("preamble", F.lit("")).alias("preamble"),
