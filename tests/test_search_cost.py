@@ -26,3 +26,14 @@ def test_long_text_is_cut_in_one_walk(spark, others):
     got = rows(match_substrings(texts, ["id"], "t", hit.union(more)), "needle_id")
     assert got == [(1,), (3,), (4,)]
     assert time.time() - began < 40
+
+
+def test_postings_need_no_shuffle(spark):
+    data = [(1, 0, "b a, B! é e"), (1, 1, ""), (2, 0, None), (2, 1, " . "), (2, 2, "x")]
+    chunks = spark.createDataFrame(data, "book_id long, chunk_index int, text string")
+    made = keyword.sized_postings(chunks)
+    assert rows(made, "term", "book_id", "chunk_index", "tf", "length") == [
+        ("a", 1, 0, 1, 5), ("b", 1, 0, 2, 5), ("e", 1, 0, 2, 5), ("x", 2, 2, 1, 1)
+    ]
+    assert "Exchange" not in made._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate" not in keyword.build_postings(chunks)._jdf.queryExecution().sparkPlan().toString()
