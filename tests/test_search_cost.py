@@ -37,3 +37,13 @@ def test_postings_need_no_shuffle(spark):
     ]
     assert "Exchange" not in made._jdf.queryExecution().sparkPlan().toString()
     assert "HashAggregate" not in keyword.build_postings(chunks)._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_gate_without_stored_hints_scores_texts_once(spark):
+    recipe = "Tart\nServes 4\nIngredients:\n- 2 cups flour\nInstructions:\nPreheat and bake for 20 minutes"
+    data = [(1, 1, 0, recipe), (2, 1, 1, "Simmer for 2 hours"), (3, 1, 2, "prose"), (4, 2, 0, "Index\n" + recipe), (5, 2, 1, None)]
+    chunks = spark.createDataFrame(data, "chunk_id long, book_id long, chunk_index int, text string")
+    found = chunks.select(F.lit(9).cast("long").alias("query_id"), "book_id", "chunk_id", F.lit(0.5).alias("score"))
+    none = spark.createDataFrame([], "query_id long, book_id long, rank_value double")
+    stored = hybrid.gated_chunks(found, none, chunks, hybrid.build_hints(chunks))
+    assert rows(hybrid.gated_chunks(found, none, chunks)) == rows(stored)
