@@ -57,3 +57,12 @@ def test_narrow_queries_write_no_whole_table(spark, monkeypatch):
         assert load_all()[name].run(spark, FOLDER).limit(1).count() == 1
     made = {key[-1] for key in views._KEPT_PATHS}
     assert not made & {"chunk_vec", "cook_chunk", "index"}
+
+
+def test_short_query_lists_search_the_texts_once(spark):
+    """Counting the chunks of a prefix and summing up scores read the same written hits."""
+    chunks = spark.createDataFrame([(1, 0, "beef stew"), (2, 0, "beef"), (3, 0, "none")], "book_id long, chunk_index int, text string")
+    terms = spark.createDataFrame([(1, "beef"), (2, "st")], "query_id long, prefix string")
+    scores = keyword.bm25(terms, chunks)
+    assert scores.count() == 3
+    assert "split" not in scores._jdf.queryExecution().optimizedPlan().toString()
