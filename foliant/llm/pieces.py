@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -50,6 +51,7 @@ class Vocabulary:
         self.unknown = min(scores) - 10
         self.raw = {i: p.encode() for i, p in self.names.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
         self.unknown_id = model.unk_id()
+        self.raw[self.unknown_id] = b""
         self.cuts = not joined
 
     def segments(self, text: str) -> list[str]:
@@ -154,9 +156,8 @@ class Remembered:
         if len(self.known) > self.memory:
             self.known.clear()
         known = self.known
-        for s in segments:
-            if s not in known:
-                known[s] = self.work(s)
+        for s in set(segments).difference(known):
+            known[s] = self.work(s)
         return [known[s] for s in segments]
 
 
@@ -165,10 +166,10 @@ _KEPT: dict[tuple, tuple[Vocabulary, Remembered]] = {}
 
 def kept(path: str, make: Callable, n: int, memory: int) -> tuple[Vocabulary, Remembered]:
     """A vocabulary and what ``make(vocabulary, n)`` remembers; both outlast a task in its worker."""
-    if (path, n) not in _KEPT:
-        v = Vocabulary(path)
-        _KEPT[path, n] = v, Remembered(make(v, n), memory)
-    return _KEPT[path, n]
+    if (path, n, memory) not in _KEPT:
+        v = next((v for (p, *_), (v, _) in _KEPT.items() if p == path), None) or Vocabulary(path)
+        _KEPT[path, n, memory] = v, Remembered(make(v, n), memory)
+    return _KEPT[path, n, memory]
 
 
 COUNTS = "doc_id long, n_chars long, n_tokens long, n_unknown long, score double"
@@ -222,6 +223,40 @@ def lister(v: Vocabulary, n: int) -> Callable[[str], Listed]:
     return make
 
 
+def best_and_loss(v: Vocabulary, segment: str) -> tuple[float, float, bytes, bytes]:
+    """(score, loss of the second best path, ids, bytes of their pieces) of the best path.
+
+    The forward pass of :func:`n_best` with two scores a place; it tells which segments of a
+    text can leave their best path at all. The loss is infinite if there is no other path.
+    """
+    n = len(segment)
+    best, second, back = [0.0] + [-np.inf] * n, [-np.inf] * (n + 1), [None] * (n + 1)
+    known = v.single.issuperset(segment)  # matches come by end, longest first
+    steps = v.machine.iter(segment) if known else ((end - 1, arc) for end, arcs in enumerate(v.arcs(segment)) for arc in arcs)
+    for end, arc in steps:
+        end += 1
+        start = end - arc[0]
+        if (total := best[start] + arc[1]) > best[end]:
+            other = second[start] + arc[1]
+            second[end] = best[end] if best[end] > other else other
+            best[end], back[end] = total, arc
+        elif total > second[end]:
+            second[end] = total
+    ids, end = [], n
+    while end:
+        length, _, i = back[end]
+        end -= length
+        ids.append(i if known else (end, i))
+    ids.reverse()
+    if not known:
+        ids = v.ids(segment, ids).tolist()
+    return best[n], best[n] - second[n], array("I", ids).tobytes(), b"".join([v.raw[i] for i in ids])
+
+
+def first_passes(v: Vocabulary, _: int) -> Callable[[str], tuple[float, float, bytes, bytes]]:
+    return lambda segment: best_and_loss(v, segment)
+
+
 def best_mixes(listed: list[Listed], n: int) -> list[tuple[float, dict[int, int]]]:
     """The ``n`` least losses of a text, each with the segments that leave their best path.
 
@@ -255,21 +290,26 @@ def n_best_texts(docs: DataFrame, model: str, n: int = 4, with_ids: bool = False
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, lists = kept(model, lister, n, 100_000)
+        v, firsts = kept(model, first_passes, n, 300_000)
+        _, lists = kept(model, lister, n, 20_000)
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                listed = lists(v.segments(text))
-                best = [x.ids[0] for x in listed]
-                total = sum(x.scores[0] for x in listed)
+                segments = v.segments(text)
+                totals, losses, best, decoded = zip(*firsts(segments), strict=True) if segments else ((),) * 4
+                total = sum(totals)
+                # the only segments that leave their best path in any of the n best of the text
+                least = heapq.nsmallest(n - 1, zip(losses, range(len(segments)), strict=True))
+                close = sorted(k for loss, k in least if loss < np.inf)
+                listed = lists([segments[k] for k in close])
                 ranks = []
                 for loss, mix in best_mixes(listed, n):
                     own = list(best)
                     for k, r in mix.items():
-                        own[k] = listed[k].ids[r]
+                        own[close[k]] = listed[k].ids[r].tobytes()
                     raw = b"".join(own)
                     ranks.append((float(total - loss), len(raw) // 4, hashlib.sha256(raw).hexdigest(), raw))
-                decoded = "".join(x.text for x in listed)[1:]
+                decoded = b"".join(decoded).decode("utf-8", "replace").replace(SPACE, " ")[1:]
                 scores, sizes, shas, raws = (list(c) for c in zip(*ranks, strict=True))
                 rows.append((len(text), len(ranks), scores, sizes, shas, hashlib.sha256(decoded.encode()).hexdigest(), raws))
             columns = list(zip(*rows, strict=True)) or [[]] * 7

@@ -100,3 +100,26 @@ def test_queries(spark):
         assert r.n_pieces[0] == counts[r.doc_id].n_tokens and r.scores[0] == counts[r.doc_id].score
     for d in spark.read.parquet(f"{folder}/documents.parquet").collect():
         assert counts[d.doc_id].n_chars == len(d.text or "")
+
+
+def test_few_segments_are_searched(spark, vocabulary, monkeypatch):
+    """Only segments that may leave their best path go through the n-best search."""
+    import pyarrow as pa
+
+    from foliant.llm import pieces
+
+    class Rows:
+        def mapInArrow(self, run, _):
+            return run
+
+    asked, plain = [], pieces.n_best
+    monkeypatch.setattr(pieces, "n_best", lambda v, s, n: asked.append(s) or plain(v, s, n))
+    monkeypatch.setattr(pieces, "_texts", lambda _: Rows())
+    monkeypatch.setattr(pieces, "_KEPT", {})
+    text = " ".join(f"hathand{i}ation" for i in range(200)) + " 日x été"
+    batch = pa.record_batch([pa.array([1]), pa.array([text])], names=["doc_id", "text"])
+    (got,) = n_best_texts(None, PATH, 4, with_ids=True)(iter([batch]))
+    assert len(asked) <= 3
+    whole = plain(vocabulary, SPACE + text.replace(" ", SPACE), 4)
+    assert got.column("scores")[0].as_py() == [score for score, _ in whole]
+    assert got.column("ids")[0][0].as_py() == vocabulary.ids(SPACE + text.replace(" ", SPACE), whole[0][1]).tobytes()
