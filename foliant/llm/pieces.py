@@ -63,6 +63,8 @@ class Vocabulary:
         """
         if not text:
             return []
+        if self.cuts and text[0] != " " and "  " not in text and SPACE not in text:
+            return [SPACE + word for word in text.split(" ")]
         normal = SPACE + text.replace(" ", SPACE)
         return SEGMENT.findall(normal) if self.cuts else [normal]
 
