@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.llm.common import beside_extreme, salted_lookup, scratch, stored, whole_text
@@ -228,10 +227,9 @@ def _among(texts: DataFrame, ids: DataFrame, params: NearParams) -> DataFrame:
     return joined.where(found).select(*texts.columns)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, params: NearParams) -> DataFrame:
-    """The pairs (a, b) of representatives whose full sets reach the threshold."""
-    open_reps = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    ids = stored(reps.select("rep", "at.doc_id", "at.text_key").join(open_reps, "rep"), "pair-ids")
+def _full_sets(wanted_reps: DataFrame, docs: DataFrame, reps: DataFrame, params: NearParams) -> DataFrame:
+    """(id, shingles): the whole shingle sets of the representatives in ``wanted_reps`` (rep)."""
+    ids = stored(reps.select("rep", "at.doc_id", "at.text_key").join(wanted_reps, "rep"), "pair-ids")
     # a text that stands in many rows under one id is passed on once by each task
     wanted = _among(_ids_texts(docs), ids, params).groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
     named = wanted.join(ids, ["doc_id", "text_key"]).select("rep", "text")
@@ -244,7 +242,13 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, params: NearP
                 found = [shingles(t).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.record_batch([part.column(0), pa.array(found, pa.binary())], names=["id", "shingles"])
 
-    full = stored(named.mapInArrow(sets, "id long, shingles binary"), "sets")
+    return stored(named.mapInArrow(sets, "id long, shingles binary"), "sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, params: NearParams) -> DataFrame:
+    """The pairs (a, b) of representatives whose full sets reach the threshold."""
+    open_reps = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    full = _full_sets(open_reps, docs, reps, params)
     first = pairs.join(full.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = first.join(full.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
 
@@ -302,83 +306,141 @@ def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
     )
 
 
-def _proposals(
-    buckets: DataFrame, reps: DataFrame, comps: DataFrame, params: NearParams, best: int | None
-) -> DataFrame:
-    """Pairs of one bucket with different labels whose estimate isn't in doubt.
+_PLACE = "pivot long, i int, j int, rep long, label long, out boolean"
+_GROUP = ["pivot", "i", "j"]
 
-    With ``best`` only that many, the likeliest, for each member outside its bucket's main
-    label. Buckets of two were settled by their star; a bucket whose members all have one
-    label proposes nothing. In the others, members outside the pivot's label stand against
-    all members, ``block`` by ``block``, so a task holds two blocks however large the bucket
-    is, and rows are repeated once per block of the other side.
+
+def _proposals(buckets: DataFrame, reps: DataFrame, comps: DataFrame, params: NearParams) -> DataFrame:
+    """The members that have a likely partner of another label, by group and block.
+
+    A group is all members of the buckets of one pivot, so a pair that shares many bands meets
+    once. Buckets of two were settled by their star; a group whose members all have one label
+    proposes nothing. In the others, members outside the pivot's label stand against all
+    members, ``block`` by ``block``, so a task holds two blocks however large the group is,
+    and rows are repeated once per block of the other side.
     """
-    rows = stored(_labelled(buckets.where("members > 2"), comps), "bucket-labels")
-    mixed = rows.groupBy("bucket").agg(
+    members = buckets.where("members > 2").select("pivot", "rep").distinct()
+    rows = stored(_labelled(members, comps), "group-labels")
+    mixed = rows.groupBy("pivot").agg(
         F.min("label").alias("lo"),
         F.max("label").alias("hi"),
         F.max(F.when(F.col("rep") == F.col("pivot"), F.col("label"))).alias("main"),
+        F.count("*").alias("members"),
     )
-    marked = stored(rows.join(stored(mixed.where("lo <> hi").drop("lo", "hi"), "mixed"), "bucket"), "marked")
+    marked = stored(rows.join(stored(mixed.where("lo <> hi").drop("lo", "hi"), "mixed"), "pivot"), "marked")
     outside = marked.where("label <> main")
     n_blocks = lambda n: F.ceil(F.col(n) / params.block).cast("int")
-    apart = stored(outside.groupBy("bucket").agg(F.count("*").alias("_n")), "apart")
-    facing = apart.select("bucket", n_blocks("_n").alias("rows_of"))
+    apart = stored(outside.groupBy("pivot").agg(F.count("*").alias("_n")), "apart")
+    facing = apart.select("pivot", n_blocks("_n").alias("rows_of"))
     at = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    left = outside.join(facing, "bucket").withColumn("columns_of", n_blocks("members")).select(
-        "bucket", at("rows_of").alias("i"),
+    left = outside.join(facing, "pivot").withColumn("columns_of", n_blocks("members")).select(
+        "pivot", at("rows_of").alias("i"),
         F.explode(F.sequence(F.lit(0), F.col("columns_of") - 1)).alias("j"), "rep", "label",
         F.lit(True).alias("out"),
     )
-    right = marked.join(facing, "bucket").withColumn("columns_of", n_blocks("members")).select(
-        "bucket", F.explode(F.sequence(F.lit(0), F.col("rows_of") - 1)).alias("i"),
+    right = marked.join(facing, "pivot").withColumn("columns_of", n_blocks("members")).select(
+        "pivot", F.explode(F.sequence(F.lit(0), F.col("rows_of") - 1)).alias("i"),
         at("columns_of").alias("j"), "rep", "label", F.lit(False).alias("out"),
     )
-    signs = reps.select(F.col("rep"), F.col("signature"))
-    signed = left.union(right).join(signs, "rep").select("bucket", "i", "j", "rep", "label", "out", "signature")
-    keys = ["bucket", "i", "j"]
-
-    def compare(rep, label, out, signs) -> list[tuple[int, int, float]]:
-        found = []
-        y = np.flatnonzero(~out)
-        for x in np.flatnonzero(out):
-            like = (signs[y] == signs[x]).mean(axis=1)
-            near = np.flatnonzero((like >= params.doubt) & (label[y] != label[x]))
-            near = near[np.lexsort((rep[y[near]], -like[near]))][:best]
-            found += [(int(rep[x]), int(rep[y[k]]), float(like[k])) for k in near]
-        return found
+    signed = left.union(right).join(reps.select("rep", "signature"), "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group; the last group of a batch waits for the next one."""
-        held = None
-        for batch in _and_end(batches):
-            rows = pa.Table.from_batches([x for x in (held, batch) if x is not None]).combine_chunks()
-            if not rows.num_rows:
-                continue
-            group = np.stack([rows.column(k).to_numpy() for k in keys], axis=1)
-            starts = np.flatnonzero(np.any(group[1:] != group[:-1], axis=1)) + 1
-            ends = [*starts, rows.num_rows] if batch is None else [*starts]
-            full = rows.slice(0, ends[-1] if ends else 0)
-            rest = rows.slice(ends[-1] if ends else 0).combine_chunks()
-            held = rest.to_batches()[0] if rest.num_rows else None
-            if not ends:
-                continue
-            rep, label = (full.column(c).to_numpy() for c in ("rep", "label"))
-            out = full.column("out").to_numpy(zero_copy_only=False)
-            signs = _matrix(full.column("signature"), params)
-            pairs = [p for a, b in zip([0, *ends], ends) for p in compare(rep[a:b], label[a:b], out[a:b], signs[a:b])]
+        for rows, groups in _whole_groups(batches):
+            label, out = rows.column("label").to_numpy(), rows.column("out").to_numpy()
+            signs, keep = _matrix(rows.column("signature"), params), np.zeros(rows.num_rows, bool)
+            for lo, hi in groups:
+                y = lo + np.flatnonzero(~out[lo:hi])
+                for x in lo + np.flatnonzero(out[lo:hi]):
+                    near = y[_like(signs, x, y, label) >= params.doubt]
+                    keep[near] = True
+                    keep[x] |= len(near) > 0
+            if keep.any():
+                yield from rows.filter(pa.array(keep)).select(_COLUMNS).to_batches()
+
+    dealt = signed.select(*_COLUMNS, "signature").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    return dealt.mapInArrow(run, _PLACE)
+
+
+_COLUMNS = [c.split()[0] for c in _PLACE.split(", ")]
+
+
+def _like(signs: np.ndarray, x: int, y: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The estimated likeness of row ``x`` to the rows ``y``; -1 within a label."""
+    return np.where(label[y] == label[x], -1.0, (signs[y] == signs[x]).mean(axis=1))
+
+
+def _links(proposed: DataFrame, docs: DataFrame, reps: DataFrame, params: NearParams) -> DataFrame:
+    """Links (a, b) that full sets confirm between the labels of proposed members.
+
+    Sets are compared where the blocks meet, and of the links of a block only those leave the
+    task that join two labels which the block hasn't joined yet: at most one per member.
+    """
+    full = _full_sets(proposed.select("rep").distinct(), docs, reps, params)
+    known = full.join(reps.select(F.col("rep").alias("id"), "signature"), "id")
+    both = proposed.join(known, proposed["rep"] == known["id"]).select(*_COLUMNS, "signature", "shingles")
+
+    def linked(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+        sizes = np.array([len(y) for y in others])
+        every = np.concatenate(others)
+        found = x[np.minimum(np.searchsorted(x, every), len(x) - 1)] == every
+        shared = np.add.reduceat(found.astype(np.int64), np.cumsum(sizes) - sizes)
+        return 100 * shared >= params.percent * (len(x) + sizes - shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, groups in _whole_groups(batches):
+            rep, label, out = (rows.column(c).to_numpy() for c in ("rep", "label", "out"))
+            signs = _matrix(rows.column("signature"), params)
+            sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.column("shingles")]
+            pairs = []
+            for lo, hi in groups:
+                joined: dict[int, int] = {}
+
+                def root(k: int, joined: dict[int, int] = joined) -> int:
+                    while k in joined:
+                        k = joined[k]
+                    return k
+
+                y = lo + np.flatnonzero(~out[lo:hi])
+                for x in lo + np.flatnonzero(out[lo:hi]):
+                    like = _like(signs, x, y, label)
+                    near = np.flatnonzero(like >= params.doubt)
+                    near = y[near[np.argsort(-like[near], kind="stable")]]
+                    # the likeliest first: a link to a label settles all others to it
+                    for part in (near[:4], near[4:64], near[64:]):
+                        part = [k for k in part if root(label[k]) != root(label[x])]
+                        if not part:
+                            continue
+                        for k in np.array(part)[linked(sets[x], [sets[k] for k in part])]:
+                            one, two = root(label[x]), root(label[k])
+                            if one != two:
+                                joined[max(one, two)] = min(one, two)
+                                pairs.append((min(rep[x], rep[k]), max(rep[x], rep[k])))
             if pairs:
-                x, y, like = zip(*pairs, strict=True)
-                columns = [pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(like, pa.float64())]
-                yield pa.record_batch(columns, names=["x", "y", "like"])
+                a, b = zip(*pairs, strict=True)
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    dealt = signed.repartition(*keys).sortWithinPartitions(*keys)
-    found = dealt.mapInArrow(run, "x long, y long, like double").distinct()
-    if best is not None:
-        # each block named its own likeliest; a member has at most blocks * bands * best of them
-        top = F.row_number().over(W.partitionBy("x").orderBy(F.col("like").desc(), "y"))
-        found = found.withColumn("_top", top).where(F.col("_top") <= best)
-    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    dealt = both.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Tables of whole groups with the rows at which each begins and ends.
+
+    Rows come sorted by group; the last group of a batch waits for the next one.
+    """
+    held = None
+    for batch in _and_end(batches):
+        rows = pa.Table.from_batches([x for x in (held, batch) if x is not None] or [pa.record_batch({k: [] for k in _GROUP})])
+        rows = rows.combine_chunks()
+        if not rows.num_rows:
+            continue
+        group = np.stack([rows.column(k).to_numpy() for k in _GROUP], axis=1)
+        ends = (np.flatnonzero(np.any(group[1:] != group[:-1], axis=1)) + 1).tolist()
+        ends += [rows.num_rows] if batch is None else []
+        rest = rows.slice(ends[-1] if ends else 0).combine_chunks()
+        held = rest.to_batches()[0] if rest.num_rows else None
+        if ends:
+            yield rows.slice(0, ends[-1]), list(zip([0, *ends], ends))
 
 
 def _and_end(batches: Iterator) -> Iterator:
@@ -391,9 +453,9 @@ def _grouped(docs: DataFrame, params: NearParams) -> DataFrame:
     """Per row of ``docs``: doc_id, text_key, n_shingles, and ``top``, the doc_id and text_key of
     the row that stands for its group; null for rows without words or doc_id.
 
-    Pairs are confirmed in rounds: members against the pivots of their buckets, and the pairs
-    of buckets of two; then for each member outside the main label of a bucket its two
-    likeliest partners of other labels; then every likely pair whose labels still differ. Links within a label can't change a component and are skipped.
+    Pairs are confirmed in two rounds: members against the pivots of their buckets, and the
+    pairs of buckets of two; then every likely pair of one pivot's buckets whose labels still
+    differ. Links within a label can't change a component and are skipped.
     """
     own = stored(sketches(docs, params), "sketches")
     worded = own.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
@@ -405,15 +467,9 @@ def _grouped(docs: DataFrame, params: NearParams) -> DataFrame:
     buckets = stored(_buckets(reps, params), "buckets")
     tried = stored(_likely(stored(_stars(buckets, params), "stars"), reps, params), "pairs")
     comps = stored(components(_confirmed(tried, docs, reps, params)), "labels")
-    for best in (2, None):
-        found = stored(_proposals(buckets, reps, comps, params, best), "proposed")
-        if found.isEmpty():  # then the unlimited round has nothing to propose either
-            break
-        pairs = stored(found.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        tried = tried.union(pairs)
-        new = stored(_confirmed(pairs, docs, reps, params), "confirmed")
+    proposed = stored(_proposals(buckets, reps, comps, params), "proposed")
+    if not proposed.isEmpty():
+        new = stored(_links(proposed, docs, reps, params), "confirmed")
         if not new.isEmpty():
             old = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
             comps = stored(components(old.union(new)), "labels")

@@ -135,3 +135,29 @@ def test_tables_on_the_way_are_removed(spark, docs):
     got = near_groups(docs([(1, "a b c d e f"), (2, "a b c d e f")]))
     assert len(set(os.listdir(base)) - before) == 1
     assert got.count() == 2
+
+
+def test_likely_pairs_without_a_link_leave_no_rows(spark, docs, monkeypatch):
+    """Copies of one text that are alike, but mostly not linked, cost no row per pair."""
+    from foliant.llm import near_dups
+
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(200):
+        text = list(base)
+        for at in r.sample(range(5, 95), 2):
+            text[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(text)))
+    made, plain = [], near_dups.stored
+
+    def counted(df, name, *args):
+        table = plain(df, name, *args)
+        if name in ("proposed", "confirmed"):
+            made.append(table.count())
+        return table
+
+    monkeypatch.setattr(near_dups, "stored", counted)
+    got = near_groups(docs(rows)).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert {tuple(x) for x in got} == brute(rows)
+    assert made and sum(made) < 40 * len(rows)  # of 19,900 pairs
