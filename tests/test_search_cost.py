@@ -5,11 +5,14 @@ import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
+from foliant.functions.scoring import page_type
 from foliant.operators import hybrid, keyword
 from foliant.operators.matching import match_substrings
 from foliant.plans import views
 from foliant.plans.registry import load_all
+from foliant.sources.keyword_index import build_index
 from tests.conftest import rows
 
 FOLDER = os.environ.get("FOLIANT_CHECK_DIR", "/root/testdata/sf0.001")
@@ -66,3 +69,74 @@ def test_short_query_lists_search_the_texts_once(spark):
     scores = keyword.bm25(terms, chunks)
     assert scores.count() == 3
     assert "split" not in scores._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
+@pytest.mark.parametrize("name", ["fallback_chunks", "fallback_chunks_scoped"])
+def test_cookbook_texts_are_searched_once(spark, monkeypatch, name):
+    """The answered queries and the fallback start from the same scores."""
+    asked, bm25 = [], keyword.bm25
+    monkeypatch.setattr(keyword, "bm25", lambda *a, **k: asked.append(1) or bm25(*a, **k))
+    load_all()[name].run(spark, FOLDER)
+    assert len(asked) == 1
+
+
+def test_one_walk_gives_words_and_lengths(spark):
+    """Accents, words inside words and letters beyond the first plane."""
+    data = [(1, 0, "The thing 𝐚the the. Thé é𝐚 x²the ÜBER-the"), (1, 1, None), (2, 0, ""), (2, 1, "roast Roasting ³roast")]
+    chunks = spark.createDataFrame(data, "book_id long, chunk_index int, text string")
+    asked = [(1, "the"), (1, "th"), (2, "roast"), (3, "a+b"), (2, "uber"), (2, "𝐚")]
+    terms = spark.createDataFrame(asked, "query_id long, prefix string")
+    scores = keyword.bm25(terms, chunks)
+    assert rows(scores) == rows(keyword.bm25(terms, chunks, inline=1))
+    assert "regexp" not in scores._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_leader_lines_are_counted_where_dots_are(spark):
+    texts = ["a .... b\nc . . . d\ne ..... f", "a .... b\nc", "a\nb\nc", None]
+    data = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string")
+    got = rows(data.select("i", page_type(F.col("text")).alias("kind")))
+    assert got == [(0, "contents"), (1, "content"), (2, "content"), (3, "content")]
+
+
+def test_top_lists_pick_their_texts_where_they_are_read(spark, tmp_path):
+    """A table of texts is not shuffled for the neighbours and names of a few hits."""
+    whole = spark.range(4000).select(
+        F.col("id").alias("chunk_id"), F.floor(F.col("id") / 8).alias("book_id"), (F.col("id") % 8).cast("int").alias("chunk_index"),
+        F.concat(F.lit("Preheat, bake, stir 2 cups of 20 minutes "), F.sha2(F.col("id").cast("string"), 512)).alias("text"),
+    )
+    whole.write.parquet(str(tmp_path / "chunks"))
+    chunks = spark.read.parquet(str(tmp_path / "chunks"))
+    books = chunks.select("book_id", F.col("text").alias("title"), F.col("text").alias("file_name"), F.lit("a").alias("author"), F.lit("f").alias("format"))
+    found = chunks.filter("chunk_id % 1000 = 1").select(F.lit(9).cast("long").alias("query_id"), "book_id", "chunk_id", F.lit(0.5).alias("score"))
+    hits = spark.createDataFrame([], "query_id long, book_id long, rank_value double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "40000")
+    try:
+        made = hybrid.hybrid_chunks(found, hits, chunks, None, books.dropDuplicates(["book_id"]))
+        plan = made._jdf.queryExecution().sparkPlan().toString()
+        assert made.count() == 4
+        named = hybrid.hybrid_books(hits, found, chunks, books.dropDuplicates(["book_id"]), limit=3)
+        more = named._jdf.queryExecution().sparkPlan().toString()
+        assert named.count() == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("LeftSemi, BuildRight") >= 2 and more.count("LeftSemi, BuildRight") >= 2
+
+
+def test_range_sample_does_not_cut_texts_again(spark, tmp_path, monkeypatch):
+    dealt, plain = [], DataFrame.repartitionByRange
+
+    def seen(df, *columns):
+        dealt.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return plain(df, *columns)
+
+    monkeypatch.setattr(DataFrame, "repartitionByRange", seen)
+    chunks = spark.createDataFrame([(1, 0, "beef stew"), (2, 0, "beef")], "book_id long, chunk_index int, text string")
+    build_index(spark, str(tmp_path), chunks)
+    assert dealt and not any("text" in p for p in dealt)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
+def test_library_search_looks_up_no_texts(spark, monkeypatch):
+    monkeypatch.setattr(hybrid, "hybrid_books", None)
+    assert load_all()["library_search"].run(spark, FOLDER).columns == ["query_id", "book_id", "score"]
