@@ -142,9 +142,9 @@ def sketches(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     return _ids_texts(docs).mapInArrow(run, _SKETCH)
 
 
-def text_key() -> Column:
+def text_key(text: str | Column = "text") -> Column:
     """Tells texts apart, so that rows which share a doc_id don't share a name."""
-    return F.unhex(F.md5(whole_text("text")))
+    return F.unhex(F.md5(whole_text(text)))
 
 
 def _ids_texts(docs: DataFrame) -> DataFrame:
@@ -212,8 +212,16 @@ def _matrix(signatures: pa.Array, params: NearParams) -> np.ndarray:
 def _among(texts: DataFrame, ids: DataFrame, params: NearParams) -> DataFrame:
     """``texts`` without most of those whose doc_id isn't in ``ids``, so that few are shuffled.
 
+    It lets every wanted text pass; the join after it is exact.
+    """
+    return _flagged(texts, ids, params).where("_may").select(*texts.columns)
+
+
+def _flagged(texts: DataFrame, ids: DataFrame, params: NearParams) -> DataFrame:
+    """Add ``_may``: false only where a doc_id (long) is surely not in ``ids``; null ones aren't.
+
     A bitmap over hashed ids, 4 KB per bucket of 32,768 bits and 2 MB in all whatever the
-    number of ids, is broadcast. It lets every wanted text pass; the join after it is exact.
+    number of ids, is broadcast.
     """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(params.filter_bits)) + 1
     bits = ids.groupBy(F.bitmap_bucket_number(place("doc_id")).alias("_bucket")).agg(
@@ -222,9 +230,10 @@ def _among(texts: DataFrame, ids: DataFrame, params: NearParams) -> DataFrame:
     at = F.bitmap_bit_position(place("doc_id"))
     byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10)
     found = F.expr("shiftright(cast(_byte AS int), cast(_at & 7 AS int)) & 1") == 1
-    named = texts.where("doc_id IS NOT NULL").withColumn("_bucket", F.bitmap_bucket_number(place("doc_id")))
-    joined = named.join(F.broadcast(bits), "_bucket").withColumns({"_byte": byte, "_at": at})
-    return joined.where(found).select(*texts.columns)
+    named = texts.withColumn("_bucket", F.bitmap_bucket_number(place("doc_id")))
+    joined = named.join(F.broadcast(bits), "_bucket", "left").withColumns({"_byte": byte, "_at": at})
+    may = F.col("doc_id").isNotNull() & F.coalesce(found, F.lit(False))
+    return joined.select(*texts.columns, may.alias("_may"))
 
 
 def _full_sets(wanted_reps: DataFrame, docs: DataFrame, reps: DataFrame, params: NearParams) -> DataFrame:
@@ -519,11 +528,14 @@ def one_per_group(docs: DataFrame, params: NearParams = NearParams()) -> DataFra
             F.max(~is_top).alias("gone"), (F.count("*") > 1).alias("again")
         )
         marks = keep(marks.where("gone OR again"))
-    mine, packed = F.col("_row.doc_id"), F.struct(*[docs[c] for c in names]).alias("_row")
-    key = docs.select(packed, text_key().alias("_key"))
-    same = (mine == marks["doc_id"]) & (F.col("_key") == marks["text_key"])
-    seen = key.join(marks, same, "left").select("_row", "_key", "gone", "again")
+    packed = F.struct(*[docs[c] for c in names]).alias("_row")
+    # most rows are in no mark, which their ids tell where they are read
+    rows = _flagged(docs.select(packed, F.col("doc_id").cast("long").alias("doc_id")), marks, params)
+    clear = rows.where("NOT _may").select("_row.*")
+    key = rows.where("_may").select("_row", "doc_id", text_key(F.col("_row.text")).alias("_key"))
+    same = (key["doc_id"] == marks["doc_id"]) & (key["_key"] == marks["text_key"])
+    seen = key.join(marks, same, "left").select("_row", key["doc_id"], "_key", "gone", "again")
     left = seen.where(~F.coalesce("gone", F.lit(False)))
     once = left.where(~F.coalesce("again", F.lit(False))).select("_row.*")
-    several = left.where("again").groupBy(mine, "_key").agg(F.first("_row").alias("_row"))
-    return once.union(several.select("_row.*"))
+    several = left.where("again").groupBy("doc_id", "_key").agg(F.first("_row").alias("_row"))
+    return clear.union(once).union(several.select("_row.*"))

@@ -161,3 +161,21 @@ def test_likely_pairs_without_a_link_leave_no_rows(spark, docs, monkeypatch):
     got = near_groups(docs(rows)).select("doc_id", "n_shingles", "component_id", "kept").collect()
     assert {tuple(x) for x in got} == brute(rows)
     assert made and sum(made) < 40 * len(rows)  # of 19,900 pairs
+
+
+def test_rows_without_a_mark_are_not_shuffled(spark, docs, monkeypatch):
+    from foliant.llm import near_dups
+
+    made, plain = [], near_dups._flagged
+    monkeypatch.setattr(near_dups, "_flagged", lambda *a: made.append(plain(*a)) or made[-1])
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(9))) for i in range(300)]
+    rows += [(400, rows[3][1]), (401, rows[4][1]), (5, rows[5][1]), (None, rows[6][1]), (402, None)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = one_per_group(docs(rows))
+        got = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [*range(300), 402] and kept.count() == 302
+    # the two copies, the row that stands twice, and hardly a stranger
+    assert 4 <= made[-1].where("_may").count() <= 8
