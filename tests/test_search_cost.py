@@ -92,6 +92,21 @@ def test_one_walk_gives_words_and_lengths(spark):
     assert "regexp" not in scores._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_few_prefixes_are_counted_as_literals(spark, monkeypatch):
+    """Same counts as the walk, which a few prefixes don't take."""
+    data = [(1, 0, "The thing 𝐚the the. Thé é𝐚 x²the ÜBER-the über 😀the"), (1, 1, None), (2, 0, ""), (2, 1, "roast Roasting ³roast thethe")]
+    chunks = spark.createDataFrame(data, "book_id long, chunk_index int, text string")
+    asked = [(1, "the"), (1, "th"), (2, "roast"), (3, "a+b"), (2, "uber"), (2, "𝐚")]
+    terms = spark.createDataFrame(asked, "query_id long, prefix string")
+    low = chunks.select("book_id", "chunk_index", F.lower("text").alias("_low"))
+    owners, prefixes = keyword._owners(terms.collect())
+    few = rows(keyword._counted_starts(low, owners, prefixes).filter("book_id = 1 AND chunk_index = 0 OR book_id = 2"))
+    many = rows(keyword._walked_words(low, owners, prefixes).filter("book_id = 1 AND chunk_index = 0 OR book_id = 2"))
+    assert few == many
+    monkeypatch.setattr(keyword, "_walked_words", None)
+    assert keyword.bm25(terms, chunks).count() > 0
+
+
 def test_leader_lines_are_counted_where_dots_are(spark):
     texts = ["a .... b\nc . . . d\ne ..... f", "a .... b\nc", "a\nb\nc", None]
     data = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string")
