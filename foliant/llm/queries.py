@@ -27,7 +27,7 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     from foliant.llm.quality import quality_rules
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return quality_rules(docs, table(spark, folder, "labels")).select(
+    return quality_rules(docs, table(spark, folder, "labels"), keep_text=False).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "score", "kept",
     )

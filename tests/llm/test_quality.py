@@ -4,8 +4,9 @@ from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from foliant.llm.quality import QualityParams, base_counts, clean_documents, fit, quality_rules
+from foliant.llm.quality import QualityParams, base_counts, clean_documents, fit, fit_threshold, quality_rules
 from foliant.llm.queries import QUERIES
 
 
@@ -73,6 +74,23 @@ def test_without_rows_or_labels(spark, docs):
     assert row.kept
 
 
+def test_every_label_counts(spark):
+    """More trusted texts than a bounded sample held: with all texts trusted no ratio differs from 0."""
+    docs = spark.range(9_000).selectExpr("id AS doc_id", "concat('word ', id % 7, ' tail') AS text")
+    marks = docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic")
+    assert set(fit(docs, marks, QualityParams(buckets=64)).ratios) == {0.0}
+
+
+def test_threshold_is_the_exact_quantile_of_all_scores(spark):
+    ids = spark.range(0, 40_000)
+    scored = ids.selectExpr("id AS doc_id", "60L AS n_words", "IF(id % 20000 = 0, 60L, 0L) AS n_repeat_words", "CAST((id * 7919) % 20000 AS double) AS score")
+    marks = ids.selectExpr("id AS doc_id", "IF(id < 20000, 1, 0) AS quality", "0 AS toxic")
+    # base rule drops score 0 of both classes: 1..19999 remain; places 20 and 19800
+    assert fit_threshold(scored, marks) == 20.0
+    assert fit_threshold(scored.withColumn("score", F.when(F.col("doc_id") < 20_000, F.col("score")).otherwise(-1.0)), marks) == 9.5
+    assert fit_threshold(scored, marks.where("quality = 0")) == -1e9
+
+
 def test_query(spark):
     folder = "/root/testdata/sf0.001"
     got = QUERIES["op7_quality_rules"](spark, folder).collect()
